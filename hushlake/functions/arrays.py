@@ -74,17 +74,19 @@ def fold_emit(
     struct ``(st, out)``: the last state and everything emitted, in order.
     """
     inner = f"""aggregate(
-        {chunk_of(items, "fchunk")},
+        {chunk_of("fitems", "fchunk")},
         named_struct('st', facc.st, 'out', {empty_array(emit_type)}),
         (fin, fx) -> named_struct(
             'st', {step("fin.st", "fx")},
             'out', concat(fin.out, {emit("fin.st", "fx")})))"""
     merged = "named_struct('st', fdone.st, 'out', concat(facc.out, array(fdone.out)))"
-    return f"""aggregate(
-        {chunk_ids(f"size({items})")},
+    # bound once: a lambda would evaluate the operand again for every chunk
+    folded = f"""aggregate(
+        {chunk_ids("size(fitems)")},
         named_struct('st', {init}, 'out', {empty_array(f"array<{emit_type}>")}),
         (facc, fchunk) -> {let("fdone", inner, merged)},
         facc -> named_struct('st', facc.st, 'out', flatten(facc.out)))"""
+    return let("fitems", items, folded)
 
 
 def prefix_sums(sizes: str) -> str:

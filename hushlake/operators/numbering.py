@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushlake.functions.arrays import empty_array, fold_emit, struct
+from hushlake.functions.arrays import empty_array, fold_emit, let, struct
 
 NUMBER = "struct<leaf:int,start:int,end:int,number:int>"
 _FIRST = "struct<category:string,first_leaf:int,first_start:int,leaf:int,start:int,end:int>"
@@ -36,7 +36,7 @@ def number_in_row(items: str) -> str:
         return f"CASE WHEN {same_value(st, h)} THEN {st}.{field} ELSE {h}.{field} END"
 
     firsts = fold_emit(
-        f"sort_array(transform({items}, nh -> {by_value}))",
+        f"sort_array(transform(nitems, nh -> {by_value}))",
         struct(category="''", value="''", leaf="-1", start="-1"),
         lambda st, h: struct(
             category=f"{h}.category",
@@ -79,9 +79,10 @@ def number_in_row(items: str) -> str:
         NUMBER,
     )
     single = struct(leaf="nh.leaf", start="nh.start", end="nh.end", number="1")
-    return f"""CASE WHEN size({items}) < 1 THEN {empty_array(NUMBER)}
-        WHEN size({items}) = 1 THEN transform({items}, nh -> {single})
+    numbered = f"""CASE WHEN size(nitems) < 1 THEN {empty_array(NUMBER)}
+        WHEN size(nitems) = 1 THEN transform(nitems, nh -> {single})
         ELSE sort_array({numbers}.out) END"""
+    return let("nitems", items, numbered)
 
 
 # Rows of one session that are ranked together. Sessions longer than this are

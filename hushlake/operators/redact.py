@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.config import SanitizeConfig
-from hushlake.functions.arrays import empty_array, let, literal_array, struct
+from hushlake.functions.arrays import empty_array, let, literal_array, prefix_sums, struct
 from hushlake.functions.validators import placeholder_sql
 from hushlake.operators.hits import all_hits
 from hushlake.operators.numbering import number_in_row
@@ -23,7 +23,8 @@ from hushlake.operators.splice import splice
 from hushlake.rules import Rule, selected_rules
 
 DETECTION = (
-    "struct<category:string,start:int,end:int,confidence:double,placeholder:string>"
+    "struct<leaf_ord:int,category:string,start:int,end:int,confidence:double,"
+    "placeholder:string>"
 )
 METADATA = "struct<error:string,content_type:string,block_original_bytes:boolean>"
 RESULT_COLUMNS = (
@@ -57,7 +58,7 @@ def numbering_items(kept: str, rules: list[Rule], leaf: str = "0") -> str:
     return f"transform({kept}, ih -> {item})"
 
 
-def detections_for(kept: str, numbers: str, rules: list[Rule]) -> str:
+def detections_for(kept: str, numbers: str, rules: list[Rule], leaf: str = "0") -> str:
     """Value-free detections; ``numbers`` is aligned with ``kept``."""
     if not rules:
         return empty_array(DETECTION)
@@ -67,6 +68,7 @@ def detections_for(kept: str, numbers: str, rules: list[Rule]) -> str:
         fixed = _of_rule([r.replacement for r in rules], "string", "dh")
         token = f"coalesce({fixed}, {token})"
     detection = struct(
+        leaf_ord=leaf,
         category=category,
         start="dh.start",
         end="dh.end",
@@ -101,6 +103,40 @@ def with_detections(
     )
 
 
+def with_leaf_detections(
+    df: DataFrame, leaves: Column, rules: list[Rule], content: str, detections: str
+) -> DataFrame:
+    """As ``with_detections`` for an array of texts that share one session.
+
+    ``content`` becomes the array of redacted texts, ``detections`` the flat
+    list over all of them, ordered by leaf and start.
+    """
+    if not rules:
+        return df.withColumns({content: leaves, detections: no_detections()})
+    items = f"flatten(transform(__kept, (lk, li) -> {numbering_items('lk', rules, 'li')}))"
+    own = "slice(lbound.numbers, get(lbound.offsets, li) + 1, size(lk))"
+    marks = f"transform(__kept, (lk, li) -> {detections_for('lk', own, rules, 'li')})"
+    leaf_text = let("lm", "get(lbound, li)", splice("lt", "lm"))
+    # What a lambda uses from outside is bound first. Catalyst may inline the
+    # expression behind a column, and inside a lambda it would run per element.
+    sizes = prefix_sums("transform(__kept, lk -> size(lk))")
+    bound = struct(numbers="__numbers", offsets=sizes)
+    return (
+        df.withColumn("__leaves", leaves)
+        .withColumn(
+            "__kept", F.expr(f"transform(__leaves, lt -> {kept_hits('lt', rules)})")
+        )
+        .withColumn("__numbers", F.expr(number_in_row(items)))
+        .withColumn("__marks", F.expr(let("lbound", bound, marks)))
+        .withColumn(
+            content,
+            F.expr(let("lbound", "__marks", f"transform(__leaves, (lt, li) -> {leaf_text})")),
+        )
+        .withColumn(detections, F.coalesce(F.flatten("__marks"), no_detections()))
+        .drop("__leaves", "__kept", "__numbers", "__marks")
+    )
+
+
 def result_columns(
     content: Column,
     detections: Column,
