@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 def pin(df: DataFrame, *columns: str) -> DataFrame:
     """The same rows, with ``columns`` computed at this point of the plan.
 
-    Catalyst merges adjacent projections when one holds a Python UDF, and would
-    then repeat the expressions behind ``columns`` wherever they are used. A
-    one-row ``inline`` is a plan node of its own, which projections do not cross.
+    Catalyst pushes filters (also those it infers below an ``explode``) through
+    projections, and merges projections that hold Python UDFs; both repeat the
+    expressions behind ``columns``. A one-row ``inline`` is a plan node of its
+    own, which neither crosses.
     """
     others = [c for c in df.columns if c not in columns]
     return df.select(*others, F.inline(F.array(F.struct(*columns))))

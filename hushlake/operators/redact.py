@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from hushlake.config import SanitizeConfig
 from hushlake.functions.arrays import empty_array, let, literal_array, prefix_sums, struct
+from hushlake.functions.pin import pin
 from hushlake.functions.validators import placeholder_sql
 from hushlake.operators.hits import all_hits
 from hushlake.operators.numbering import number_in_row
@@ -93,13 +94,18 @@ def with_detections(
     """Add the redacted text and its detections for one text column."""
     if not rules:
         return df.withColumns({content: text, detections: no_detections()})
-    return (
+    marked = (
         df.withColumn("__text", text)
         .withColumn("__kept", F.expr(kept_hits("__text", rules)))
         .withColumn("__numbers", F.expr(number_in_row(numbering_items("__kept", rules))))
         .withColumn(detections, F.expr(detections_for("__kept", "__numbers", rules)))
+        .drop("__kept", "__numbers")
+    )
+    # a filter on the result must not run the detectors again
+    return (
+        pin(marked, detections)
         .withColumn(content, F.expr(splice("__text", detections)))
-        .drop("__text", "__kept", "__numbers")
+        .drop("__text")
     )
 
 
@@ -121,7 +127,7 @@ def with_leaf_detections(
     # expression behind a column, and inside a lambda it would run per element.
     sizes = prefix_sums("transform(__kept, lk -> size(lk))")
     bound = struct(numbers="__numbers", offsets=sizes)
-    return (
+    worked = (
         df.withColumn("__leaves", leaves)
         .withColumn(
             "__kept", F.expr(f"transform(__leaves, lt -> {kept_hits('lt', rules)})")
@@ -135,6 +141,7 @@ def with_leaf_detections(
         .withColumn(detections, F.coalesce(F.flatten("__marks"), no_detections()))
         .drop("__leaves", "__kept", "__numbers", "__marks")
     )
+    return pin(worked, content, detections)
 
 
 def result_columns(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushlake.config import SanitizeConfig
+from hushlake.functions.pin import pin
 from hushlake.operators.redact import (
     Settings,
     admitted_text,
@@ -140,7 +141,8 @@ def leak_check(
         h -> named_struct('rule', h.rule, 'value', h.value)))"""
     names = ", ".join(f"'{r.category}'" for r in rules) or "''"
     return (
-        worked.select(*keys, F.explode(F.expr(leaked)).alias("l"))
+        pin(worked.select(*keys, F.expr(leaked).alias("__leaked")), "__leaked")
+        .select(*keys, F.explode("__leaked").alias("l"))
         .groupBy(*keys, F.expr(f"get(array({names}), l.rule)").alias("category"))
         .agg(F.count(F.lit(1)).alias("leaked_values"))
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hushlake.config import SanitizeConfig
 from hushlake.functions.arrays import literal_array
+from hushlake.functions.pin import pin
 from hushlake.functions.validators import placeholder
 from hushlake.operators.numbering import number_sessions
 from hushlake.operators.redact import (
@@ -32,7 +33,8 @@ def hit_rows(df: DataFrame, text_col: str, keys: list[str], rules: list[Rule]) -
     kept = df.select(*keys, F.col(text_col).alias("__text"))
     kept = kept.withColumn("__kept", F.expr(kept_hits("__text", rules)))
     return (
-        kept.select(*keys, F.explode("__kept").alias("hit"))
+        pin(kept.drop("__text"), "__kept")
+        .select(*keys, F.explode("__kept").alias("hit"))
         .select(
             *keys,
             "hit.start",

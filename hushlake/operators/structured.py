@@ -65,9 +65,8 @@ def redact_documents(docs: DataFrame, cfg: SanitizeConfig) -> DataFrame:
         "__leaves_out",
         "__detections",
     )
-    done = pin(worked, "__leaves_out", "__detections")
     parsed = F.col("__parsed").isNotNull()
-    done = done.withColumn(
+    done = worked.withColumn(
         "__rendered",
         render_leaves(
             F.when(parsed, F.col("__kind")),

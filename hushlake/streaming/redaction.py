@@ -14,9 +14,14 @@ from hushlake.operators.redact import Settings, sanitize_table
 
 
 def read_document_stream(
-    spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    file_glob: str = "*.parquet",
+    files_per_trigger: int | None = None,
 ) -> DataFrame:
-    reader = spark.readStream.schema(schema)
+    """Parquet files below ``path`` whose name matches ``file_glob``, as a stream."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
