@@ -21,6 +21,9 @@ NOT_AFTER_WORD = f"(?<!{WORD})"
 NOT_BEFORE_WORD = f"(?!{WORD})"
 BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
+# Java may find an empty match between the two halves of one character.
+_WHOLE_CHARACTER = r"(?![\x{dc00}-\x{dfff}])"
+
 _OUTSIDE = {
     "w": WORD, "W": f"[^{WORD_CHARS}]",
     "d": DIGIT, "D": r"\P{Nd}",
@@ -54,7 +57,7 @@ def python_pattern_to_java(pattern: str) -> str | None:
         raise UnsupportedPatternError("verbose and ASCII patterns are not supported")
     names = {name: f"g{i}x" for name, i in compiled.groupindex.items()}
     # d: only \n ends a line, as in Python; u: Unicode case folding
-    return "(?du)" + _Translation(pattern, names).run()
+    return f"(?du){_WHOLE_CHARACTER}(?:{_Translation(pattern, names).run()})"
 
 
 class _Translation:
