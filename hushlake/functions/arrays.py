@@ -73,20 +73,27 @@ def fold_emit(
     elements to append, seen from the state *before* ``x``. The result is a
     struct ``(st, out)``: the last state and everything emitted, in order.
     """
-    inner = f"""aggregate(
-        {chunk_of("fitems", "fchunk")},
-        named_struct('st', facc.st, 'out', {empty_array(emit_type)}),
-        (fin, fx) -> named_struct(
-            'st', {step("fin.st", "fx")},
-            'out', concat(fin.out, {emit("fin.st", "fx")})))"""
+
+    def run(part: str, state: str) -> str:
+        return f"""aggregate(
+            {part},
+            named_struct('st', {state}, 'out', {empty_array(emit_type)}),
+            (fin, fx) -> named_struct(
+                'st', {step("fin.st", "fx")},
+                'out', concat(fin.out, {emit("fin.st", "fx")})))"""
+
     merged = "named_struct('st', fdone.st, 'out', concat(facc.out, array(fdone.out)))"
-    # bound once: a lambda would evaluate the operand again for every chunk
-    folded = f"""aggregate(
+    in_chunks = f"""aggregate(
         {chunk_ids("size(fitems)")},
         named_struct('st', {init}, 'out', {empty_array(f"array<{emit_type}>")}),
-        (facc, fchunk) -> {let("fdone", inner, merged)},
+        (facc, fchunk) -> {let("fdone", run(chunk_of("fitems", "fchunk"), "facc.st"), merged)},
         facc -> named_struct('st', facc.st, 'out', flatten(facc.out)))"""
-    return let("fitems", items, folded)
+    # bound once: a lambda would evaluate the operand again for every chunk
+    return let(
+        "fitems",
+        items,
+        f"CASE WHEN size(fitems) <= {CHUNK} THEN {run('fitems', init)} ELSE {in_chunks} END",
+    )
 
 
 def prefix_sums(sizes: str) -> str:

@@ -9,13 +9,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hushlake.functions.pin import spread
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A given table, spread over the cores (after pruning its columns)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df.select(*columns) if columns else df)
 
-def spark_ref(sf_dir: str, name: str) -> str:
-    return f"parquet.`{sf_dir}/{name}.parquet`"
+
+def planted(spark: SparkSession, sf_dir: str, sql: str, base: str) -> DataFrame:
+    """A planted corpus with its values; ``sql`` was built over ``{base}``."""
+    return spark.sql(sql, base=table(spark, sf_dir, base, BASE_COLUMNS[base]))
+
+
+BASE_COLUMNS = {"customer": ["c_custkey", "c_mktsegment"], "orders": ["o_orderkey"]}
 
 
 def _z(expr: str, width: int) -> str:
@@ -83,7 +91,7 @@ def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         "confidential": (confidential_sql, "orders"),
     }
     build, base = source[name]
-    return spark.sql(build(spark_ref(sf_dir, base))).select("doc_id", "text")
+    return planted(spark, sf_dir, build("{base}"), base).select("doc_id", "text")
 
 
 def all_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:

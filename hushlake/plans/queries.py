@@ -22,7 +22,7 @@ from hushlake.operators.redact import sanitize_table
 from hushlake.operators.sessions import hit_rows, sanitize_sessions
 from hushlake.operators.structured import leaf_table, sanitize_structured
 from hushlake.plans import oracles as o
-from hushlake.plans.corpora import all_corpora, corpus, pii_sql, secrets_sql, spark_ref, table
+from hushlake.plans.corpora import all_corpora, corpus, pii_sql, planted, secrets_sql, table
 from hushlake.rules import BUILTIN_RULES, selected_rules
 from hushlake.sources.files import decode_text, sanitize_file_rows
 from hushlake.sources.office import docx_text, docx_warnings, xlsx_text
@@ -30,6 +30,7 @@ from hushlake.sources.scratch import scratch_path
 from hushlake.streaming.redaction import read_document_stream, sanitize_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
+CUSTOMER = ["c_custkey", "c_name", "c_mktsegment"]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -62,13 +63,13 @@ def _positions(results: DataFrame, key: str) -> DataFrame:
 # --- redaction of the given tables ------------------------------------------
 @query("sanitize_documents", o.free_text_content("documents", "doc_id", "text"))
 def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     return _content(sanitize_table(docs, mode="pii"), "doc_id")
 
 
 @query("sanitize_pages", o.free_text_content("pages", "page_id", "html"))
 def sanitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = table(spark, sf_dir, "pages", ["page_id", "html"])
     return _content(sanitize_table(pages, "html", mode="pii"), "page_id")
 
 
@@ -323,7 +324,7 @@ _CUSTOM_STEPS = """regexp_replace(regexp_replace(regexp_replace(text,
         AS detection_count FROM documents""",
 )
 def custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     cfg = SanitizeConfig(mode="secrets_only", custom_rules=CUSTOM_RULES)
     return _content(sanitize_table(docs, config=cfg), "doc_id")
 
@@ -332,8 +333,8 @@ def custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _check_query(name: str, column: str, check: Callable[[str], object], verdict: str) -> None:
     @query(name, f"SELECT doc_id, {verdict} AS valid FROM {o.PII} q")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        planted = spark.sql(pii_sql(spark_ref(sf_dir, "customer")))
-        return planted.select("doc_id", check(column).alias("valid"))
+        values = planted(spark, sf_dir, pii_sql("{base}"), "customer")
+        return values.select("doc_id", check(column).alias("valid"))
 
 
 _check_query("luhn_valid", "card", luhn_valid, "card_ok")
@@ -346,7 +347,7 @@ _check_query("mykad_valid", "mykad", mykad_valid, "mykad_ok")
     "SELECT o_orderkey, printf('[ORDER_%03d]', o_orderkey) AS token FROM orders",
 )
 def placeholder_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders", ["o_orderkey"]).select(
         "o_orderkey", placeholder("'ORDER'", "cast(o_orderkey as int)").alias("token")
     )
 
@@ -360,7 +361,7 @@ def placeholder_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hits_with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [r for r in BUILTIN_RULES if r.category == "EMAIL"]
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("__text"))
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"]).withColumnRenamed("text", "__text")
     found = pin(docs.select("doc_id", F.expr(all_hits("__text", rules)).alias("hits")), "hits")
     hits = found.select("doc_id", F.explode("hits").alias("h"))
     return hits.select(
@@ -422,7 +423,7 @@ def resolve_overlaps_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = f"""transform(sequence(0, 7), i -> named_struct('start', {_SPAN_START},
         'end', {_SPAN_START} + {_SPAN_LENGTH}, 'rank', i, 'rule', i, 'value', ''))"""
     kept = (
-        table(spark, sf_dir, "orders")
+        table(spark, sf_dir, "orders", ["o_orderkey"])
         .select("o_orderkey", F.expr(spans).cast(f"array<{HIT}>").alias("__hits"))
         .select("o_orderkey", F.expr(resolve("__hits")).alias("kept"))
     )
@@ -438,7 +439,7 @@ _DOC_PARTS = f"WITH {o.free_text_parts('documents', 'doc_id', 'text')}"
 
 
 def _documents_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     return sanitize_table(docs, mode="pii")
 
 
@@ -579,7 +580,7 @@ _LIMITED = SanitizeConfig(mode="pii", max_text_length=4000)
         length(text) <= 4000 AS admitted FROM documents""",
 )
 def text_length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     return admission.text_length_gate(docs, "text", _LIMITED).select(
         "doc_id", F.col("n_chars").cast("long").alias("text_length"), "admitted"
     )
@@ -598,7 +599,7 @@ def text_length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         cast(CASE WHEN chars > 4000 THEN 0 ELSE n END as bigint) AS detection_count FROM done""",
 )
 def fail_closed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     return sanitize_table(docs, config=_LIMITED).select(
         "doc_id",
         "sanitized",
@@ -615,7 +616,7 @@ def fail_closed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         cast(0 as bigint) AS detection_count FROM documents""",
 )
 def mode_off(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     return sanitize_table(docs, mode="off").select(
         "doc_id",
         "content",
@@ -760,7 +761,7 @@ _CSV = f"""concat('email,id\\n', {_MAIL1}, ',', cast(c_custkey as string), '\\n"
 
 
 def _structured(spark: SparkSession, sf_dir: str, doc: str, kind: str) -> DataFrame:
-    docs = table(spark, sf_dir, "customer").select("c_custkey", F.expr(doc).alias("text"))
+    docs = table(spark, sf_dir, "customer", CUSTOMER).select("c_custkey", F.expr(doc).alias("text"))
     return sanitize_structured(docs, "text", kind, mode="pii", key="c_custkey")
 
 
@@ -847,7 +848,7 @@ def nested_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = f"""named_struct('email', {_MAIL1}, 'id', c_custkey,
         'tags', array('keep', {_MAIL2}, {_MAIL1}),
         'attrs', map(concat('key', cast(c_custkey as string), '@x.com'), concat('see ', {_MAIL2})))"""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(record).alias("r"))
+    rows = table(spark, sf_dir, "customer", CUSTOMER).select("c_custkey", F.expr(record).alias("r"))
     return sanitize_nested(rows, "r", mode="pii").select(
         "c_custkey",
         "r.email",
@@ -868,7 +869,7 @@ def nested_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
             {'ord': 2, 'path': '$.a[2]', 'content': '[EMAIL_001] ok'}]) AS l FROM customer) x""",
 )
 def leaf_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_JSON).alias("text"))
+    docs = table(spark, sf_dir, "customer", CUSTOMER).select("c_custkey", F.expr(_JSON).alias("text"))
     leaves = leaf_table(docs, "text", F.lit("json"))
     out = sanitize_sessions(leaves, "value", ["c_custkey"], "leaf_ord", "pii")
     return out.select("c_custkey", F.col("leaf_ord").cast("long").alias("leaf_ord"), "path", "content")
@@ -884,7 +885,7 @@ def _mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 1 THEN {_JSON} WHEN 2 THEN {_YAML} WHEN 3 THEN {_XML} WHEN 4 THEN {_CSV}
         ELSE {_MAIL1} END"""
     return (
-        table(spark, sf_dir, "customer")
+        table(spark, sf_dir, "customer", CUSTOMER)
         .select(F.expr(_KIND_PATH).alias("path"), F.expr(text).cast("binary").alias("content"))
         .withColumn("length", F.octet_length("content").cast("long"))
     )
@@ -959,7 +960,7 @@ def docx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     paragraphs = f"""array(array('  Dear ', c_name, ' '), array(' ', '\\t'),
         array('write to user', cast(c_custkey % 50 as string),
               substring({_MAIL1}, length(concat('user', cast(c_custkey % 50 as string))) + 1)))"""
-    parts = table(spark, sf_dir, "customer").select(
+    parts = table(spark, sf_dir, "customer", CUSTOMER).select(
         "c_custkey",
         F.expr(paragraphs).alias("paragraphs"),
         F.expr("c_custkey % 2 = 0").alias("has_media"),
@@ -996,7 +997,7 @@ def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             sheet.format(1, f"array({c1}, {c2})"),
         ]
     )
-    parts = table(spark, sf_dir, "customer").select(
+    parts = table(spark, sf_dir, "customer", CUSTOMER).select(
         "c_custkey",
         F.expr(f"array(c_name, {_MAIL1})").alias("shared"),
         F.expr(f"array({sheets})").alias("sheets"),
@@ -1023,7 +1024,7 @@ def audit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents WHERE length(text) > 4000""",
 )
 def warning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     return report.warning_rows(sanitize_table(docs, config=_LIMITED), ["doc_id"])
 
 
@@ -1034,10 +1035,10 @@ def warning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The password is repeated later as ordinary prose, where no rule sees it."""
-    planted = spark.sql(secrets_sql(spark_ref(sf_dir, "customer"))).select(
+    repeated = planted(spark, sf_dir, secrets_sql("{base}"), "customer").select(
         "doc_id", F.concat("text", F.lit(" again "), "password").alias("text")
     )
-    return report.leak_check(planted, ["doc_id"], mode="pii")
+    return report.leak_check(repeated, ["doc_id"], mode="pii")
 
 
 @query("stream_sanitize", ORACLES["sanitize_documents"])
