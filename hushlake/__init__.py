@@ -1,11 +1,12 @@
 """Find and redact sensitive data in tables of documents, on Spark."""
 
 from hushlake.config import CustomRule, SanitizeConfig
+from hushlake.functions.pin import spread
 from hushlake.operators.admission import admit
 from hushlake.operators.nested import sanitize_nested
 from hushlake.operators.redact import sanitize_table
 from hushlake.operators.sessions import sanitize_sessions
-from hushlake.operators.structured import leaf_table, sanitize_structured
+from hushlake.operators.structured import leaf_table, sanitize_declared, sanitize_structured
 from hushlake.sources.files import sanitize_file_rows, sanitize_files
 from hushlake.streaming.redaction import sanitize_stream
 
@@ -14,6 +15,7 @@ __all__ = [
     "SanitizeConfig",
     "admit",
     "leaf_table",
+    "sanitize_declared",
     "sanitize_file_rows",
     "sanitize_files",
     "sanitize_nested",
@@ -21,4 +23,5 @@ __all__ = [
     "sanitize_stream",
     "sanitize_structured",
     "sanitize_table",
+    "spread",
 ]

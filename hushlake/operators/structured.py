@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from hushlake.config import SanitizeConfig
 from hushlake.functions.arrays import empty_array
 from hushlake.functions.pin import pin
+from hushlake.operators.nested import sanitize_nested
 from hushlake.operators.redact import Settings, result_columns, with_leaf_detections
 from hushlake.rules import selected_rules
 from hushlake.sources.structured import (
@@ -122,6 +124,62 @@ def sanitize_structured(
     return redact_documents(docs, cfg).withColumnRenamed("path", key)
 
 
+_READERS = {"json": F.from_json, "xml": F.from_xml, "csv": F.from_csv}
+_WRITERS = {"json": F.to_json, "xml": F.to_xml, "csv": F.to_csv}
+_CORRUPT = "__corrupt"
+
+
+def sanitize_declared(
+    df: DataFrame,
+    text_col: str,
+    schema: StructType,
+    content_type: str,
+    mode: str | None = None,
+    config: Settings = None,
+) -> DataFrame:
+    """Redact JSON, XML or single-row CSV texts of a declared schema, in the JVM.
+
+    Fields are visited in the order of ``schema``; only its fields are kept, and
+    those not declared as strings stay as they are. A text that does not fit the
+    schema is redacted as plain text, with a warning. The text column is replaced
+    by ``content``, ``warnings``, ``detections``, ``detection_count``,
+    ``categories`` and ``error``.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    with_corrupt = StructType([*schema.fields, StructField(_CORRUPT, StringType())])
+    reader = _READERS[content_type]
+    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_corrupt)
+    tree = reader(F.col(text_col), declared, options)
+    others = [c for c in df.columns if c != text_col]
+    parsed = pin(df.withColumn("__parsed", tree), "__parsed")
+    bad = F.col(text_col).isNotNull() & (
+        F.col("__parsed").isNull() | F.col(f"__parsed.{_CORRUPT}").isNotNull()
+    )
+    both = F.struct(
+        F.when(~bad, F.struct(*[F.col(f"__parsed.`{f.name}`") for f in schema])).alias("tree"),
+        F.when(bad, F.col(text_col)).alias("plain"),
+    )
+    done = sanitize_nested(parsed.select(*others, both.alias("__doc")), "__doc", mode, config)
+    # null fields are kept; to_csv always writes them
+    keep_nulls = {"json": {"ignoreNullFields": "false"}, "xml": {"rowTag": "ROW"}, "csv": {}}
+    written = _WRITERS[content_type](F.col("__doc.tree"), keep_nulls[content_type])
+    fell_back = F.col("__doc.plain").isNotNull()
+    return done.select(
+        *others,
+        F.when(F.col("error").isNotNull(), F.lit(""))
+        .when(fell_back, F.col("__doc.plain"))
+        .otherwise(written)
+        .alias("content"),
+        F.array_compact(
+            F.array(F.when(fell_back, F.lit(FALLBACK_WARNINGS[content_type])))
+        ).alias("warnings"),
+        "detections",
+        "detection_count",
+        "categories",
+        "error",
+    )
+
+
 def leaf_table(docs: DataFrame, text_col: str, content_type: Column) -> DataFrame:
     """One row per string leaf: other columns, leaf_ord, path, kind, value."""
     others = [c for c in docs.columns if c != text_col]

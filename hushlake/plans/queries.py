@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hushlake.config import CustomRule, SanitizeConfig
 from hushlake.functions.pin import pin
@@ -20,7 +21,7 @@ from hushlake.operators.overlap import resolve_overlaps as resolve
 from hushlake.operators.pages import assemble_pages
 from hushlake.operators.redact import sanitize_table
 from hushlake.operators.sessions import hit_rows, sanitize_sessions
-from hushlake.operators.structured import leaf_table, sanitize_structured
+from hushlake.operators.structured import leaf_table, sanitize_declared, sanitize_structured
 from hushlake.plans import oracles as o
 from hushlake.plans.corpora import all_corpora, corpus, pii_sql, planted, secrets_sql, table
 from hushlake.rules import BUILTIN_RULES, selected_rules
@@ -818,6 +819,75 @@ def csv_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _content(_structured(spark, sf_dir, _CSV, "csv"), "c_custkey")
 
 
+# --- the same with a declared schema, without Python ---------------------------
+def _declared(
+    spark: SparkSession, sf_dir: str, doc: str, schema: str, kind: str
+) -> DataFrame:
+    docs = table(spark, sf_dir, "customer", CUSTOMER).select("c_custkey", F.expr(doc).alias("text"))
+    fields = T.StructType.fromDDL(schema)
+    out = sanitize_declared(docs, "text", fields, kind, mode="pii")
+    return out.withColumn("detection_count", F.col("detection_count").cast("long")).withColumn(
+        "warnings", F.array_join("warnings", "|")
+    )
+
+
+_JSON_BROKEN = f"""CASE WHEN c_custkey % 5 = 2 THEN concat('{{', {_MAIL1}) ELSE concat(
+    '{{"b": {{"mail": "', {_MAIL1}, '", "id": ', cast(c_custkey as string),
+    '}}, "a": ["', {_MAIL2}, '", "', {_MAIL1}, ' ok"], "n": null}}') END"""
+
+
+@query(
+    "json_sanitize_declared",
+    """SELECT c_custkey, CASE WHEN c_custkey % 5 = 2 THEN NULL ELSE '[EMAIL_001]' END AS mail,
+        CASE WHEN c_custkey % 5 = 2 THEN NULL ELSE cast(c_custkey as string) END AS id,
+        CASE WHEN c_custkey % 5 = 2 THEN NULL ELSE '[EMAIL_002]' END AS a0,
+        CASE WHEN c_custkey % 5 = 2 THEN 'Malformed JSON; sanitized as plain text' ELSE '' END
+            AS warnings,
+        CASE WHEN c_custkey % 5 = 2 THEN '{[EMAIL_001]' END AS plain,
+        cast(CASE WHEN c_custkey % 5 = 2 THEN 1 ELSE 3 END as bigint) AS detection_count
+    FROM customer""",
+)
+def json_sanitize_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "b STRUCT<mail: STRING, id: BIGINT>, a ARRAY<STRING>, n STRING"
+    out = _declared(spark, sf_dir, _JSON_BROKEN, schema, "json")
+    return out.select(
+        "c_custkey",
+        F.get_json_object("content", "$.b.mail").alias("mail"),
+        F.get_json_object("content", "$.b.id").alias("id"),
+        F.get_json_object("content", "$.a[0]").alias("a0"),
+        "warnings",
+        F.when(F.col("warnings") != "", F.col("content")).alias("plain"),
+        "detection_count",
+    )
+
+
+@query(
+    "xml_sanitize_declared",
+    """SELECT c_custkey, '[EMAIL_001]' AS mail, '[EMAIL_002]' AS email,
+        cast(2 as bigint) AS detection_count FROM customer""",
+)
+def xml_sanitize_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = f"""concat('<user mail="', {_MAIL1}, '"><email>', {_MAIL2}, '</email><n>5</n></user>')"""
+    out = _declared(spark, sf_dir, doc, "_mail STRING, email STRING, n INT", "xml")
+    return out.select(
+        "c_custkey",
+        F.regexp_extract("content", '<ROW mail="([^"]*)"', 1).alias("mail"),
+        F.regexp_extract("content", "<email>([^<]*)</email>", 1).alias("email"),
+        "detection_count",
+    )
+
+
+@query(
+    "csv_sanitize_declared",
+    """SELECT c_custkey, concat('[EMAIL_001],', cast(c_custkey as string), ',[EMAIL_002]')
+        AS content, cast(2 as bigint) AS detection_count FROM customer""",
+)
+def csv_sanitize_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = f"concat({_MAIL1}, ',', cast(c_custkey as string), ',', {_MAIL2})"
+    out = _declared(spark, sf_dir, doc, "mail STRING, id INT, other STRING", "csv")
+    return out.select("c_custkey", "content", "detection_count")
+
+
 _BROKEN = f"concat('{{\"mail\": \"', {_MAIL1}, '\"', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '}}' END)"
 
 

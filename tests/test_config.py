@@ -54,4 +54,4 @@ def test_ties_prefer_confidence_then_order():
 def test_registry_is_complete():
     from hushlake.plans.queries import ORACLES, QUERIES
 
-    assert len(QUERIES) == 66 and set(ORACLES) == set(QUERIES)
+    assert len(QUERIES) == 69 and set(ORACLES) == set(QUERIES)
