@@ -15,8 +15,13 @@ from hushlake.config import SanitizeConfig
 from hushlake.functions.arrays import empty_array
 from hushlake.functions.pin import pin
 from hushlake.operators.nested import sanitize_nested
-from hushlake.operators.redact import Settings, result_columns, with_leaf_detections
-from hushlake.rules import selected_rules
+from hushlake.operators.redact import (
+    Settings,
+    result_columns,
+    with_detections,
+    with_leaf_detections,
+)
+from hushlake.rules import Rule, selected_rules
 from hushlake.sources.structured import (
     FALLBACK_WARNINGS,
     YAML_MISSING_WARNING,
@@ -36,9 +41,12 @@ def fallback_warning(kind: Column) -> Column:
     return warning
 
 
-def redact_documents(docs: DataFrame, cfg: SanitizeConfig) -> DataFrame:
+def redact_documents(
+    docs: DataFrame, cfg: SanitizeConfig, structured: bool = True
+) -> DataFrame:
     """``docs`` has path, file_name, content_type, text, extract_warnings, and
-    error/message of rows rejected before."""
+    error/message of rows rejected before. With ``structured`` off every text is
+    taken as plain, and the plan has no Python step."""
     kind = F.col("content_type")
     too_long = F.col("error").isNull() & (F.length("text") > cfg.max_text_length)
     gated = (
@@ -55,40 +63,18 @@ def redact_documents(docs: DataFrame, cfg: SanitizeConfig) -> DataFrame:
         )
         .withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
         .withColumn("__kind", F.when(kind != "text", kind))
-        .withColumn("__tree", F.when(F.col("__kind").isNotNull(), F.col("text")))
-    )
-    gated = pin(gated, "text", "__kind", "__tree", "error", "message").withColumn(
-        "__parsed", parse_leaves(F.col("__kind"), F.col("__tree"))
-    )
-    worked = with_leaf_detections(
-        gated,
-        F.coalesce(F.col("__parsed"), F.array(F.col("text"))),
-        selected_rules(cfg),
-        "__leaves_out",
-        "__detections",
     )
-    parsed = F.col("__parsed").isNotNull()
-    done = worked.withColumn(
-        "__rendered",
-        render_leaves(
-            F.when(parsed, F.col("__kind")),
-            F.when(parsed, F.col("__tree")),
-            F.when(parsed, F.col("__leaves_out")),
-        ),
-    )
-    fell_back = F.col("__kind").isNotNull() & F.col("__parsed").isNull()
+    worked = (_by_leaves if structured else _as_plain)(gated, selected_rules(cfg))
     warnings = F.when(
         F.col("error").isNotNull(), F.array_compact(F.array(F.col("message")))
     ).otherwise(
         F.concat(
             F.coalesce(F.col("extract_warnings"), F.expr(empty_array("string"))),
-            F.array_compact(F.array(F.when(fell_back, fallback_warning(kind)))),
+            F.array_compact(F.array(F.when(F.col("__fell_back"), fallback_warning(kind)))),
         )
     )
     cols = result_columns(
-        F.when(F.col("__parsed").isNotNull(), F.col("__rendered")).otherwise(
-            F.get(F.col("__leaves_out"), F.lit(0))
-        ),
+        F.col("__content"),
         F.col("__detections"),
         warnings,
         F.col("error"),
@@ -97,7 +83,42 @@ def redact_documents(docs: DataFrame, cfg: SanitizeConfig) -> DataFrame:
         kind,
         F.lit(False),
     )
-    return done.select("path", *[c.alias(n) for n, c in cols.items()])
+    return worked.select("path", *[c.alias(n) for n, c in cols.items()])
+
+
+def _as_plain(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Add ``__content, __detections, __fell_back`` without parsing."""
+    plain = with_detections(docs, F.col("text"), rules, "__content", "__detections")
+    return plain.withColumn("__fell_back", F.lit(False))
+
+
+def _by_leaves(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The same through the leaves of structured documents."""
+    docs = docs.withColumn("__tree", F.when(F.col("__kind").isNotNull(), F.col("text")))
+    docs = pin(docs, "text", "__kind", "__tree", "error", "message").withColumn(
+        "__parsed", parse_leaves(F.col("__kind"), F.col("__tree"))
+    )
+    parsed = F.col("__parsed").isNotNull()
+    worked = with_leaf_detections(
+        docs,
+        F.coalesce(F.col("__parsed"), F.array(F.col("text"))),
+        rules,
+        "__leaves_out",
+        "__detections",
+    ).withColumn(
+        "__rendered",
+        render_leaves(
+            F.when(parsed, F.col("__kind")),
+            F.when(parsed, F.col("__tree")),
+            F.when(parsed, F.col("__leaves_out")),
+        ),
+    )
+    content = F.when(parsed, F.col("__rendered")).otherwise(
+        F.get(F.col("__leaves_out"), F.lit(0))
+    )
+    return worked.withColumn("__content", content).withColumn(
+        "__fell_back", F.col("__kind").isNotNull() & ~parsed
+    )
 
 
 def sanitize_structured(

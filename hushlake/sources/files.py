@@ -9,7 +9,10 @@ from hushlake.config import SanitizeConfig
 from hushlake.functions.arrays import empty_array
 from hushlake.operators.admission import (
     IMAGE_EXTENSIONS,
+    OFFICE_EXTENSIONS,
     PDF_EXTENSIONS,
+    PLAIN_EXTENSIONS,
+    STRUCTURED_EXTENSIONS,
     SUPPORTED_EXTENSIONS,
     admit,
     content_type,
@@ -33,14 +36,17 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_admissible(
-    spark: SparkSession, path: str | list[str], config: SanitizeConfig
+    spark: SparkSession,
+    path: str | list[str],
+    config: SanitizeConfig,
+    extensions: tuple[str, ...] = SUPPORTED_EXTENSIONS,
 ) -> DataFrame:
-    """Files of a supported type and size, with contents. Both tests reach the
-    scan, so larger or foreign files are never opened."""
+    """Files of some types within the size limit, with contents. Both tests reach
+    the scan, so larger or foreign files are never opened."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", extension_glob(SUPPORTED_EXTENSIONS))
+        .option("pathGlobFilter", extension_glob(extensions))
         .load(path)
         .where(F.col("length") <= config.max_file_bytes)
     )
@@ -52,40 +58,41 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(text, F.lit("\r\n?"), F.lit("\n"))
 
 
-def extract_documents(files: DataFrame) -> DataFrame:
+def extract_documents(files: DataFrame, office: bool = True) -> DataFrame:
     """Add ``text, content_type, extract_warnings, extract_error`` to admitted
-    files that hold ``content`` and ``ext``."""
+    files that hold ``content`` and ``ext``. Without ``office`` no file is
+    unpacked, and the plan has no Python step."""
     ext = F.col("ext")
-    is_office = ext.isin(".docx", ".xlsx")
     no_text = ext.isin(*PDF_EXTENSIONS, *IMAGE_EXTENSIONS)
-    parts = files.withColumn(
-        "__docx", docx_parts(F.when(ext == ".docx", F.col("content")))
-    ).withColumn("__xlsx", xlsx_parts(F.when(ext == ".xlsx", F.col("content"))))
-    return (
-        parts.withColumn("content_type", content_type(ext))
-        .withColumn(
-            "text",
+    text = F.when(~no_text, decode_text(F.col("content")))
+    warnings = F.expr(empty_array("string"))
+    bad = F.lit(None).cast("string")
+    if office:
+        files = files.withColumn(
+            "__docx", docx_parts(F.when(ext == ".docx", F.col("content")))
+        ).withColumn("__xlsx", xlsx_parts(F.when(ext == ".xlsx", F.col("content"))))
+        text = (
             F.when(ext == ".docx", docx_text("__docx.paragraphs", "__docx.has_media"))
             .when(ext == ".xlsx", xlsx_text("__xlsx.shared", "__xlsx.sheets"))
-            .when(~no_text, decode_text(F.col("content"))),
+            .otherwise(text)
         )
-        .withColumn(
-            "extract_warnings",
-            F.when(ext == ".docx", docx_warnings("__docx.has_media")).otherwise(
-                F.expr(empty_array("string"))
-            ),
-        )
-        .withColumn("__bad", F.coalesce(F.col("__docx.error"), F.col("__xlsx.error")))
+        warnings = F.when(ext == ".docx", docx_warnings("__docx.has_media")).otherwise(warnings)
+        bad = F.coalesce(F.col("__docx.error"), F.col("__xlsx.error"))
+    return (
+        files.withColumn("content_type", content_type(ext))
+        .withColumn("text", text)
+        .withColumn("extract_warnings", warnings)
+        .withColumn("__bad", bad)
         .withColumn(
             "extract_error",
-            F.when(is_office & F.col("__bad").isNotNull(), F.lit("CorruptDocumentError")).when(
+            F.when(F.col("__bad").isNotNull(), F.lit("CorruptDocumentError")).when(
                 no_text, F.lit("UnsupportedFormatError")
             ),
         )
         .withColumn(
             "extract_message",
             F.when(
-                is_office & F.col("__bad").isNotNull(),
+                F.col("__bad").isNotNull(),
                 F.concat(F.lit("Cannot unpack document: "), F.col("__bad")),
             ).when(no_text, unsupported_without_text(ext)),
         )
@@ -94,11 +101,16 @@ def extract_documents(files: DataFrame) -> DataFrame:
 
 
 def sanitize_file_rows(
-    files: DataFrame, mode: str | None = None, config: Settings = None
+    files: DataFrame,
+    mode: str | None = None,
+    config: Settings = None,
+    structured: bool = True,
+    office: bool = True,
 ) -> DataFrame:
     """Redact rows shaped like the ``binaryFile`` source: path, length, content.
 
-    Every input row gives one result row; rejected ones fail closed.
+    Every input row gives one result row; rejected ones fail closed. ``structured``
+    and ``office`` may be off if the input holds no such files.
     """
     cfg = SanitizeConfig.resolve(config, mode)
     if cfg.mode == "off":
@@ -113,11 +125,11 @@ def sanitize_file_rows(
         return files.select("path", *[c.alias(n) for n, c in cols.items()])
     gated = admit(files, cfg)
     opened = gated.withColumn("content", F.when(F.col("error").isNull(), F.col("content")))
-    docs = extract_documents(opened)
+    docs = extract_documents(opened, office)
     docs = docs.withColumn("error", F.coalesce("error", "extract_error")).withColumn(
         "message", F.coalesce("message", "extract_message")
     )
-    return redact_documents(docs, cfg)
+    return redact_documents(docs, cfg, structured)
 
 
 def sanitize_files(
@@ -128,8 +140,9 @@ def sanitize_files(
 ) -> DataFrame:
     """Redact all files below ``path``.
 
-    Rejected files come from a listing without contents, so they are reported
-    without being read; the others are read once.
+    Files that cannot be processed come from a listing without contents, so they
+    are reported without being read. The others are read once, by family: plain
+    texts never meet Python.
     """
     cfg = SanitizeConfig.resolve(config, mode)
     if cfg.mode == "off":
@@ -137,15 +150,23 @@ def sanitize_files(
             spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         )
         return sanitize_file_rows(everything, config=cfg)
-    rejected = (
-        admit(list_files(spark, path), cfg)
-        .where(F.col("error").isNotNull())
-        .select("path", "length", F.lit(None).cast("binary").alias("content"))
+    listed = admit(list_files(spark, path), cfg)
+    textless = F.col("ext").isin(*PDF_EXTENSIONS, *IMAGE_EXTENSIONS)
+    unread = listed.where(F.col("error").isNotNull() | textless).select(
+        "path", "length", F.lit(None).cast("binary").alias("content")
     )
-    read = read_admissible(spark, path, cfg).select("path", "length", "content")
-    return sanitize_file_rows(rejected, config=cfg).unionByName(
-        sanitize_file_rows(read, config=cfg)
+    out = sanitize_file_rows(unread, config=cfg, structured=False, office=False)
+    families = (
+        (PLAIN_EXTENSIONS, False, False),
+        (tuple(STRUCTURED_EXTENSIONS), True, False),
+        (OFFICE_EXTENSIONS, False, True),
     )
+    for extensions, structured, office in families:
+        read = read_admissible(spark, path, cfg, extensions).select("path", "length", "content")
+        out = out.unionByName(
+            sanitize_file_rows(read, config=cfg, structured=structured, office=office)
+        )
+    return out
 
 
 def requested_files(paths: DataFrame, listing: DataFrame) -> DataFrame:

@@ -55,3 +55,19 @@ def test_registry_is_complete():
     from hushlake.plans.queries import ORACLES, QUERIES
 
     assert len(QUERIES) == 69 and set(ORACLES) == set(QUERIES)
+
+
+@pytest.mark.parametrize(
+    "settings",
+    [
+        {"mode": "off"}, {"mode": "pii"}, {"mode": "strict", "confidence_threshold": 0.93},
+        {"mode": "confidential", "disable_categories": ("NAME", "JWT")},
+        {"mode": "strict", "enable_categories": ("NAME", "AMOUNT"), "disable_categories": ("AMOUNT",)},
+    ],
+)
+def test_rules_as_a_table(spark, settings):
+    from hushlake.rules import rules_table, select_rules_table
+
+    cfg = SanitizeConfig(**settings)
+    rows = select_rules_table(rules_table(spark), cfg).orderBy("rule_ord").collect()
+    assert [r.category for r in rows] == [r.category for r in selected_rules(cfg)]
