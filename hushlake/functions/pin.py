@@ -25,5 +25,7 @@ def spread(df: DataFrame) -> DataFrame:
     A source that already has a partition per core, as any large one does, is
     returned as it is, without a shuffle.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df

@@ -113,7 +113,8 @@ def number_sessions(
         .agg(F.min(F.struct(F.col(order).alias("row"), F.col(start).alias("at"))).alias("first"))
         .withColumn("block", F.floor(F.col("first.row") / F.lit(block_rows)))
     )
-    in_block = Window.partitionBy(*keys, "block").orderBy("first")
+    # the value breaks ties, so that a recomputed task gives the same numbers
+    in_block = Window.partitionBy(*keys, "block").orderBy("first", value)
     ranked = firsts.withColumn("in_block", F.row_number().over(in_block))
     before = Window.partitionBy(*keys).orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1

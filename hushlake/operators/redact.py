@@ -84,8 +84,12 @@ def no_detections() -> Column:
 
 
 def admitted_text(text: Column, config: SanitizeConfig) -> Column:
-    """The text, or null where it is too long to process."""
-    return F.when(F.length(text) <= config.max_text_length, text)
+    """The text, or null where it is too long to process.
+
+    Bytes that are no UTF-8 become U+FFFD here: offsets are only defined on valid
+    text. Valid text is passed on as it is.
+    """
+    return F.when(F.length(text) <= config.max_text_length, F.make_valid_utf8(text))
 
 
 def with_detections(
@@ -128,7 +132,7 @@ def with_leaf_detections(
     sizes = prefix_sums("transform(__kept, lk -> size(lk))")
     bound = struct(numbers="__numbers", offsets=sizes)
     worked = (
-        df.withColumn("__leaves", leaves)
+        df.withColumn("__leaves", F.transform(leaves, F.make_valid_utf8))
         .withColumn(
             "__kept", F.expr(f"transform(__leaves, lt -> {kept_hits('lt', rules)})")
         )

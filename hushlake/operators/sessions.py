@@ -57,17 +57,19 @@ def sanitize_sessions(
 ) -> DataFrame:
     """Redact ``text_col``; equal values share a placeholder within a session.
 
-    ``session`` plus ``order`` identify a row; ``order`` is a whole number. Rows
-    over the length limit get an empty text and ``error``.
+    ``order`` is a whole number that places rows within their session. Rows over
+    the length limit get an empty text and ``error``.
     """
     cfg = SanitizeConfig.resolve(config, mode)
     rules = selected_rules(cfg)
-    keys = [*session, order]
+    # rows that share session and order are told apart by their text
+    keys = [*session, order, "__row"]
     others = [c for c in df.columns if c != text_col]
     too_long = F.coalesce(F.length(text_col) > cfg.max_text_length, F.lit(False))
     base = df.withColumn(
         "error", F.when(too_long, F.lit("FileTooLargeError"))
     ).withColumn("__text", admitted_text(F.col(text_col), cfg))
+    base = base.withColumn("__row", F.coalesce(F.xxhash64(text_col), F.lit(0)))
     if not rules:
         return base.select(
             *others,
@@ -90,7 +92,7 @@ def sanitize_sessions(
         ).alias("d"),
     )
     by_start = (
-        "transform(sort_array(collect_list(struct(d.start, d.end, d))), x -> x.d)"
+        "transform(sort_array(collect_set(struct(d.start, d.end, d))), x -> x.d)"
     )
     per_row = tagged.groupBy(*keys).agg(F.expr(by_start).alias("detections"))
     joined = base.join(per_row, keys, "left").withColumn(

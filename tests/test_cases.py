@@ -166,3 +166,11 @@ def test_text_column_is_dropped(spark):
     out = sanitize_table(spark.sql("select 1 id, 'x a@b.com' body"), "body", mode="pii")
     assert "body" not in out.columns and not any(c.startswith("__") for c in out.columns)
     assert "a@b.com" not in str(out.collect())
+
+
+def test_invalid_bytes_do_not_shift_offsets(spark):
+    from hushlake import sanitize_table
+
+    df = spark.sql("select cast(unhex('FFC3E282') || cast(' to a@b.com ' as binary) || unhex('80') as string) text")
+    row = sanitize_table(df, mode="pii").first()
+    assert row.content.endswith(" to [EMAIL_001] \ufffd") and "@" not in row.content

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushlake import (
+    CustomRule,
     SanitizeConfig,
     sanitize_files,
     sanitize_nested,
@@ -253,6 +254,14 @@ def test_sessions_match_brute_force(spark):
             assert got[session, turn].content == want
 
 
+def test_sessions_with_shared_order(spark):
+    rows = [("s", 1, "a@b.com"), ("s", 1, "x a@b.com c@d.com"), ("s", 1, "a@b.com"), ("s", 2, None)]
+    df = spark.createDataFrame(rows, "s string, t int, text string")
+    cfg = SanitizeConfig(custom_rules=(CustomRule("x", r"\bx\b", "[X]"),))
+    got = sorted(str(r.content) for r in sanitize_sessions(df, "text", ["s"], "t", config=cfg).collect())
+    assert got == ["None", "[EMAIL_001]", "[EMAIL_001]", "[X] [EMAIL_001] [EMAIL_002]"]
+
+
 @pytest.mark.parametrize("block", [1, 7, 4096])
 def test_numbering_blocks_agree(spark, block):
     rng = random.Random(9)
