@@ -111,7 +111,7 @@ def number_sessions(
     firsts = (
         hits.groupBy(*keys, value)
         .agg(F.min(F.struct(F.col(order).alias("row"), F.col(start).alias("at"))).alias("first"))
-        .withColumn("block", F.floor(F.col("first.row") / F.lit(block_rows)))
+        .withColumn("block", F.expr(f"first.row div {block_rows}"))
     )
     # the value breaks ties, so that a recomputed task gives the same numbers
     in_block = Window.partitionBy(*keys, "block").orderBy("first", value)

@@ -73,7 +73,7 @@ def assemble_pages(
     )
     # runs of pages first: small groups, and far fewer rows for the second step
     runs = (
-        kept.withColumn("run", F.floor(F.col("page_no") / RUN_PAGES))
+        kept.withColumn("run", F.expr(f"page_no div {RUN_PAGES}"))
         .groupBy("doc", "run")
         .agg(F.sort_array(F.collect_list(page)).alias("pages"))
         .select(
