@@ -21,7 +21,8 @@ def number_in_row(items: str) -> str:
     """Numbers for ``array<struct<leaf,start,end,category,value>>``, in order of
     ``(leaf, start, end)``.
 
-    Sorting replaces lookups, so the cost is n log n: equal values become
+    Where no category occurs twice, every number is 1. Otherwise sorting replaces
+    lookups, so the cost is n log n: equal values become
     neighbours and learn where their value first appears; sorting by that place
     turns numbering into counting.
     """
@@ -80,7 +81,8 @@ def number_in_row(items: str) -> str:
     )
     single = struct(leaf="nh.leaf", start="nh.start", end="nh.end", number="1")
     numbered = f"""CASE WHEN size(nitems) < 1 THEN {empty_array(NUMBER)}
-        WHEN size(nitems) = 1 THEN transform(nitems, nh -> {single})
+        WHEN size(array_distinct(transform(nitems, nh -> nh.category))) = size(nitems)
+            THEN transform(nitems, nh -> {single})
         ELSE sort_array({numbers}.out) END"""
     return let("nitems", items, numbered)
 

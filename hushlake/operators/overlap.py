@@ -38,9 +38,13 @@ def resolve_overlaps(hits: str) -> str:
         return f"""CASE WHEN {joins(st, h)} THEN {empty_array(HIT)}
             ELSE {_greedy(f"{st}.open")} END"""
 
-    folded = fold_emit(
-        f"sort_array({hits})", struct(reach="-1", open=empty_array(HIT)), step, emit, HIT
-    )
+    folded = fold_emit("ordered", struct(reach="-1", open=empty_array(HIT)), step, emit, HIT)
     last = _greedy("res.st.open")
-    return f"""CASE WHEN size({hits}) <= 1 THEN {hits}
-        ELSE {let("res", folded, f"concat(res.out, {last})")} END"""
+    grouped = let("res", folded, f"concat(res.out, {last})")
+    # most texts have no overlap at all, which one pass over two integers shows
+    disjoint = """aggregate(ordered, 0, (reach, oh) ->
+        CASE WHEN reach < 0 OR oh.start < reach THEN -1 ELSE oh.end END) >= 0"""
+    resolved = let(
+        "ordered", f"sort_array({hits})", f"CASE WHEN {disjoint} THEN ordered ELSE {grouped} END"
+    )
+    return f"CASE WHEN size({hits}) <= 1 THEN {hits} ELSE {resolved} END"
