@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def other_columns(df: DataFrame, *without: str) -> list[str]:
+    """Quoted names of all columns but some, safe for names with dots."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns if c not in without]
+
+
 def pin(df: DataFrame, *columns: str) -> DataFrame:
     """The same rows, with ``columns`` computed at this point of the plan.
 
@@ -14,7 +19,7 @@ def pin(df: DataFrame, *columns: str) -> DataFrame:
     expressions behind ``columns``. A one-row ``inline`` is a plan node of its
     own, which neither crosses.
     """
-    others = [c for c in df.columns if c not in columns]
+    others = other_columns(df, *columns)
     return df.select(*others, F.inline(F.array(F.struct(*columns))))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions.dialect import SPACE
+from hushlake.functions.pin import other_columns
 from hushlake.operators.admission import IMAGE_EXTENSIONS
 
 # --- Fixed values -----------------------------------------------------------
@@ -42,7 +43,7 @@ def media_policy(
     )
     missing = F.concat(F.lit("No extracted text for image format "), F.col(ext_col))
     return df.select(
-        *[c for c in df.columns if c != text_col],
+        *other_columns(df, text_col),
         F.when(readable & is_blank(text), F.lit(IMAGE_MARKER))
         .when(readable, text)
         .otherwise(F.lit(""))

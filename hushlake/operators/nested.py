@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushlake.config import SanitizeConfig
-from hushlake.functions.arrays import empty_array, let, prefix_sums
+from hushlake.functions.arrays import empty_array, let, literal, prefix_sums
+from hushlake.functions.pin import other_columns
 from hushlake.operators.redact import Settings, no_detections, with_leaf_detections
 from hushlake.rules import selected_rules
 
@@ -37,7 +38,7 @@ def _elements(expr: str, dtype: T.ArrayType | T.MapType) -> tuple[str, T.DataTyp
 
 
 def _field(expr: str, name: str) -> str:
-    return f"{expr}.`{name}`"
+    return expr + ".`" + name.replace("`", "``") + "`"
 
 
 def count_sql(expr: str, dtype: T.DataType, depth: int = 0) -> str:
@@ -80,7 +81,8 @@ def rebuild_sql(expr: str, dtype: T.DataType, leaves: str, base: str, depth: int
         parts, at = [], base
         for f in dtype.fields:
             child = _field(expr, f.name)
-            parts.append(f"'{f.name}', {rebuild_sql(child, f.dataType, leaves, at, depth)}")
+            rebuilt = rebuild_sql(child, f.dataType, leaves, at, depth)
+            parts.append(f"{literal(f.name)}, {rebuilt}")
             at = f"{at} + {count_sql(child, f.dataType, depth)}"
         return f"CASE WHEN {expr} IS NOT NULL THEN named_struct({', '.join(parts)}) END"
     items, inner = _elements(expr, dtype)
@@ -117,17 +119,19 @@ def sanitize_nested(
     cfg = SanitizeConfig.resolve(config, mode)
     dtype = df.schema[column].dataType
     rules = selected_rules(cfg) if leaf_count(dtype) != 0 else []
-    others = [c for c in df.columns if c != column]
+    others = other_columns(df, column)
     if not rules:
         return df.select(
             *others,
-            column,
+            f"`{column}`",
             no_detections().alias("detections"),
             F.lit(0).alias("detection_count"),
             F.expr(empty_array("string")).alias("categories"),
             F.lit(None).cast("string").alias("error"),
         )
-    quoted = f"`{column}`"
+    # an internal name, which no lambda variable of the walk can hide
+    df = df.withColumnRenamed(column, "__nested")
+    quoted = "__nested"
     total = "aggregate(__all, 0L, (wt, ws) -> wt + coalesce(length(ws), 0))"
     gathered = df.withColumn("__all", F.expr(gather_sql(quoted, dtype))).withColumn(
         "error",

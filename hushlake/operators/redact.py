@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hushlake.config import SanitizeConfig
 from hushlake.functions.arrays import empty_array, let, literal_array, prefix_sums, struct
-from hushlake.functions.pin import pin
+from hushlake.functions.pin import other_columns, pin
 from hushlake.functions.validators import placeholder_sql
 from hushlake.operators.hits import all_hits
 from hushlake.operators.numbering import number_in_row
@@ -198,7 +198,7 @@ def sanitize_table(
     """
     cfg = SanitizeConfig.resolve(config, mode)
     text = F.col(text_col)
-    others = [c for c in df.columns if c != text_col]
+    others = other_columns(df, text_col)
     null_error = F.lit(None).cast("string")
     if cfg.mode == "off":
         cols = result_columns(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hushlake.config import SanitizeConfig
 from hushlake.functions.arrays import literal_array
-from hushlake.functions.pin import pin
+from hushlake.functions.pin import other_columns, pin
 from hushlake.functions.validators import placeholder
 from hushlake.operators.numbering import number_sessions
 from hushlake.operators.redact import (
@@ -64,7 +64,7 @@ def sanitize_sessions(
     rules = selected_rules(cfg)
     # rows that share session and order are told apart by their text
     keys = [*session, order, "__row"]
-    others = [c for c in df.columns if c != text_col]
+    others = other_columns(df, text_col)
     too_long = F.coalesce(F.length(text_col) > cfg.max_text_length, F.lit(False))
     base = df.withColumn(
         "error", F.when(too_long, F.lit("FileTooLargeError"))

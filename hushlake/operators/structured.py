@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from hushlake.config import SanitizeConfig
 from hushlake.functions.arrays import empty_array
-from hushlake.functions.pin import pin
+from hushlake.functions.pin import other_columns, pin
 from hushlake.operators.nested import sanitize_nested
 from hushlake.operators.redact import (
     Settings,
@@ -171,7 +171,7 @@ def sanitize_declared(
     reader = _READERS[content_type]
     declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_corrupt)
     tree = reader(F.col(text_col), declared, options)
-    others = [c for c in df.columns if c != text_col]
+    others = other_columns(df, text_col)
     parsed = pin(df.withColumn("__parsed", tree), "__parsed")
     bad = F.col(text_col).isNotNull() & (
         F.col("__parsed").isNull() | F.col(f"__parsed.{_CORRUPT}").isNotNull()
@@ -203,7 +203,7 @@ def sanitize_declared(
 
 def leaf_table(docs: DataFrame, text_col: str, content_type: Column) -> DataFrame:
     """One row per string leaf: other columns, leaf_ord, path, kind, value."""
-    others = [c for c in docs.columns if c != text_col]
+    others = other_columns(docs, text_col)
     return (
         docs.withColumn("__leaf", leaf_rows(content_type, F.col(text_col)))
         .select(*others, F.posexplode("__leaf").alias("leaf_ord", "leaf"))

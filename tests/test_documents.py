@@ -228,6 +228,12 @@ def test_nested_walk(spark):
     assert two.r is None and one.detection_count == 12
 
 
+def test_awkward_column_names(spark):
+    df = spark.sql("select 1 `a.b`, 2 `c``d`, 'x a@b.com' ctx, named_struct('we0', 'c@d.com') wout")
+    row = sanitize_nested(sanitize_table(df, "ctx", mode="pii").drop("detections", "detection_count", "categories"), "wout").first()
+    assert (row["a.b"], row["c`d"], row.content, row.wout.we0) == (1, 2, "x [EMAIL_001]", "[EMAIL_001]")
+
+
 def test_nested_without_strings(spark):
     df = spark.sql("select named_struct('k', 69, 'x', array(1, 2)) r")
     assert sanitize_nested(df, "r", mode="strict").first().r.asDict() == {"k": 69, "x": [1, 2]}
