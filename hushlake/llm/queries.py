@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hushlake.llm.near_dup import near_duplicates
 from hushlake.llm.tables import table
+from hushlake.llm.toxicity import toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,3 +24,8 @@ def query(fn: Query) -> Query:
 @query
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
