@@ -171,7 +171,7 @@ def toxicity_scores(
     Rows with ``crc32(id) % 5 == 0`` are held out: their labels are never read. Rows
     without an id are scored and not held out.
     """
-    rows = pick(docs, id=id_col, text=text_col)
+    rows = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % 5
     known = (
         pick(labels, id=id_col, toxic=label_col)
