@@ -258,3 +258,15 @@ def near_duplicates(
         F.expr("case when n_shingles > 0 and id is not null then component_id else id end").alias("component_id"),
         F.expr("id is null or n_shingles = 0 or id = component_id").alias("kept"),
     )
+
+
+def keep_representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5
+) -> DataFrame:
+    """One document of each component, with all its columns. Repeated rows of an id stay once;
+    rows without an id all stay."""
+    found = near_duplicates(docs, id_col, text_col, percent, shingle)
+    quoted = F.col("`" + id_col.replace("`", "``") + "`")
+    kept = found.filter("kept").select(quoted).filter(quoted.isNotNull()).distinct()
+    one_each = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return one_each.unionByName(docs.filter(quoted.isNull()))

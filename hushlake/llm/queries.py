@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hushlake.llm.decontamination import benchmark_overlaps
 from hushlake.llm.near_dup import near_duplicates
 from hushlake.llm.packing import pack_documents
+from hushlake.llm.secrets import scan_secrets
 from hushlake.llm.tables import table
 from hushlake.llm.toxicity import toxicity_scores
 
@@ -42,3 +43,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_key")
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))

@@ -16,15 +16,16 @@ labels of both classes every ratio is 0 and every score the share of toxic label
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hushlake.llm.tables import pick
+from hushlake.llm.tables import fresh, pick
 from hushlake.llm.words import text_buffers
 
 ORDER = 4
@@ -114,27 +115,26 @@ def log_ratios(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.log(p[1] / p[0]).astype(np.float32).ravel()
 
 
-def _mean_ratios(docs: DataFrame, ratios: np.ndarray, extra: list[str]) -> DataFrame:
-    """``extra`` columns, ``ratio`` and ``n_events`` of each text. The table sent out has ``CELLS`` floats."""
+def _mean_ratios(docs: DataFrame, text_col: str, ratios: np.ndarray, names: tuple[str, str]) -> DataFrame:
+    """``docs`` with each text's ratio and number of events. The table sent out has ``CELLS`` floats."""
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
             sums, sizes = [], []
-            for codes in _event_lists(batch.column("text")):
+            for codes in _event_lists(batch.column(place)):
                 kinds = np.unique(codes)
                 sums.append(float(table[kinds].sum(dtype=np.float64)))
                 sizes.append(len(kinds))
             n = np.array(sizes, dtype=np.int64)
             mean = np.array(sums, dtype=np.float64) / (n + LENGTH_PRIOR)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in extra], pa.array(mean), pa.array(n)], names=[*extra, "ratio", "n_events"]
-            )
+            columns = [*batch.columns, pa.array(mean), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 
-    kept = docs.select(*extra, "text")
-    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept.select(*extra).schema.fields)
-    return kept.mapInArrow(run, fields + "ratio double, n_events long")
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.LongType())])
+    return docs.mapInArrow(run, schema)
 
 
 def calibrate(ratio: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -159,42 +159,72 @@ def calibrate(ratio: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0] * scale), float(w[1])
 
 
-def fold_of(doc_id: int | None) -> int | None:
-    return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % 5
+@dataclass(frozen=True)
+class ToxicityModel:
+    """Log-ratios of all events, and the logistic over a text's mean ratio."""
 
+    ratios: np.ndarray
+    slope: float
+    intercept: float
 
-def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
-) -> DataFrame:
-    """``id_col, held_out, score, predicted, log_ratio, n_events`` of every document.
+    def score(self, ratio: Column) -> Column:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(ratio * self.slope + self.intercept)))
 
-    Rows with ``crc32(id) % 5 == 0`` are held out: their labels are never read. Rows
-    without an id are scored and not held out.
-    """
-    rows = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    fold = F.crc32(F.col("id").cast("string").cast("binary")) % 5
+
+def _fold(id_col: Column) -> Column:
+    return F.crc32(id_col.cast("string").cast("binary")) % 5
+
+
+def train_toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> ToxicityModel:
+    """A model of the labelled documents whose ``crc32(id) % 5`` is not 0."""
+    rows = pick(docs, id=id_col, text=text_col)
+    fold = _fold(F.col("id"))
     known = (
         pick(labels, id=id_col, toxic=label_col)
-        .filter((F.col("toxic").isin(0, 1)) & (fold != 0))
-        .groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
+        .filter(F.col("toxic").isin(0, 1) & (fold != 0))
+        .groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"), F.first(fold == 1).alias("cal"))
     )
     small = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    training = rows.join(F.broadcast(known) if small else known, "id").select(
-        "id", "text", "toxic", (fold == 1).alias("cal")
-    )
+    training = rows.join(F.broadcast(known) if small else known, "id")
     counts = np.zeros((4, CELLS))
-    table = count_events(training).toPandas()  # at most CELLS rows
+    table = count_events(training.select("text", "toxic", "cal")).toPandas()  # at most CELLS rows
     counts[:, table["code"]] = table[["ordinary", "toxic", "ordinary_cal", "toxic_cal"]].to_numpy().T
-    sample = training.filter("cal").orderBy(F.xxhash64("id"), "text").limit(CALIBRATION_ROWS)
-    held = _mean_ratios(sample, log_ratios(counts[0] - counts[2], counts[1] - counts[3]), ["toxic"]).toPandas()
+    chosen = known.filter("cal").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS)
+    sample = rows.join(F.broadcast(chosen), "id").select("toxic", "text")
+    held = _mean_ratios(sample, "text", log_ratios(counts[0] - counts[2], counts[1] - counts[3]), ("ratio", "n"))
+    held = held.select("toxic", "ratio").toPandas()
     slope, intercept = calibrate(held["ratio"].to_numpy(), held["toxic"].to_numpy())
-    scored = _mean_ratios(rows, log_ratios(counts[0], counts[1]), ["id"])
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("ratio") * slope + intercept)))
+    return ToxicityModel(log_ratios(counts[0], counts[1]), slope, intercept)
+
+
+def toxicity_scores(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> DataFrame:
+    """``id_col, held_out, score, predicted, log_ratio, n_events`` of every document.
+
+    Rows with ``crc32(id) % 5 == 0`` are held out: their labels are never read. Rows
+    without an id are scored and not held out.
+    """
+    model = train_toxicity(docs, labels, id_col, text_col, label_col)
+    scored = _mean_ratios(pick(docs, id=id_col, text=text_col), "text", model.ratios, ("log_ratio", "n_events"))
+    score = model.score(F.col("log_ratio"))
     return scored.select(
         F.col("id").alias(id_col),
-        F.coalesce(fold == 0, F.lit(False)).alias("held_out"),
+        F.coalesce(_fold(F.col("id")) == 0, F.lit(False)).alias("held_out"),
         score.alias("score"),
         (score >= 0.5).cast("int").alias("predicted"),
-        F.col("ratio").alias("log_ratio"),
+        "log_ratio",
         "n_events",
     )
+
+
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> DataFrame:
+    """The documents, with all their columns, that score below one half."""
+    model = train_toxicity(docs, labels, id_col, text_col, label_col)
+    names = (fresh(docs, "log_ratio"), fresh(docs, "n_events"))
+    scored = _mean_ratios(docs, text_col, model.ratios, names)
+    return scored.filter(model.score(F.col(names[0])) < 0.5).drop(*names)
