@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushlake.llm.chunks import repeated_passages
 from hushlake.llm.decontamination import benchmark_overlaps
 from hushlake.llm.near_dup import near_duplicates
 from hushlake.llm.packing import pack_documents
+from hushlake.llm.quality import quality
 from hushlake.llm.secrets import scan_secrets
 from hushlake.llm.tables import table
 from hushlake.llm.toxicity import toxicity_scores
@@ -48,3 +50,13 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))

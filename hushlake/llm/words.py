@@ -56,6 +56,23 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _BYTE_VALUES) -> np.ndarray:
+    """A 64-bit hash of each byte range, equal for equal bytes; ranges are sorted and disjoint."""
+    out = np.empty(len(start), dtype=np.uint64)
+    at = 0
+    while at < len(start):
+        begin = start[at]
+        to = max(at + 1, int(np.searchsorted(end, begin + BLOCK_BYTES, side="right")))
+        part = data[begin : end[to - 1]]
+        n = len(part)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(values[part] * _power(_ODD, n)[:n], out=sums[1:])
+        s, e = start[at:to] - begin, end[at:to] - begin
+        out[at:to] = (sums[e] - sums[s]) * _power(_INVERSE, n)[s] + (e - s).astype(np.uint64)
+        at = to
+    return mix(out)
+
+
 @dataclass
 class Block:
     """Consecutive documents of a batch and their words.
@@ -83,20 +100,7 @@ class Block:
 
     def hashes(self, lower: bool = True) -> np.ndarray:
         """A 64-bit hash of each word, A-Z lower-cased first if ``lower``."""
-        values = _LOWER_VALUES if lower else _BYTE_VALUES
-        out = np.empty(len(self.start), dtype=np.uint64)
-        at = 0
-        while at < len(self.start):
-            begin = self.start[at]
-            to = max(at + 1, int(np.searchsorted(self.end, begin + BLOCK_BYTES, side="right")))
-            part = self.data[begin : self.end[to - 1]]
-            n = len(part)
-            sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(values[part] * _power(_ODD, n)[:n], out=sums[1:])
-            s, e = self.start[at:to] - begin, self.end[at:to] - begin
-            out[at:to] = (sums[e] - sums[s]) * _power(_INVERSE, n)[s] + (e - s).astype(np.uint64)
-            at = to
-        return mix(out)
+        return span_hashes(self.data, self.start, self.end, _LOWER_VALUES if lower else _BYTE_VALUES)
 
     def windows(self, size: int) -> np.ndarray:
         """Word indexes at which ``size`` words of one document begin."""
