@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hushlake.llm.chunks import repeated_passages
 from hushlake.llm.decontamination import benchmark_overlaps
+from hushlake.llm.licenses import scan_licenses
 from hushlake.llm.near_dup import near_duplicates
 from hushlake.llm.packing import pack_documents
 from hushlake.llm.quality import quality
@@ -60,3 +61,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
