@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hushlake.llm.chunks import repeated_passages
 from hushlake.llm.decontamination import benchmark_overlaps
+from hushlake.llm.html_text import extract_text
 from hushlake.llm.licenses import scan_licenses
 from hushlake.llm.near_dup import near_duplicates
 from hushlake.llm.packing import pack_documents
@@ -16,6 +16,7 @@ from hushlake.llm.quality import quality
 from hushlake.llm.secrets import scan_secrets
 from hushlake.llm.tables import table
 from hushlake.llm.toxicity import toxicity_scores
+from hushlake.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,3 +67,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
