@@ -1,7 +1,6 @@
 """Find and redact sensitive data in tables of documents, on Spark."""
 
 from hushlake.config import CustomRule, SanitizeConfig
-from hushlake.functions.pin import spread
 from hushlake.operators.admission import admit
 from hushlake.operators.nested import sanitize_nested
 from hushlake.operators.redact import sanitize_table
@@ -23,5 +22,4 @@ __all__ = [
     "sanitize_stream",
     "sanitize_structured",
     "sanitize_table",
-    "spread",
 ]

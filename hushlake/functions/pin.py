@@ -21,16 +21,3 @@ def pin(df: DataFrame, *columns: str) -> DataFrame:
     """
     others = other_columns(df, *columns)
     return df.select(*others, F.inline(F.array(F.struct(*columns))))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for a source of few partitions.
-
-    Redaction is CPU work, and a small file with few row groups gives few tasks.
-    A source that already has a partition per core, as any large one does, is
-    returned as it is, without a shuffle.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df

@@ -1,6 +1,6 @@
 """Find all matches of the selected rules, with offsets (no shuffle).
 
-A rule is run once over the text: every match is wrapped in a marker character
+A rule is run once over the text: every match is wrapped in a marker
 the text does not hold, the result is split at the marker, and offsets are the
 running lengths of the parts. Offsets are code points, half open, in the text as
 given.
@@ -18,21 +18,19 @@ from hushlake.rules import DIGIT_RUN, VALIDATORS, Rule, tie_ranks
 HIT = "struct<start:int,end:int,rank:int,rule:int,value:string>"
 
 _MARK = "decode(unhex('E000'), 'UTF-16BE')"
-_PRIVATE_USE = (0xE000, 0xF8FF)
+_MARK_END = "decode(unhex('E001'), 'UTF-16BE')"
 
 
 def marker_for(text: str) -> str:
-    """A character that ``text`` does not contain.
+    """A string that ``text`` does not contain and that stays apart when put beside it.
 
-    Nearly always the first private-use one. Null if a text holds all 6,400 of
-    the basic plane; the row is then rejected.
+    Nearly always the one private-use character. A text that holds this gets a longer
+    run of it than it has, closed by a second character: whatever stands before the
+    marker, only its own last characters complete it. So every text has a marker.
     """
-    candidate = "decode(unhex(hex(mc)), 'UTF-16BE')"
-    absent = (
-        f"filter(sequence({_PRIVATE_USE[0]}, {_PRIVATE_USE[1]}), "
-        f"mc -> NOT contains({text}, {candidate}))"
-    )
-    other = f"decode(unhex(hex(get({absent}, 0))), 'UTF-16BE')"
+    runs = f"regexp_extract_all({text}, concat({_MARK}, '+', {_MARK_END}), 0)"
+    longest = f"coalesce(array_max(transform({runs}, mr -> length(mr))), 1)"
+    other = f"concat(repeat({_MARK}, {longest}), {_MARK_END})"
     return f"CASE WHEN NOT contains({text}, {_MARK}) THEN {_MARK} ELSE {other} END"
 
 

@@ -8,10 +8,14 @@ that lie in one row (a document and its leaves) without a shuffle;
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushlake.functions.arrays import empty_array, fold_emit, let, struct
+from hushlake.sources.scratch import written
 
 NUMBER = "struct<leaf:int,start:int,end:int,number:int>"
 _FIRST = "struct<category:string,first_leaf:int,first_start:int,leaf:int,start:int,end:int>"
@@ -87,11 +91,6 @@ def number_in_row(items: str) -> str:
     return let("nitems", items, numbered)
 
 
-# Rows of one session that are ranked together. Sessions longer than this are
-# ranked in blocks, so a session of any length never sits in one task.
-BLOCK_ROWS = 4096
-
-
 def number_sessions(
     hits: DataFrame,
     session: list[str],
@@ -99,34 +98,45 @@ def number_sessions(
     start: str = "start",
     category: str = "category",
     value: str = "value",
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """One row ``(session, category, value, number)`` per distinct value.
 
-    ``order`` is a whole-number column that places rows within their session.
-    Distinct values are found first (a partial aggregate, spread by value), then
-    numbered inside blocks of the order column; each block starts at the count
-    of the blocks before it. Both windows see bounded groups: a block, and the
-    block counts of one session.
+    ``order`` is a whole-number column that places rows within their session; its
+    values may be sparse or shared. Distinct values are found first (a partial
+    aggregate, spread by value) and sorted by range over sessions, categories and
+    first places, so a session of any size lies in as many parts as it needs. Numbers
+    count within a part, from the counts of the parts before. Null keys are keys.
     """
     keys = [*session, category]
-    firsts = (
-        hits.groupBy(*keys, value)
-        .agg(F.min(F.struct(F.col(order).alias("row"), F.col(start).alias("at"))).alias("first"))
-        .withColumn("block", F.expr(f"first.row div {block_rows}"))
+    firsts = hits.groupBy(*keys, value).agg(
+        F.min(F.struct(F.col(order).alias("row"), F.col(start).alias("at"))).alias("first")
     )
-    # the value breaks ties, so that a recomputed task gives the same numbers
-    in_block = Window.partitionBy(*keys, "block").orderBy("first", value)
-    ranked = firsts.withColumn("in_block", F.row_number().over(in_block))
-    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(
-        Window.unboundedPreceding, -1
+    # written: the bounds of a range are sampled, and must be the same for both uses
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(
+        firsts.repartitionByRange(parts, *keys, "first", value).withColumn("part", F.spark_partition_id()),
+        "session-values",
     )
+    # the value breaks ties, so that a recomputed task gives the same numbers
+    in_part = Window.partitionBy(*keys, "part").orderBy("first", value)
+    ranked = ranged.withColumn("in_part", F.row_number().over(in_part))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
-        firsts.groupBy(*keys, "block")
+        ranged.groupBy(*keys, "part")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .drop("n")
     )
-    return ranked.join(bases, [*keys, "block"]).select(
-        *keys, value, (F.col("base") + F.col("in_block")).cast("int").alias("number")
+    return null_safe_join(ranked, bases, [*keys, "part"]).select(
+        *keys, value, (F.col("base") + F.col("in_part")).cast("int").alias("number")
+    )
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys where nulls are equal too; the keys come from the left."""
+    renamed = right.select(
+        *[F.col(f"`{k}`").alias(f"__right_{n}") for n, k in enumerate(keys)],
+        *[f"`{c}`" for c in right.columns if c not in keys],
     )
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__right_{n}")) for n, k in enumerate(keys)]
+    return left.join(renamed, reduce(and_, same), how).drop(*[f"__right_{n}" for n in range(len(keys))])

@@ -7,6 +7,7 @@ and are dropped before the result is returned.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from typing import Any
 
@@ -89,7 +90,10 @@ def admitted_text(text: Column, config: SanitizeConfig) -> Column:
     Bytes that are no UTF-8 become U+FFFD here: offsets are only defined on valid
     text. Valid text is passed on as it is.
     """
-    return F.when(F.length(text) <= config.max_text_length, F.make_valid_utf8(text))
+    valid = F.make_valid_utf8(text)
+    if config.max_text_length == math.inf:
+        return valid
+    return F.when(F.length(text) <= config.max_text_length, valid)
 
 
 def with_detections(
@@ -215,18 +219,10 @@ def sanitize_table(
         "__detections",
     )
     too_long = F.coalesce(F.col("__long"), F.lit(False))
-    failed = ~too_long & F.col("__content").isNull() & text.isNotNull()
-    error = F.when(too_long, F.lit("FileTooLargeError")).when(
-        failed, F.lit("UnmarkableTextError")
-    )
-    warnings = (
-        F.when(
-            too_long,
-            F.array(F.lit(f"Text exceeds max_text_length={cfg.max_text_length}")),
-        )
-        .when(failed, F.array(F.lit("Text holds every private-use character")))
-        .otherwise(F.expr(empty_array("string")))
-    )
+    error = F.when(too_long, F.lit("FileTooLargeError"))
+    warnings = F.when(
+        too_long, F.array(F.lit(f"Text exceeds max_text_length={cfg.max_text_length}"))
+    ).otherwise(F.expr(empty_array("string")))
     cols = result_columns(
         F.col("__content"), F.col("__detections"), warnings, error, cfg.mode
     )

@@ -48,7 +48,7 @@ def redact_documents(
     error/message of rows rejected before. With ``structured`` off every text is
     taken as plain, and the plan has no Python step."""
     kind = F.col("content_type")
-    too_long = F.col("error").isNull() & (F.length("text") > cfg.max_text_length)
+    too_long = F.col("error").isNull() & (F.length("text") > F.lit(cfg.max_text_length))
     gated = (
         docs.withColumn("__long", F.coalesce(too_long, F.lit(False)))
         .withColumn(
@@ -150,6 +150,21 @@ _WRITERS = {"json": F.to_json, "xml": F.to_xml, "csv": F.to_csv}
 _CORRUPT = "__corrupt"
 
 
+#: The name of the first element.
+_ROOT = r"(?s)^\s*(?:<[?!][^>]*>\s*)*<([^\s/>]+)"
+#: Things that hold values: keys whose value is not null, and elements and attributes.
+_HOLDERS = {"json": r'"(?:[^"\\]|\\.)*+"\s*:(?!\s*null\b)', "xml": r"<[^\s/!?>]+|[\s][\w:.-]+\s*=\s*[\"']"}
+
+
+def _holds_more(text: Column, fields: Column, content_type: str) -> Column:
+    """Whether a text holds more values than what was read from it with the schema."""
+    if content_type not in _HOLDERS:
+        return F.lit(False)  # rows of CSV that do not fit are corrupt records
+    written = F.to_json(fields) if content_type == "json" else F.to_xml(fields, {"rowTag": "ROW"})
+    count = lambda c: F.regexp_count(c, F.lit(_HOLDERS[content_type]))
+    return F.coalesce(count(text) > count(written), F.lit(False))
+
+
 def sanitize_declared(
     df: DataFrame,
     text_col: str,
@@ -160,9 +175,10 @@ def sanitize_declared(
 ) -> DataFrame:
     """Redact JSON, XML or single-row CSV texts of a declared schema, in the JVM.
 
-    Fields are visited in the order of ``schema``; only its fields are kept, and
-    those not declared as strings stay as they are. A text that does not fit the
-    schema is redacted as plain text, with a warning. The text column is replaced
+    Fields are visited in the order of ``schema``; those not declared as strings stay
+    as they are. A text that does not fit the schema, or that holds anything the
+    schema does not name, is redacted as plain text, with a warning, so that nothing
+    of it is lost. XML keeps its root tag. The text column is replaced
     by ``content``, ``warnings``, ``detections``, ``detection_count``,
     ``categories`` and ``error``.
     """
@@ -173,17 +189,26 @@ def sanitize_declared(
     tree = reader(F.col(text_col), declared, options)
     others = other_columns(df, text_col)
     parsed = pin(df.withColumn("__parsed", tree), "__parsed")
+    fields = F.struct(*[F.col(f"__parsed.`{f.name}`") for f in schema])
     bad = F.col(text_col).isNotNull() & (
-        F.col("__parsed").isNull() | F.col(f"__parsed.{_CORRUPT}").isNotNull()
+        F.col("__parsed").isNull()
+        | F.col(f"__parsed.{_CORRUPT}").isNotNull()
+        | _holds_more(F.col(text_col), fields, content_type)
     )
     both = F.struct(
-        F.when(~bad, F.struct(*[F.col(f"__parsed.`{f.name}`") for f in schema])).alias("tree"),
+        F.when(~bad, fields).alias("tree"),
         F.when(bad, F.col(text_col)).alias("plain"),
     )
-    done = sanitize_nested(parsed.select(*others, both.alias("__doc")), "__doc", mode, config)
+    root = F.regexp_extract(F.col(text_col), _ROOT, 1) if content_type == "xml" else F.lit("")
+    done = sanitize_nested(
+        parsed.select(*others, both.alias("__doc"), root.alias("__root")), "__doc", mode, config
+    )
     # null fields are kept; to_csv always writes them
     keep_nulls = {"json": {"ignoreNullFields": "false"}, "xml": {"rowTag": "ROW"}, "csv": {}}
     written = _WRITERS[content_type](F.col("__doc.tree"), keep_nulls[content_type])
+    if content_type == "xml":
+        inner = F.regexp_replace(written, r"(?s)^<ROW>(.*)</ROW>$|^<ROW/>$", "$1")
+        written = F.concat(F.lit("<"), "__root", F.lit(">"), inner, F.lit("</"), "__root", F.lit(">"))
     fell_back = F.col("__doc.plain").isNotNull()
     return done.select(
         *others,

@@ -20,7 +20,7 @@ from hushlake.operators.numbering import number_sessions
 from hushlake.operators.overlap import resolve_overlaps as resolve
 from hushlake.operators.pages import assemble_pages
 from hushlake.operators.redact import sanitize_table
-from hushlake.operators.sessions import hit_rows, sanitize_sessions
+from hushlake.operators.sessions import found_hits, hit_rows, sanitize_sessions
 from hushlake.operators.structured import leaf_table, sanitize_declared, sanitize_structured
 from hushlake.plans import oracles as o
 from hushlake.plans.corpora import all_corpora, corpus, pii_sql, planted, secrets_sql, table
@@ -103,17 +103,18 @@ def sanitize_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "placeholder_numbering",
     f"""SELECT DISTINCT conv_id, 'EMAIL' AS category,
-        md5(concat('user', cast(turn % 3 as string), '@conv', cast(conv_id % 7 as string),
+        sha256(concat('user', cast(turn % 3 as string), '@conv', cast(conv_id % 7 as string),
             '.example.com')) AS value_key, cast(n as bigint) AS number FROM {_TURN_NUMBER} t""",
 )
 def placeholder_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = selected_rules(SanitizeConfig(mode="pii"))
-    hits = hit_rows(_planted_turns(spark, sf_dir), "text", ["conv_id", "turn"], rules)
+    keys = ["conv_id", "turn"]
+    hits = hit_rows(found_hits(_planted_turns(spark, sf_dir), "text", keys, rules), keys)
     numbers = number_sessions(hits, ["conv_id"], "turn")
     return numbers.select(
         "conv_id",
         "category",
-        F.md5("value").alias("value_key"),
+        F.col("value").alias("value_key"),
         F.col("number").cast("long").alias("number"),
     )
 
@@ -667,9 +668,8 @@ _PAGE_BODY = "CASE WHEN (conv_id + turn) % 6 = 0 THEN '   ' ELSE text END"
 _PAGE_LIMIT = 3000
 
 
-@query(
-    "page_text_assembly",
-    f"""WITH p AS (SELECT conv_id, turn, {_PAGE_IMAGE} AS image, {_PAGE_FAILED} AS failed,
+def _pages_sql(limit: int | float) -> str:
+    return f"""WITH p AS (SELECT conv_id, turn, {_PAGE_IMAGE} AS image, {_PAGE_FAILED} AS failed,
             CASE WHEN NOT {_PAGE_FAILED} AND trim({_PAGE_BODY}) <> '' THEN text END AS body
         FROM conversations),
     d AS (SELECT conv_id,
@@ -686,14 +686,15 @@ _PAGE_LIMIT = 3000
         UNION ALL SELECT conv_id, first_image, 1,
             '[UNSANITIZED_IMAGE_CONTENT] PDF may contain embedded images'
         FROM d WHERE first_image IS NOT NULL) u GROUP BY conv_id)
-    SELECT d.conv_id, CASE WHEN length(text) > {_PAGE_LIMIT} THEN '' ELSE text END AS text,
-        CASE WHEN length(text) > {_PAGE_LIMIT}
-            THEN 'Extracted text exceeds max_text_length={_PAGE_LIMIT}'
+    SELECT d.conv_id, CASE WHEN length(text) > {limit} THEN '' ELSE text END AS text,
+        CASE WHEN length(text) > {limit}
+            THEN 'Extracted text exceeds max_text_length={limit}'
             ELSE coalesce(warnings, '') END AS warnings,
-        CASE WHEN length(text) > {_PAGE_LIMIT} THEN 'FileTooLargeError' END AS error
-    FROM d LEFT JOIN w ON w.conv_id = d.conv_id""",
-)
-def page_text_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+        CASE WHEN length(text) > {limit} THEN 'FileTooLargeError' END AS error
+    FROM d LEFT JOIN w ON w.conv_id = d.conv_id"""
+
+
+def _assembled(spark: SparkSession, sf_dir: str, cfg: SanitizeConfig) -> DataFrame:
     pages = table(spark, sf_dir, "conversations").select(
         "conv_id",
         F.col("turn").alias("page_no"),
@@ -701,9 +702,18 @@ def page_text_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(_PAGE_IMAGE).alias("has_images"),
         F.expr(_PAGE_FAILED).alias("failed"),
     )
-    cfg = SanitizeConfig(max_text_length=_PAGE_LIMIT)
-    out = assemble_pages(pages, "conv_id", cfg)
-    return out.withColumn("warnings", F.array_join("warnings", "|"))
+    return assemble_pages(pages, "conv_id", cfg).withColumn("warnings", F.array_join("warnings", "|"))
+
+
+@query("page_text_assembly", _pages_sql(1 << 40))
+def page_text_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assembled(spark, sf_dir, SanitizeConfig())
+
+
+@query("page_text_limit", _pages_sql(_PAGE_LIMIT))
+def page_text_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit as the feature: longer documents fail closed."""
+    return _assembled(spark, sf_dir, SanitizeConfig(max_text_length=_PAGE_LIMIT))
 
 
 @query(
@@ -1108,7 +1118,8 @@ def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeated = planted(spark, sf_dir, secrets_sql("{base}"), "customer").select(
         "doc_id", F.concat("text", F.lit(" again "), "password").alias("text")
     )
-    return report.leak_check(repeated, ["doc_id"], mode="pii")
+    results = sanitize_table(repeated.withColumn("original", F.col("text")), mode="pii")
+    return report.leak_check(results, ["doc_id"], "original", mode="pii")
 
 
 @query("stream_sanitize", ORACLES["sanitize_documents"])
@@ -1121,3 +1132,54 @@ def stream_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream.select("doc_id", "text"), sink, scratch_path(spark, "stream-checkpoint"), mode="pii"
     ).awaitTermination()
     return _content(spark.read.parquet(sink), "doc_id")
+
+
+@query(
+    "private_use_text",
+    """SELECT doc_id, concat(m, '[EMAIL_001]', m, n) AS content, cast(1 as bigint) AS detection_count
+    FROM (SELECT doc_id, repeat(chr(57344), cast(doc_id % 5 as bigint)) || CASE WHEN doc_id % 2 = 0 THEN chr(57345) ELSE '' END
+        AS m, chr(57344) AS n FROM documents) t""",
+)
+def private_use_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses between the characters that the engine marks matches with."""
+    mark = F.lit("\ue000")
+    m = F.concat(F.repeat(mark, F.col("doc_id") % 5), F.when(F.col("doc_id") % 2 == 0, F.lit("\ue001")).otherwise(F.lit("")))
+    docs = table(spark, sf_dir, "documents", ["doc_id"])
+    planted_texts = docs.select("doc_id", F.concat(m, F.lit("a@b.com"), m, mark).alias("text"))
+    return _content(sanitize_table(planted_texts, mode="pii"), "doc_id")
+
+
+_NULL_KEY = "CASE WHEN conv_id % 3 = 0 THEN NULL ELSE conv_id END"
+_NULL_TURN = "CASE WHEN turn % 2 = 0 THEN NULL ELSE turn END"
+
+
+@query(
+    "sessions_null_keys",
+    f"""SELECT conv_id, turn, concat(text, ' [EMAIL_001]') AS content, cast(1 as bigint) AS detection_count
+    FROM (SELECT DISTINCT {_NULL_KEY} AS conv_id, {_NULL_TURN} AS turn, text, conv_id AS c, turn AS t
+        FROM conversations WHERE text NOT LIKE '%@%') q""",
+)
+def sessions_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions and places that are null; nothing stays as it was."""
+    turns = table(spark, sf_dir, "conversations").where("text not like '%@%'").distinct()
+    keyed = turns.select(
+        F.expr(_NULL_KEY).alias("conv_id"), F.expr(_NULL_TURN).alias("turn"), F.concat("text", F.lit(" a@b.com")).alias("text")
+    )
+    cfg = SanitizeConfig(mode="pii", enable_categories=("EMAIL",))
+    out = sanitize_sessions(keyed, "text", ["conv_id"], "turn", config=cfg)
+    return out.select(
+        "conv_id", "turn", "content", F.col("detection_count").cast("long").alias("detection_count")
+    )
+
+
+@query(
+    "session_metrics",
+    f"""SELECT 'EMAIL' AS category, cast(count(*) as bigint) AS hits, cast(count(DISTINCT conv_id) as bigint) AS docs,
+        cast((SELECT count(*) FROM (SELECT DISTINCT conv_id, n FROM {_TURN_NUMBER} t)) as bigint) AS placeholders
+    FROM {_TURN_NUMBER} t""",
+)
+def session_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session of several turns is one document, whose turns share placeholders."""
+    cfg = SanitizeConfig(mode="pii", enable_categories=("EMAIL",))
+    out = sanitize_sessions(_planted_turns(spark, sf_dir), "text", ["conv_id"], "turn", config=cfg)
+    return report.category_metrics(out, "conv_id")

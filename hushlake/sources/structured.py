@@ -10,8 +10,10 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 from xml.etree import ElementTree
 
@@ -47,51 +49,172 @@ def yaml_available() -> bool:
 def rewrite(content_type: str, text: str, visit: Visit) -> str:
     """Parse, pass every leaf through ``visit`` in visit order, serialise."""
     if content_type == "json":
-        tree = _rewrite_tree(json.loads(text), "$", visit, [_NO_LIMIT])
-        return json.dumps(tree, indent=2, ensure_ascii=False)
+        return _dump_json(_rewrite_tree(_load_json(text), visit))
     if content_type == "yaml":
         import yaml
 
-        # an alias can repeat a subtree: bound the walk by the document's size
-        tree = _rewrite_tree(yaml.safe_load(text), "$", visit, [len(text) + 1])
-        return yaml.safe_dump(tree, sort_keys=False, allow_unicode=True)
+        with _deep():
+            tree = _rewrite_tree(yaml.safe_load(text), visit)
+            return yaml.safe_dump(tree, sort_keys=False, allow_unicode=True)
     if content_type == "xml":
         root = ElementTree.fromstring(text)
-        _rewrite_element(root, f"/{root.tag}", visit)
-        return ElementTree.tostring(root, encoding="unicode")
+        _rewrite_elements(root, visit)
+        with _deep():
+            return ElementTree.tostring(root, encoding="unicode")
     if content_type == "csv":
         return _rewrite_csv(text, visit)
     raise ValueError(content_type)
 
 
-_NO_LIMIT = sys.maxsize
-
-
-def _rewrite_tree(node: Any, path: str, visit: Visit, budget: list[int]) -> Any:
-    budget[0] -= 1
-    if budget[0] < 0:
-        raise ValueError("document expands beyond its size")
-    if isinstance(node, str):
-        return visit(path, "string", node)
-    if isinstance(node, dict):
-        return {
-            k: _rewrite_tree(v, f"{path}.{k}", visit, budget) for k, v in node.items()
-        }
-    if isinstance(node, list):
-        return [_rewrite_tree(v, f"{path}[{i}]", visit, budget) for i, v in enumerate(node)]
-    return node
-
-
-def _rewrite_element(element: Any, path: str, visit: Visit) -> None:
+@contextmanager
+def _deep() -> Iterator[None]:
+    """Room for libraries that recurse in Python."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 500_000))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def _rewrite_tree(root: Any, visit: Visit) -> Any:
+    """A copy with every string visited, in document order, at any depth.
+
+    A container that several places share (an anchor) is walked once, at its first
+    place, and shared again in the copy: the work follows the document, whatever its
+    aliases would expand to.
+    """
+    top: list[Any] = [None]
+    copies: dict[int, Any] = {}
+    todo: list[tuple[Any, str, Any, Any]] = [(root, "$", top, 0)]
+    while todo:
+        node, path, holder, place = todo.pop()
+        if isinstance(node, str):
+            holder[place] = visit(path, "string", node)
+        elif not isinstance(node, (dict, list)):
+            holder[place] = node
+        elif id(node) in copies:
+            holder[place] = copies[id(node)]
+        elif isinstance(node, dict):
+            holder[place] = copies[id(node)] = dict.fromkeys(node)
+            todo += [(v, f"{path}.{k}", holder[place], k) for k, v in reversed(node.items())]
+        else:
+            holder[place] = copies[id(node)] = [None] * len(node)
+            todo += [(node[i], f"{path}[{i}]", holder[place], i) for i in reversed(range(len(node)))]
+    return top[0]
+
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r'true|false|null|NaN|-?Infinity|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?')
+
+
+def _load_json(text: str) -> Any:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _load_deep_json(text)
+
+
+def _load_deep_json(text: str) -> Any:
+    """As ``json.loads``, with open containers on a list instead of the call stack."""
+    opened: list[Any] = []
+    keys: list[str] = []
+    at = _SPACE.match(text).end()
+
+    def fail() -> ValueError:
+        return ValueError(f"unexpected JSON at {at}")
+
+    def read_key() -> None:
+        nonlocal at
+        if text[at : at + 1] != '"':
+            raise fail()
+        key, at = json.decoder.scanstring(text, at + 1)
+        at = _SPACE.match(text, at).end()
+        if text[at : at + 1] != ":":
+            raise fail()
+        at = _SPACE.match(text, at + 1).end()
+        keys.append(key)
+
+    while True:
+        mark = text[at : at + 1]
+        if mark and mark in "{[":
+            opened.append({} if mark == "{" else [])
+            at = _SPACE.match(text, at + 1).end()
+            if text[at : at + 1] != "}]"["{[".index(mark)]:
+                if mark == "{":
+                    read_key()
+                continue
+            value, at = opened.pop(), at + 1
+        elif mark == '"':
+            value, at = json.decoder.scanstring(text, at + 1)
+        elif found := _SCALAR.match(text, at):
+            value, at = json.loads(found[0]), found.end()
+        else:
+            raise fail()
+        while True:  # the value is complete: put it where it belongs
+            at = _SPACE.match(text, at).end()
+            if not opened:
+                if at < len(text):
+                    raise fail()
+                return value
+            holder = opened[-1]
+            if isinstance(holder, dict):
+                holder[keys.pop()] = value
+            else:
+                holder.append(value)
+            mark = text[at : at + 1]
+            if mark == ",":
+                at = _SPACE.match(text, at + 1).end()
+                if isinstance(holder, dict):
+                    read_key()
+                break
+            if mark != ("}" if isinstance(holder, dict) else "]"):
+                raise fail()
+            value, at = opened.pop(), at + 1
+
+
+def _dump_json(tree: Any) -> str:
+    try:
+        return json.dumps(tree, indent=2, ensure_ascii=False)
+    except RecursionError:
+        return "".join(_dump_deep_json(tree))
+
+
+def _dump_deep_json(tree: Any) -> Iterator[str]:
+    """A document nested deeper than ``json.dumps`` goes, on one line: indentation would
+    grow with the square of the depth."""
+    todo: list[Any] = [tree]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, _Literal):
+            yield node
+        elif isinstance(node, dict):
+            pairs = [(_Literal((", " if n else "") + json.dumps(k, ensure_ascii=False) + ": "), v) for n, (k, v) in enumerate(node.items())]
+            yield "{"
+            todo += [_Literal("}"), *(part for k, v in reversed(pairs) for part in (v, k))]
+        elif isinstance(node, list):
+            yield "["
+            todo += [_Literal("]"), *(part for n in reversed(range(len(node))) for part in (node[n], _Literal(", " if n else "")))]
+        else:
+            yield json.dumps(node, ensure_ascii=False)
+
+
+class _Literal(str):
+    """Output as it is."""
+
+
+def _rewrite_elements(root: Any, visit: Visit) -> None:
     """Own text, then the tail, then attributes, then children."""
-    if element.text:
-        element.text = visit(path, "text", element.text)
-    if element.tail:
-        element.tail = visit(path, "tail", element.tail)
-    for name in element.keys():
-        element.set(name, visit(f"{path}/@{name}", "attribute", element.get(name)))
-    for i, child in enumerate(element):
-        _rewrite_element(child, f"{path}/{child.tag}[{i}]", visit)
+    todo = [(root, f"/{root.tag}")]
+    while todo:
+        element, path = todo.pop()
+        for kind in ("text", "tail"):
+            if held := getattr(element, kind):
+                setattr(element, kind, visit(path, kind, held))
+        for name in element.keys():
+            element.set(name, visit(f"{path}/@{name}", "attribute", element.get(name)))
+        children = list(enumerate(element))
+        todo += [(child, f"{path}/{child.tag}[{i}]") for i, child in reversed(children)]
 
 
 def _rewrite_csv(text: str, visit: Visit) -> str:

@@ -6,8 +6,10 @@ from hushlake.rules import KNOWN_CATEGORIES, selected_rules, tie_ranks
 
 def test_defaults():
     cfg = SanitizeConfig()
-    assert (cfg.mode, cfg.confidence_threshold, cfg.max_file_size_mb) == ("pii", 0.85, 25)
-    assert cfg.max_text_length == 2_000_000 and cfg.max_file_bytes == 25 * 1024 * 1024
+    assert (cfg.mode, cfg.confidence_threshold) == ("pii", 0.85)
+    assert cfg.max_text_length == cfg.max_file_bytes == float("inf")
+    from_file = SanitizeConfig.from_mapping({})
+    assert from_file.max_text_length == 2_000_000 and from_file.max_file_bytes == 25 * 1024 * 1024
 
 
 def test_bad_values():
@@ -54,7 +56,7 @@ def test_ties_prefer_confidence_then_order():
 def test_registry_is_complete():
     from hushlake.plans.queries import ORACLES, QUERIES
 
-    assert len(QUERIES) == 69 and set(ORACLES) == set(QUERIES)
+    assert len(QUERIES) >= 69 and set(ORACLES) == set(QUERIES)
 
 
 @pytest.mark.parametrize(
