@@ -5,7 +5,7 @@ cut depends on the ``GEAR_BYTES`` bytes before it and on no position, so an inse
 changes the chunks it touches and no others. Chunks are compared by digest: one aggregation
 gives the smallest and largest document of each digest, and a digest with two different
 ones is repeated. Neighbouring repeated chunks of a document form a passage, and passages
-of at least ``min_bytes`` are reported: a passage loses up to one chunk at either end.
+of at least ``min_chars`` are reported: a passage loses up to one chunk at either end.
 
 A digest that a third of all rows hold is two numbers per task before the shuffle, and the
 join back to the chunks is split like any skewed join. Chunks repeated in one document only
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushlake.llm.tables import fresh, pick, written
+from hushlake.llm.tables import fresh, pick
 from hushlake.llm.words import Block, blocks, random_words, ranges, span_hashes
 
 GEAR_BYTES = 16
@@ -34,8 +34,8 @@ CUT_BITS = 4
 NEAR = 8
 #: A chunk without a cut, as in a text of one word over and over, ends after so many bytes.
 MOST_BYTES = 64
-#: Passages of 50 words have 250 bytes and more; a chunk at each end may be lost.
-MIN_BYTES = 150
+#: Passages of 50 words have 250 characters and more; a chunk at each end may be lost.
+MIN_CHARS = 150
 
 _GEAR = (random_words(256, 21) >> np.uint64(48)).astype(np.uint16)
 
@@ -72,7 +72,7 @@ def chunk_block(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return bounds[:-1], bounds[1:]
 
 
-CHUNKS = "id long, number int, start_byte int, n_bytes int, start long, n_chars int, digest long"
+CHUNKS = "id long, number int, start int, n_chars int, digest long"
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -90,9 +90,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     [
                         ids.slice(block.first, len(block)).take(pa.array(doc)),
                         pa.array((np.arange(len(begin)) - first[doc]).astype(np.int32)),
-                        pa.array((begin - block.base[doc]).astype(np.int32)),
-                        pa.array((end - begin).astype(np.int32)),
-                        pa.array(chars[begin] - chars[block.base[doc]]),
+                        pa.array((chars[begin] - chars[block.base[doc]]).astype(np.int32)),
                         pa.array((chars[end] - chars[begin]).astype(np.int32)),
                         pa.array(span_hashes(block.data, begin, end).view(np.int64)),
                     ],
@@ -102,60 +100,56 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, CHUNKS)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """One row per repeated passage of a document: ``id_col, start, end`` (code points), ``start_byte,
-    end_byte, n_chunks, first_<id_col>`` (the smallest document that shares a chunk of it) and ``kept``
-    (whether this document is the first to hold all of it)."""
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per repeated passage of a document: ``id_col, start, end`` (code points), ``n_chunks``,
+    ``first_<id_col>`` (the smallest document that shares a chunk of it) and ``kept`` (whether this
+    document is the first to hold all of it).
+
+    Chunks are cut twice, for the counts and for the join, rather than kept in between: they would
+    take about as much room as the texts.
+    """
     rows = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).filter("id is not null")
-    every = written(chunks(rows), "chunks")
+    every = chunks(rows)
     holders = every.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     shared = holders.filter("first_id < last_id").drop("last_id")
-    found = every.join(shared, "digest").drop("digest").dropDuplicates(["id", "number"])
-    order = Window.partitionBy("id").orderBy("number")
-    runs = found.withColumn("run", F.col("number") - F.row_number().over(order))
+    found = every.join(shared, "digest").drop("digest")
+    # repeated rows have equal ranks, so they fall into one run
+    runs = found.withColumn("run", F.col("number") - F.dense_rank().over(Window.partitionBy("id").orderBy("number")))
     return (
         runs.groupBy("id", "run")
         .agg(
-            F.min("start").alias("start"),
-            F.max(F.col("start") + F.col("n_chars")).alias("end"),
-            F.min("start_byte").alias("start_byte"),
-            F.max(F.col("start_byte") + F.col("n_bytes")).alias("end_byte"),
-            F.count(F.lit(1)).alias("n_chunks"),
+            F.min("start").cast("long").alias("start"),
+            F.max(F.col("start") + F.col("n_chars")).cast("long").alias("end"),
+            (F.max("number") - F.min("number") + 1).cast("long").alias("n_chunks"),
             F.min("first_id").alias("first_id"),
             F.max("first_id").alias("latest"),
         )
-        .filter(F.col("end_byte") - F.col("start_byte") >= min_bytes)
+        .filter(F.col("end") - F.col("start") >= min_chars)
         .select(
-            F.col("id").alias(id_col), "start", "end", "start_byte", "end_byte", "n_chunks",
-            F.col("first_id").alias(f"first_{id_col}"),
+            F.col("id").alias(id_col), "start", "end", "n_chunks", F.col("first_id").alias(f"first_{id_col}"),
             ((F.col("first_id") == F.col("id")) & (F.col("latest") == F.col("id"))).alias("kept"),
         )
     )
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents, with all their columns, without passages that an earlier document holds."""
-    passages = repeated_passages(docs, id_col, text_col, min_bytes).filter("not kept")
+    passages = repeated_passages(docs, id_col, text_col, min_chars).filter("not kept")
     spans = fresh(docs, "spans")
-    lists = passages.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias(spans))
+    lists = passages.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(spans))
     joined = docs.join(lists, id_col, "left").select(*docs.columns, spans)
-    place = docs.columns.index(text_col)
+    place, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, cut in zip(batch.column(place), batch.column(len(docs_columns)), strict=True):
-                raw = None if text.as_py() is None else text.as_py().encode()
-                if raw is not None and cut.is_valid:
-                    at, left = 0, []
-                    for span in cut.as_py():
-                        left.append(raw[at : span["start_byte"]])
-                        at = span["end_byte"]
-                    raw = b"".join([*left, raw[at:]])
-                texts.append(None if raw is None else raw.decode())
-            columns = list(batch.columns[: len(docs_columns)])
+            for text, cut in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                if text is not None and cut:
+                    edges = [0, *(edge for span in cut for edge in (span["start"], span["end"])), len(text)]
+                    text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                texts.append(text)
+            columns = list(batch.columns[: len(names)])
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    docs_columns = docs.columns
     return joined.mapInArrow(run, T.StructType(docs.schema.fields))
