@@ -101,7 +101,7 @@ def ownership(found: DataFrame, example_owners: int) -> tuple[DataFrame, DataFra
     spans = found.select(
         "row", "text_key", "owner", "repo", F.explode(F.concat("base", "more")).alias("s")
     ).select("row", "text_key", "owner", "repo", "s.*", F.sha2("s.value", 256).alias("value_hash"))
-    looks_random = F.size(F.array_distinct(F.split("value", ""))) >= LIVE_CHARACTERS
+    looks_random = F.size(F.array_remove(F.array_distinct(F.split("value", "")), "")) >= LIVE_CHARACTERS
     each = spans.groupBy("value_hash", "owner", "repo").agg(F.max(looks_random).alias("random"))
     counts = each.groupBy("value_hash", "owner").agg(F.max("random").alias("random"), F.count("repo").alias("repos"))
     total = counts.groupBy("value_hash").agg(
