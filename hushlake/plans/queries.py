@@ -1155,7 +1155,8 @@ _NULL_TURN = "CASE WHEN turn % 2 = 0 THEN NULL ELSE turn END"
 
 @query(
     "sessions_null_keys",
-    f"""SELECT conv_id, turn, concat(text, ' [EMAIL_001]') AS content, cast(1 as bigint) AS detection_count
+    f"""SELECT coalesce(cast(conv_id as string), '') AS conv_id, coalesce(cast(turn as string), '') AS turn,
+        concat(text, ' [EMAIL_001]') AS content, cast(1 as bigint) AS detection_count
     FROM (SELECT DISTINCT {_NULL_KEY} AS conv_id, {_NULL_TURN} AS turn, text, conv_id AS c, turn AS t
         FROM conversations WHERE text NOT LIKE '%@%') q""",
 )
@@ -1168,7 +1169,8 @@ def sessions_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = SanitizeConfig(mode="pii", enable_categories=("EMAIL",))
     out = sanitize_sessions(keyed, "text", ["conv_id"], "turn", config=cfg)
     return out.select(
-        "conv_id", "turn", "content", F.col("detection_count").cast("long").alias("detection_count")
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("conv_id", "turn")],
+        "content", F.col("detection_count").cast("long").alias("detection_count"),
     )
 
 
