@@ -37,13 +37,15 @@ _IN_CLASS = {
     "s": SPACE_CHARS, "S": f"[^{SPACE_CHARS}]",
     "b": r"\x08",
 }
+#: The end of a group that may repeat without a bound, or very often.
+_LONG_GROUP = r"\)(?:[*+]|\{\d*,(?:\d{3,})?\}|\{\d{3,}\})"
 _SAME = {"n": r"\n", "r": r"\r", "t": r"\t", "f": r"\f", "a": r"\x07", "v": r"\x0b"}
 
 
 class UnsupportedPatternError(ValueError):
-    """A pattern that Python accepts and the JVM cannot express.
+    """A pattern that Python accepts and the JVM cannot express, or not run safely.
 
-    Raised instead of dropping the rule: a silently missing rule would leak.
+    Such a rule runs in Python: a silently missing rule would leak.
     """
 
 
@@ -91,6 +93,8 @@ class _Translation:
                 out.append(self.escape(_OUTSIDE))
             elif m := self.take(r"\{(\d*),?(\d*)\}"):
                 out.append(self.repeat(m))
+            elif self.take(_LONG_GROUP):
+                raise UnsupportedPatternError("the JVM's stack grows with every turn of a repeated group")
             else:
                 ch = self.src[self.pos]
                 self.pos += 1

@@ -12,9 +12,20 @@ values: they are internal and must be dropped before anything is written.
 
 from __future__ import annotations
 
+import re
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from hushlake.functions.arrays import empty_array, fold_emit, let, literal, struct
 from hushlake.rules import DIGIT_RUN, VALIDATORS, Rule, tie_ranks
 
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HIT = "struct<start:int,end:int,rank:int,rule:int,value:string>"
 
 _MARK = "decode(unhex('E000'), 'UTF-16BE')"
@@ -93,10 +104,51 @@ def passes_validator(hit: str, rules: list[Rule]) -> str:
     return f"CASE {hit}.rule {' '.join(checks)} ELSE true END"
 
 
-def all_hits(text: str, rules: list[Rule]) -> str:
-    """Validated hits of all rules, in collection order; empty for null text."""
+CUT = "struct<rule:int,rank:int,parts:array<string>>"
+_CUTS_ARROW = pa.list_(
+    pa.struct([("rule", pa.int32()), ("rank", pa.int32()), ("parts", pa.list_(pa.string()))])
+)
+
+
+def _cut(text: str | None, patterns: list[tuple[int, int, re.Pattern]]) -> list[dict] | None:
+    if text is None:
+        return None
+    cuts = []
+    for rule, rank, pattern in patterns:
+        edges = [0, *(edge for m in pattern.finditer(text) for edge in m.span()), len(text)]
+        if len(edges) > 2:
+            parts = [text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            cuts.append({"rule": rule, "rank": rank, "parts": parts})
+    return cuts
+
+
+def python_cuts(text: Column, rules: list[Rule], leaves: bool = False) -> Column | None:
+    """Texts cut by the rules that only Python can run, for ``all_hits``; None without such
+    rules. With ``leaves`` the column is an array of texts, and so is the result."""
+    ranks = tie_ranks(rules)
+    wanted = [(i, ranks[i], r.pattern) for i, r in enumerate(rules) if r.engine == "python"]
+    if not wanted:
+        return None
+
+    def run(texts: pa.Array) -> pa.Array:
+        patterns = [(i, rank, re.compile(p)) for i, rank, p in wanted]
+        if not leaves:
+            return pa.array([_cut(t, patterns) for t in texts.to_pylist()], _CUTS_ARROW)
+        rows = [None if row is None else [_cut(t, patterns) for t in row] for row in texts.to_pylist()]
+        return pa.array(rows, pa.list_(_CUTS_ARROW))
+
+    return F.arrow_udf(run, f"array<array<{CUT}>>" if leaves else f"array<{CUT}>")(text)
+
+
+def all_hits(text: str, rules: list[Rule], python: str | None = None) -> str:
+    """Validated hits of all rules, in collection order; empty for null text.
+
+    ``python`` names the ``python_cuts`` of the text, where there are such rules.
+    """
     if not rules:
         return empty_array(HIT)
+    if python is None and any(r.engine == "python" for r in rules):
+        raise ValueError("a custom rule runs in Python: add python_cuts of the text")
     ranks = tie_ranks(rules)
     has_digits = (
         f"{text} RLIKE {literal(DIGIT_RUN)}" if any(r.needs_digits for r in rules) else "false"
@@ -109,10 +161,17 @@ def all_hits(text: str, rules: list[Rule]) -> str:
             f"THEN {rule_parts(text, 'ctx.mark', rule)} END",
         )
         for i, rule in enumerate(rules)
+        if rule.engine == "jvm"
     )
     context = struct(digits=has_digits, mark=marker_for(text))
-    matched = f"filter({let('ctx', context, f'array({cuts})')}, cut -> size(cut.parts) > 1)"
+    found = let("ctx", context, f"cast(array({cuts}) as array<{CUT}>)")
+    if python is not None:
+        found = f"array_sort(concat({found}, coalesce({python}, {empty_array(CUT)})), (ca, cb) -> ca.rule - cb.rule)"
+    matched = f"filter({found}, cut -> size(cut.parts) > 1)"
     hits = f"flatten(transform({matched}, cut -> {spans('cut')}))"
+    grouped = ", ".join(str(i) for i, r in enumerate(rules) if r.group == 2)
+    if grouped:
+        hits = f"filter({hits}, eh -> eh.value <> '' OR eh.rule NOT IN ({grouped}))"
     if any(r.validator for r in rules):
         hits = f"filter({hits}, vh -> {passes_validator('vh', rules)})"
     return f"CASE WHEN {text} IS NULL OR {text} = '' THEN {empty_array(HIT)} ELSE {hits} END"

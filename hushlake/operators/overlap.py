@@ -25,22 +25,21 @@ def _greedy(component: str) -> str:
 def resolve_overlaps(hits: str) -> str:
     """Disjoint hits ordered by start."""
 
-    def joins(st: str, h: str) -> str:
-        return f"{h}.start < {st}.reach"
+    def number(st: str, h: str) -> str:
+        return f"(CASE WHEN {h}.start < {st}.reach THEN {st}.id ELSE {st}.id + 1 END)"
 
     def step(st: str, h: str) -> str:
-        return f"""CASE WHEN {joins(st, h)}
-            THEN named_struct('reach', greatest({st}.reach, {h}.end),
-                              'open', concat({st}.open, array({h})))
-            ELSE named_struct('reach', {h}.end, 'open', array({h})) END"""
-
-    def emit(st: str, h: str) -> str:
-        return f"""CASE WHEN {joins(st, h)} THEN {empty_array(HIT)}
-            ELSE {_greedy(f"{st}.open")} END"""
-
-    folded = fold_emit("ordered", struct(reach="-1", open=empty_array(HIT)), step, emit, HIT)
-    last = _greedy("res.st.open")
-    grouped = let("res", folded, f"concat(res.out, {last})")
+        reach = f"CASE WHEN {h}.start < {st}.reach THEN greatest({st}.reach, {h}.end) ELSE {h}.end END"
+        return struct(reach=reach, id=number(st, h))
+
+    # every hit learns the number of its component; components are then slices
+    numbered = fold_emit(
+        "ordered", struct(reach="-1", id="0"), step, lambda st, h: f"array({number(st, h)})", "int"
+    )
+    heads = "filter(sequence(1, size(ids)), hp -> hp = 1 OR get(ids, hp - 1) <> get(ids, hp - 2))"
+    part = "slice(ordered, hd, coalesce(get(heads, hi + 1), size(ordered) + 1) - hd)"
+    chosen = f"flatten(transform(heads, (hd, hi) -> {let('part', part, _greedy('part'))}))"
+    grouped = let("ids", f"{numbered}.out", let("heads", heads, chosen))
     # most texts have no overlap at all, which one pass over two integers shows
     disjoint = """aggregate(ordered, 0, (reach, oh) ->
         CASE WHEN reach < 0 OR oh.start < reach THEN -1 ELSE oh.end END) >= 0"""

@@ -18,7 +18,7 @@ from hushlake.config import SanitizeConfig
 from hushlake.functions.arrays import empty_array, let, literal_array, prefix_sums, struct
 from hushlake.functions.pin import other_columns, pin
 from hushlake.functions.validators import placeholder_sql
-from hushlake.operators.hits import all_hits
+from hushlake.operators.hits import all_hits, python_cuts
 from hushlake.operators.numbering import number_in_row
 from hushlake.operators.overlap import resolve_overlaps
 from hushlake.operators.splice import splice
@@ -37,9 +37,18 @@ RESULT_COLUMNS = (
 Settings = SanitizeConfig | Mapping[str, Any] | None
 
 
-def kept_hits(text: str, rules: list[Rule]) -> str:
+def kept_hits(text: str, rules: list[Rule], python: str | None = None) -> str:
     """Disjoint hits of one text; ``text`` should be a plain column name."""
-    return let("found", all_hits(text, rules), resolve_overlaps("found"))
+    return let("found", all_hits(text, rules, python), resolve_overlaps("found"))
+
+
+def with_kept(df: DataFrame, text: str, rules: list[Rule], kept: str = "__kept") -> DataFrame:
+    """Add the disjoint hits of a text column."""
+    cuts = python_cuts(F.col(text), rules)
+    if cuts is None:
+        return df.withColumn(kept, F.expr(kept_hits(text, rules)))
+    cut = pin(df.withColumn("__cuts", cuts), "__cuts")
+    return cut.withColumn(kept, F.expr(kept_hits(text, rules, "__cuts"))).drop("__cuts")
 
 
 def _of_rule(values: list[Any], element_type: str, hit: str) -> str:
@@ -103,8 +112,7 @@ def with_detections(
     if not rules:
         return df.withColumns({content: text, detections: no_detections()})
     marked = (
-        df.withColumn("__text", text)
-        .withColumn("__kept", F.expr(kept_hits("__text", rules)))
+        with_kept(df.withColumn("__text", text), "__text", rules)
         .withColumn("__numbers", F.expr(number_in_row(numbering_items("__kept", rules))))
         .withColumn(detections, F.expr(detections_for("__kept", "__numbers", rules)))
         .drop("__kept", "__numbers")
@@ -135,10 +143,14 @@ def with_leaf_detections(
     # expression behind a column, and inside a lambda it would run per element.
     sizes = prefix_sums("transform(__kept, lk -> size(lk))")
     bound = struct(numbers="__numbers", offsets=sizes)
+    df = df.withColumn("__leaves", F.transform(leaves, F.make_valid_utf8))
+    cuts = python_cuts(F.col("__leaves"), rules, leaves=True)
+    own_cuts = None
+    if cuts is not None:
+        df, own_cuts = pin(df.withColumn("__cuts", cuts), "__cuts"), "get(__cuts, lc)"
     worked = (
-        df.withColumn("__leaves", F.transform(leaves, F.make_valid_utf8))
-        .withColumn(
-            "__kept", F.expr(f"transform(__leaves, lt -> {kept_hits('lt', rules)})")
+        df.withColumn(
+            "__kept", F.expr(f"transform(__leaves, (lt, lc) -> {kept_hits('lt', rules, own_cuts)})")
         )
         .withColumn("__numbers", F.expr(number_in_row(items)))
         .withColumn("__marks", F.expr(let("lbound", bound, marks)))
@@ -147,7 +159,7 @@ def with_leaf_detections(
             F.expr(let("lbound", "__marks", f"transform(__leaves, (lt, li) -> {leaf_text})")),
         )
         .withColumn(detections, F.coalesce(F.flatten("__marks"), no_detections()))
-        .drop("__leaves", "__kept", "__numbers", "__marks")
+        .drop("__leaves", "__kept", "__numbers", "__marks", "__cuts")
     )
     return pin(worked, content, detections)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hushlake.config import SanitizeConfig
 from hushlake.functions.pin import pin
-from hushlake.operators.redact import Settings, kept_hits
+from hushlake.operators.redact import Settings, with_kept
 from hushlake.rules import KNOWN_CATEGORIES, selected_rules
 
 # executors need not have this package installed
@@ -157,9 +157,10 @@ def leak_check(
     rules = selected_rules(cfg)
     flags = ", ".join(str(r.replacement is None).lower() for r in rules) or "true"
     numbered = f"transform(filter(__kept, h -> get(array({flags}), h.rule)), h -> struct(h.rule, h.value))"
-    worked = results.select(
+    both = results.select(
         *keys, F.make_valid_utf8(text_col).alias("__text"), F.col(content_col).alias("__content")
-    ).withColumn("__kept", F.expr(kept_hits("__text", rules)))
+    )
+    worked = with_kept(both, "__text", rules)
     hits = pin(worked, "__kept").select(*keys, "__content", F.expr(numbered).alias("__hits")).where("size(__hits) > 0")
     find = F.arrow_udf(_found_again, "array<struct<rule: int, n: bigint>>")
     names = ", ".join(f"'{r.category}'" for r in rules) or "''"

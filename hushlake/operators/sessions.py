@@ -18,8 +18,8 @@ from hushlake.operators.numbering import null_safe_join, number_sessions
 from hushlake.operators.redact import (
     Settings,
     admitted_text,
-    kept_hits,
     no_detections,
+    with_kept,
 )
 from hushlake.operators.splice import splice
 from hushlake.rules import Rule, selected_rules
@@ -45,7 +45,7 @@ def found_hits(df: DataFrame, text_col: str, keys: list[str], rules: list[Rule])
         value="sha2(h.value, 256)",
     )
     kept = df.select(*keys, F.col(text_col).alias("__text"))
-    kept = kept.withColumn("__kept", F.expr(kept_hits("__text", rules)))
+    kept = with_kept(kept, "__text", rules)
     hits = F.expr(f"cast(transform(__kept, h -> {fields}) as array<{_ROW_HIT}>)")
     return pin(kept.drop("__text"), "__kept").select(*keys, hits.alias("hits"))
 

@@ -22,6 +22,7 @@ from hushlake.functions.dialect import (
     SPACE_CHARS,
     WORD,
     WORD_CHARS,
+    UnsupportedPatternError,
     python_pattern_to_java,
 )
 
@@ -31,7 +32,10 @@ class Rule:
     """One detector.
 
     ``group`` 0 replaces the whole match. ``group`` 2 replaces only the second
-    capture; the first one is then the prefix that stays. ``any_of`` are
+    capture; the first one is then the prefix that stays, and an empty second one is
+    no match: so a pattern may step over a run in which it cannot match, instead of
+    trying every place in it. ``engine`` is "python" for custom patterns that
+    java.util.regex cannot express or would need its stack for. ``any_of`` are
     literals of which every match contains at least one, ``needs_digits`` says
     that every match holds ``DIGIT_RUN``: both are cheap tests that let a row
     skip the pattern.
@@ -46,6 +50,7 @@ class Rule:
     needs_digits: bool = False
     validator: str | None = None
     replacement: str | None = None
+    engine: str = "jvm"
 
 
 # Eight digits with nothing but spaces or hyphens in between: the least that
@@ -54,6 +59,10 @@ DIGIT_RUN = rf"{DIGIT}(?:[{SPACE_CHARS}-]*{DIGIT}){{7}}"
 
 _TOKEN = r"(?:[A-Z][A-Za-z'`.-]*)"
 
+_PEM_HEAD = "-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----"
+_PEM = rf"{_PEM_HEAD}[\s\S]+?-----END (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----"
+_JWT = rf"eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}{BOUNDARY}"
+
 # --- Fixed values -----------------------------------------------------------
 # Category, tier, confidence and grammar of the built-in detectors, in
 # collection order. These decide results and must not change. They are written
@@ -62,14 +71,16 @@ _TOKEN = r"(?:[A-Z][A-Za-z'`.-]*)"
 BUILTIN_RULES: tuple[Rule, ...] = (
     Rule(
         "PRIVATE_KEY", "secrets_only", 0.99,
-        r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----[\s\S]+?"
-        r"-----END (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----",
+        # a head without an end has none for later heads either: step over the rest
+        rf"(?:(?={_PEM})|({_PEM_HEAD}[\s\S]*+))({_PEM})?+",
+        group=2,
         any_of=("PRIVATE KEY-----",),
     ),
     Rule(
         "JWT", "secrets_only", 0.98,
-        rf"{NOT_AFTER_WORD}eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}"
-        rf"\.[A-Za-z0-9_-]{{10,}}{BOUNDARY}",
+        # where the first head of a run fails, so do all others in the run
+        rf"{NOT_AFTER_WORD}(?:(?={_JWT})|(eyJ[A-Za-z0-9_-]*+))({_JWT})?+",
+        group=2,
         any_of=("eyJ",),
     ),
     Rule(
@@ -107,7 +118,8 @@ BUILTIN_RULES: tuple[Rule, ...] = (
     ),
     Rule(
         "EMAIL", "pii", 0.99,
-        rf"{NOT_AFTER_WORD}[{WORD_CHARS}.%+-]++@[{WORD_CHARS}.-]+\.{WORD}{{2,}}{NOT_BEFORE_WORD}",
+        # a run of local characters is entered at its start, or one character after the last match
+        rf"{NOT_AFTER_WORD}(?:(?<![{WORD_CHARS}.%+-])|(?<=\G[.%+-]))[{WORD_CHARS}.%+-]++@[{WORD_CHARS}.-]+\.{WORD}{{2,}}{NOT_BEFORE_WORD}",
         any_of=("@",),
     ),
     Rule(
@@ -193,11 +205,15 @@ def custom_rules(config: SanitizeConfig) -> list[Rule]:
     """Custom rules as catalogue rules; patterns Python rejects are dropped."""
     out = []
     for rule in config.custom_rules:
-        pattern = python_pattern_to_java(rule.pattern)
+        engine = "jvm"
+        try:
+            pattern = python_pattern_to_java(rule.pattern)
+        except UnsupportedPatternError:
+            pattern, engine = rule.pattern, "python"
         if pattern is not None:
             out.append(
                 Rule(rule.category, "custom", rule.confidence, pattern,
-                     replacement=rule.replacement)
+                     replacement=rule.replacement, engine=engine)
             )
     return out
 

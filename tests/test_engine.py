@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hushlake import CustomRule, SanitizeConfig, sanitize_table
 from hushlake.functions.dialect import UnsupportedPatternError, python_pattern_to_java
 from hushlake.functions.pin import pin
-from hushlake.operators.hits import HIT, all_hits
+from hushlake.operators.hits import HIT, all_hits, python_cuts
 from hushlake.operators.overlap import resolve_overlaps
 from hushlake.rules import BUILTIN_RULES, selected_rules
 
@@ -39,7 +39,10 @@ def noise():
 
 def spans_of(spark, texts, rules):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, __text string").coalesce(4)
-    out = pin(df.select("id", F.expr(all_hits("__text", rules)).alias("h")), "h")
+    cuts = python_cuts(F.col("__text"), rules)
+    if cuts is not None:
+        df = pin(df.withColumn("cuts", cuts), "cuts")
+    out = pin(df.select("id", F.expr(all_hits("__text", rules, None if cuts is None else "cuts")).alias("h")), "h")
     return {r.id: [(h.start, h.end, h.rule, h.value) for h in r.h] for r in out.collect()}
 
 
@@ -58,12 +61,64 @@ def test_python_patterns_keep_their_meaning(spark, noise):
             assert have == want, (pattern, text)
 
 
-@pytest.mark.parametrize("pattern", ["(?x)a b", "(?a:\\w)", "(a)?(?(1)b|c)"])
+INEXPRESSIBLE = ["(?x)a b", "(?a:\\w)+", "(a)?(?(1)b|c)", "(?:[a-z]|\\d)+", "(?:ab|c)*d", "(?:x{2,3}){100}"]
+
+
+@pytest.mark.parametrize("pattern", INEXPRESSIBLE)
 def test_inexpressible_patterns_raise(pattern):
     with pytest.raises(UnsupportedPatternError):
         python_pattern_to_java(pattern)
 
 
+@pytest.mark.parametrize("pattern", INEXPRESSIBLE)
+def test_inexpressible_rules_run_in_python(redact, pattern):
+    texts = ["ab cab cd xxxx é9", "", "abababcd " * 5, "c", None]
+    rows = redact(texts, mode="secrets_only", custom_rules=({"name": "own", "pattern": pattern, "replacement": "[OWN]"},))
+    for row, text in zip(rows, texts, strict=True):
+        whole = [m for m in re.finditer(pattern, text or "") if m[0]]
+        assert [(d.start, d.end) for d in row.detections if d.end > d.start] == [m.span() for m in whole]
+
+
+def test_custom_rules_take_long_runs(redact):
+    long = "a" * 1_000_000
+    for pattern in (r"(?:[a-z]|\d)+", r"(?:a|b)*", r"(?:[a-z]{1,3})+", r"[a-z]+"):
+        (row,) = redact([long], mode="secrets_only", custom_rules=({"name": "r", "pattern": pattern, "replacement": "[R]"},))
+        assert row.content.startswith("[R]") and "a" not in row.content
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "." * 1_000_000 + " a@b.co", "eyJ-" * 250_000 + " eyJ" + ("a" * 12 + ".") * 3, "a@" * 300_000 + "b.co",
+        "-----BEGIN PRIVATE KEY-----" * 30_000, ".a@b" * 200_000 + ".co",
+    ],
+)
+def test_hostile_runs_behind_the_gates_finish(redact, text):
+    started = time.time()
+    redact([text], mode="pii")
+    assert time.time() - started < 20
+
+
+def test_addresses_and_tokens_in_dense_runs(spark):
+    """Matches that begin in the middle of a run, right after another match or a failed head."""
+    rng = random.Random(31)
+    pieces = ["a@b.co", ".", "-", "@", "x", "eyJ", "eyJabcdefghij", ".abcdefghij0", "_", " ", "%", "\u00e9", "1", "..", ".zz", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "k"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(12_000)]
+    rules = [r for r in BUILTIN_RULES if r.category in PLAIN]
+    got = spans_of(spark, texts, rules)
+    for k, rule in enumerate(rules):
+        pattern = python_form(rule)
+        for i, text in enumerate(texts):
+            assert [(s, e) for s, e, r, v in got[i] if r == k] == [m.span() for m in pattern.finditer(text)], (rule.category, text)
+
+
+def test_one_hit_over_many(redact):
+    text = " ".join(f"u{i}@x.com" for i in range(50_000))
+    started = time.time()
+    (row,) = redact([text], mode="pii", custom_rules=({"name": "all", "pattern": r"(?s)\A.*\Z", "replacement": "[ALL]"},))
+    assert row.content == "[ALL]" and time.time() - started < 40
+
+
 PIECES = (
     "user.name+x@mail-host.example.com", "a@b.co", "\u6d4b@\u4f8b\u5b50.com", "_x%@y.z9", "880101-14-5678", "8801011456789",
     "4111 1111-1111 1111", "4111111111111111", "1234 ", "56-", "0", "9" * 8, "9" * 13, "+60 12-345 6789",
@@ -79,10 +134,21 @@ PIECES = (
 )
 
 
+#: the plain form of rules that step over runs in which they cannot match
+PLAIN = {
+    "PRIVATE_KEY": r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----[\s\S]+?"
+    r"-----END (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----",
+    "JWT": r"(?<!\w)eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
+    "EMAIL": r"(?<!\w)[\w.%+-]+@[\w.-]+\.\w{2,}(?!\w)",
+}
+
+
 def python_form(rule):
     """A built-in pattern with Python's own classes in place of the spelled-out ones."""
     from hushlake.functions import dialect as d
 
+    if rule.category in PLAIN:
+        return re.compile(PLAIN[rule.category])
     text = rule.pattern.replace(d.WORD_CHARS, r"\w").replace(d.SPACE_CHARS, r"\s")
     return re.compile(text.replace(d.DIGIT, r"\d").replace(r"\x{17f}", "\u017f"))
 
@@ -97,7 +163,8 @@ def test_builtin_patterns_and_gates(spark):
     for k, rule in enumerate(rules):
         pattern = python_form(rule)
         for i, text in enumerate(texts):
-            want = [(*m.span(rule.group), m.group(rule.group)) for m in pattern.finditer(text)]
+            group = 0 if rule.category in PLAIN else rule.group
+            want = [(*m.span(group), m.group(group)) for m in pattern.finditer(text)]
             assert [(s, e, v) for s, e, r, v in got[i] if r == k] == want, (rule.category, text)
             if want:
                 found.add(k)
