@@ -1185,3 +1185,56 @@ def session_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = SanitizeConfig(mode="pii", enable_categories=("EMAIL",))
     out = sanitize_sessions(_planted_turns(spark, sf_dir), "text", ["conv_id"], "turn", config=cfg)
     return report.category_metrics(out, "conv_id")
+
+
+@query(
+    "custom_rules_long_runs",
+    """SELECT doc_id, '[RUN] [RUN]' AS content, cast(2 as bigint) AS detection_count FROM documents""",
+)
+def custom_rules_long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repeated group over runs that would overflow the JVM's stack."""
+    docs = table(spark, sf_dir, "documents", ["doc_id"])
+    runs = F.concat(F.repeat(F.lit("ab1"), (F.lit(4000) + F.col("doc_id") % 7).cast("int")), F.lit(" x9"))
+    rule = CustomRule("run", r"(?:[a-z]|\d)+", "[RUN]")
+    cfg = SanitizeConfig(mode="secrets_only", custom_rules=(rule,), enable_categories=("RUN",))
+    return _content(sanitize_table(docs.select("doc_id", runs.alias("text")), config=cfg), "doc_id")
+
+
+@query(
+    "json_deep",
+    """SELECT s_suppkey, concat(repeat('[', 20000), '{"k":"[EMAIL_001]","n":', cast(s_suppkey as string), '}', repeat(']', 20000)) AS content,
+        '' AS warnings FROM supplier""",
+)
+def json_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents nested deeper than any call stack are walked like others."""
+    nested = F.expr(
+        """concat(repeat('[', 20000), '{"k": "s', s_suppkey, '@b.com", "n": ', s_suppkey, '}', repeat(']', 20000))"""
+    )
+    docs = table(spark, sf_dir, "supplier", ["s_suppkey"]).select("s_suppkey", nested.alias("text"))
+    out = sanitize_structured(docs, "text", "json", mode="pii", key="s_suppkey")
+    return out.select(
+        "s_suppkey",
+        F.regexp_replace("content", r"\s", "").alias("content"),
+        F.array_join("warnings", "|").alias("warnings"),
+    )
+
+
+_ALIASES = "".join(f"r{i}: *{{anchor}}{{end}}" for i in range(30))
+
+
+@query(
+    "yaml_aliases",
+    "SELECT s_suppkey, replace(concat('base: &id001~  mail: ''[EMAIL_001]''~  n: ', cast(s_suppkey as string), '~"
+    + _ALIASES.format(anchor="id001", end="~")
+    + "last: x [EMAIL_001]~'), '~', chr(10)) AS content, '' AS warnings FROM supplier",
+)
+def yaml_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An anchor with many aliases: more leaves than the text has room for, walked once."""
+    text = F.expr(
+        "replace(concat('base: &b~  mail: s', s_suppkey, '@b.com~  n: ', s_suppkey, '~"
+        + _ALIASES.format(anchor="b", end="~")
+        + "last: x s', s_suppkey, '@b.com~'), '~', chr(10))"
+    )
+    docs = table(spark, sf_dir, "supplier", ["s_suppkey"]).select("s_suppkey", text.alias("text"))
+    out = sanitize_structured(docs, "text", "yaml", mode="pii", key="s_suppkey")
+    return out.select("s_suppkey", "content", F.array_join("warnings", "|").alias("warnings"))
