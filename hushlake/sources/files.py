@@ -35,6 +35,26 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def unlisted_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, length`` of files that Spark's readers pass over: empty ones, and those whose
+    name, or a folder's below ``path``, begins with ``_`` or ``.``. A walk over names only."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for root in [path] if isinstance(path, str) else path:
+        where = jvm.org.apache.hadoop.fs.Path(root)
+        files = where.getFileSystem(conf)
+        for top in files.globStatus(where) or []:
+            base = top.getPath().toString()
+            names = files.listFiles(top.getPath(), True)
+            while names.hasNext():
+                status = names.next()
+                full = status.getPath().toString()
+                hidden = any(part[:1] in ("_", ".") for part in full[len(base) :].split("/"))
+                if hidden or not status.getLen():
+                    found.append((full, status.getLen()))
+    return spark.createDataFrame(found, "path string, length long")
+
+
 def read_admissible(
     spark: SparkSession,
     path: str | list[str],
@@ -132,6 +152,24 @@ def sanitize_file_rows(
     return redact_documents(docs, cfg, structured)
 
 
+def _passed_over_rows(spark: SparkSession, path: str | list[str], cfg: SanitizeConfig) -> DataFrame:
+    """Results of the files that Spark's readers do not hand out."""
+    passed_over = unlisted_files(spark, path)
+    empty = passed_over.where("length = 0").withColumn("content", F.lit(b""))
+    hidden = passed_over.where("length > 0").withColumn("file", file_name(F.col("path")))
+    lost = result_columns(
+        F.lit(""),
+        no_detections(),
+        F.array(F.concat(F.lit("Hidden file was not read: "), "file")),
+        F.lit("HiddenFileError"),
+        cfg.mode,
+        F.col("file"),
+    )
+    return sanitize_file_rows(empty, config=cfg).unionByName(
+        hidden.select("path", *[c.alias(n) for n, c in lost.items()])
+    )
+
+
 def sanitize_files(
     spark: SparkSession,
     path: str | list[str],
@@ -141,7 +179,8 @@ def sanitize_files(
     """Redact all files below ``path``.
 
     Files that cannot be processed come from a listing without contents, so they
-    are reported without being read. The others are read once, by family: plain
+    are reported without being read. Empty files give empty results; hidden files, which
+    Spark does not open, give a row that fails closed. The others are read once, by family: plain
     texts never meet Python.
     """
     cfg = SanitizeConfig.resolve(config, mode)
@@ -149,13 +188,14 @@ def sanitize_files(
         everything = (
             spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         )
-        return sanitize_file_rows(everything, config=cfg)
+        return sanitize_file_rows(everything, config=cfg).unionByName(_passed_over_rows(spark, path, cfg))
     listed = admit(list_files(spark, path), cfg)
     textless = F.col("ext").isin(*PDF_EXTENSIONS, *IMAGE_EXTENSIONS)
     unread = listed.where(F.col("error").isNotNull() | textless).select(
         "path", "length", F.lit(None).cast("binary").alias("content")
     )
     out = sanitize_file_rows(unread, config=cfg, structured=False, office=False)
+    out = out.unionByName(_passed_over_rows(spark, path, cfg))
     families = (
         (PLAIN_EXTENSIONS, False, False),
         (tuple(STRUCTURED_EXTENSIONS), True, False),

@@ -443,3 +443,16 @@ def test_sql_functions(spark):
         placeholder_token('EMAIL', 7) h, placeholder_token('EMAIL', 1234) i"""
     ).first()
     assert tuple(row) == (True, False, True, False, True, False, False, "[EMAIL_007]", "[EMAIL_1234]")
+
+
+def test_files_spark_passes_over(spark, tmp_path):
+    (tmp_path / "_sub").mkdir()
+    for name, body in {"a.txt": "a@b.com", "_a.txt": "a@b.com", ".b.txt": "x", "empty.txt": "", "_sub/c.json": "{}", "_none.md": "", "e.docx": ""}.items():
+        (tmp_path / name).write_text(body)
+    found = sanitize_files(spark, str(tmp_path), mode="pii").collect()
+    rows = {r.path.rsplit("/", 1)[1]: r for r in found}
+    assert rows["a.txt"].content == "[EMAIL_001]" and len(rows) == len(found) == 7
+    assert sanitize_files(spark, str(tmp_path), mode="off").count() == 7
+    assert {n for n, r in rows.items() if r.metadata.error == "HiddenFileError"} == {"_a.txt", ".b.txt", "c.json"}
+    assert rows["empty.txt"].content == "" and rows["empty.txt"].sanitized and rows["_none.md"].sanitized
+    assert rows["e.docx"].metadata.error == "CorruptDocumentError"
