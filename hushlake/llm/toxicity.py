@@ -138,24 +138,18 @@ def _mean_ratios(docs: DataFrame, text_col: str, ratios: np.ndarray, names: tupl
 
 
 def calibrate(ratio: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of the logistic, with a share of flipped labels fitted beside them."""
+    """Slope and intercept of the logistic of the label, by Newton's method."""
     prior = float(np.clip(label.mean(), 1e-4, 1 - 1e-4)) if len(label) else 1e-4
     if not 0 < label.sum() < len(label) or not ratio.std():
         return 0.0, float(np.log(prior / (1 - prior)))
     scale = 1 / ratio.std()
     x = np.stack([ratio * scale, np.ones(len(ratio))])
-    target, flips, w = label.astype(float), 0.05, np.array([1.0, np.log(prior / (1 - prior))])
-    for _ in range(25):
-        for _ in range(8):
-            p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
-            gradient = x @ (target - p) - np.array([0.01, 0.0]) * w
-            hessian = (x * (p * (1 - p))) @ x.T + np.diag([0.01, 1e-6])
-            w = w + np.clip(np.linalg.solve(hessian, gradient), -4, 4)
+    w = np.array([1.0, np.log(prior / (1 - prior))])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
-        right = np.where(label == 1, p, 1 - p)
-        same = right * (1 - flips) / (right * (1 - flips) + (1 - right) * flips)
-        target = np.where(label == 1, same, 1 - same)
-        flips = float(np.clip(1 - same.mean(), 1e-3, 0.3))
+        gradient = x @ (label - p) - np.array([0.01, 0.0]) * w
+        hessian = (x * (p * (1 - p))) @ x.T + np.diag([0.01, 1e-6])
+        w = w + np.clip(np.linalg.solve(hessian, gradient), -2, 2)
     return float(w[0] * scale), float(w[1])
 
 
