@@ -502,7 +502,9 @@ def category_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.category_metrics(_documents_pii(spark, sf_dir), "doc_id")
 
 
-_CATEGORY_ROWS = ", ".join(f"('{c}')" for c in sorted({r.category for r in BUILTIN_RULES}))
+# the known categories, stated on their own
+_CATEGORY_ROWS = """('ACCOUNT_NUMBER'), ('AMOUNT'), ('API_KEY'), ('AUTH_HEADER'), ('CREDIT_CARD'), ('DB_URL'), ('EMAIL'),
+    ('IBAN'), ('INTERNAL_URL'), ('JWT'), ('LONG_NUMBER'), ('MYKAD'), ('NAME'), ('PASSWORD'), ('PHONE'), ('PRIVATE_KEY')"""
 
 
 @query(
