@@ -3,7 +3,7 @@
 from hushlake.config import CustomRule, SanitizeConfig
 from hushlake.operators.admission import admit
 from hushlake.operators.nested import sanitize_nested
-from hushlake.operators.redact import sanitize_table
+from hushlake.operators.redact import as_results, sanitize_table
 from hushlake.operators.sessions import sanitize_sessions
 from hushlake.operators.structured import leaf_table, sanitize_declared, sanitize_structured
 from hushlake.sources.files import sanitize_file_rows, sanitize_files
@@ -13,6 +13,7 @@ __all__ = [
     "CustomRule",
     "SanitizeConfig",
     "admit",
+    "as_results",
     "leaf_table",
     "sanitize_declared",
     "sanitize_file_rows",

@@ -13,6 +13,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hushlake.config import SanitizeConfig
 from hushlake.functions.arrays import empty_array, let, literal_array, prefix_sums, struct
@@ -201,6 +202,21 @@ def result_columns(
     }
 
 
+def as_results(df: DataFrame, mode: str, content: str = "content") -> DataFrame:
+    """Session, nested and declared outputs in the fixed result schema, for the reports.
+
+    ``content`` names the redacted column; one that is no text becomes JSON. Other columns
+    pass through.
+    """
+    given = F.col(f"`{content}`")
+    if not isinstance(df.schema[content].dataType, T.StringType):
+        given = F.to_json(given)
+    warnings = F.col("warnings") if "warnings" in df.columns else F.expr(empty_array("string"))
+    names = {content, "error", "warnings", *RESULT_COLUMNS}
+    cols = result_columns(given, F.col("detections"), warnings, F.col("error"), mode)
+    return df.select(*other_columns(df, *names), *[c.alias(n) for n, c in cols.items()])
+
+
 def sanitize_table(
     df: DataFrame,
     text_col: str = "text",

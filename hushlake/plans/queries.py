@@ -19,7 +19,7 @@ from hushlake.operators.nested import sanitize_nested
 from hushlake.operators.numbering import number_sessions
 from hushlake.operators.overlap import resolve_overlaps as resolve
 from hushlake.operators.pages import assemble_pages
-from hushlake.operators.redact import sanitize_table
+from hushlake.operators.redact import as_results, sanitize_table
 from hushlake.operators.sessions import found_hits, hit_rows, sanitize_sessions
 from hushlake.operators.structured import leaf_table, sanitize_declared, sanitize_structured
 from hushlake.plans import oracles as o
@@ -1240,3 +1240,15 @@ def yaml_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "supplier", ["s_suppkey"]).select("s_suppkey", text.alias("text"))
     out = sanitize_structured(docs, "text", "yaml", mode="pii", key="s_suppkey")
     return out.select("s_suppkey", "content", F.array_join("warnings", "|").alias("warnings"))
+
+
+@query(
+    "session_audit",
+    f"""SELECT conv_id, turn, '(text)' AS file, 'pii' AS mode, cast(1 as bigint) AS detections, 'EMAIL' AS categories
+    FROM {_TURN_NUMBER} t""",
+)
+def session_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit rows of redacted sessions."""
+    out = sanitize_sessions(_planted_turns(spark, sf_dir), "text", ["conv_id"], "turn", "pii")
+    audit = report.audit_table(as_results(out, "pii"), ["conv_id", "turn"])
+    return audit.withColumn("detections", F.col("detections").cast("long"))

@@ -456,3 +456,16 @@ def test_files_spark_passes_over(spark, tmp_path):
     assert {n for n, r in rows.items() if r.metadata.error == "HiddenFileError"} == {"_a.txt", ".b.txt", "c.json"}
     assert rows["empty.txt"].content == "" and rows["empty.txt"].sanitized and rows["_none.md"].sanitized
     assert rows["e.docx"].metadata.error == "CorruptDocumentError"
+
+
+def test_every_call_gives_result_rows(spark):
+    from hushlake import as_results
+    from hushlake.operators.redact import RESULT_COLUMNS
+
+    df = spark.createDataFrame([("s", 1, "a@b.com"), ("s", None, "x")], "s string, t int, text string")
+    sessions = as_results(sanitize_sessions(df, "text", ["s"], "t", mode="pii"), "pii")
+    assert sessions.columns == ["s", "t", *RESULT_COLUMNS]
+    assert sorted(tuple(r)[1:] for r in report.audit_table(sessions).collect()) == [("pii", 0, "none"), ("pii", 1, "EMAIL")]
+    nested = sanitize_nested(df.select(F.struct("text").alias("doc")), "doc", mode="pii")
+    rows = as_results(nested, "pii", "doc").collect()
+    assert [(r.content, r.sanitized, r.categories) for r in rows] == [('{"text":"[EMAIL_001]"}', True, ["EMAIL"]), ('{"text":"x"}', True, [])]
