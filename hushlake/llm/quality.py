@@ -98,7 +98,7 @@ def measure(block: Block) -> dict[str, np.ndarray]:
     n_symbols = _per_doc(_SYMBOL[block.data], base)
     letters = np.maximum(_per_doc(_LETTER[block.data], base), 1)
     n_lines = _per_doc(block.data == 10, base) + 1
-    distinct = np.bincount(np.unique(np.stack((doc.astype(np.uint64), words)), axis=1)[0].astype(np.int64), minlength=n)
+    distinct = np.bincount(doc[np.unique(words + salt, return_index=True)[1]], minlength=n)
     per = np.maximum(n_words, 1)
     stops = _per_doc(_STOP[block.data], base)
     return {
