@@ -16,6 +16,7 @@ each for itself; an empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -111,22 +112,28 @@ def plan_packing(counts: dict[int, int], capacity: Capacity) -> Plan:
 
 
 @cache
-def _encoder(ranks_path: str, pattern: str):
+def _encoder(ranks_path: str, pattern: str, vocabulary_path: str | None):
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    added = {}
+    if vocabulary_path is not None:
+        with open(vocabulary_path, encoding="utf-8") as vocabulary:
+            added = {t["content"]: t["id"] for t in json.load(vocabulary)["added_tokens"]}
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
 
-def token_pieces(docs: DataFrame, capacity: int, end_id: int, ranks_path: str, pattern: str, with_ids: bool) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, capacity: int, end_id: int, ranks_path: str, pattern: str, vocabulary_path: str | None, with_ids: bool
+) -> DataFrame:
     """Every piece of ``docs(id, text)``, numbered per task and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_path, pattern)
+        encoder = _encoder(ranks_path, pattern, vocabulary_path)
         part = TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
@@ -137,7 +144,7 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, ranks_path: str, p
                 for doc_id, text in zip(
                     batch.column("id")[row:to].to_pylist(), texts[row:to].to_pylist(), strict=True
                 ):
-                    ids = np.array([*encoder.encode_ordinary(text or ""), end_id], dtype="<u4")
+                    ids = np.array([*encoder.encode(text or "", allowed_special="all"), end_id], dtype="<u4")
                     first = len(ids) % capacity or capacity
                     edges = [0, *range(first, len(ids) + 1, capacity)]
                     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
@@ -165,19 +172,24 @@ def pack_documents(
     ranks_path: str | None = None,
     pattern: str | None = None,
     with_ids: bool = False,
+    vocabulary_path: str | None = None,
 ) -> DataFrame:
     """One row per piece: ``id_col, piece, start, length, ids_crc32, sequence_id, offset``.
 
     ``ranks_path`` and ``pattern`` name a byte-level vocabulary as merge ranks, by default
-    the public one of 50,257 ids. ``with_ids`` adds the ids as little-endian uint32 bytes.
+    the public one of 50,257 ids. ``vocabulary_path`` names the JSON file whose added tokens
+    are single ids wherever a text holds them. ``with_ids`` adds the ids as little-endian
+    uint32 bytes.
     """
     if ranks_path is None or pattern is None:
         import public_tokenizers
 
+        if ranks_path is None:
+            vocabulary_path = vocabulary_path or public_tokenizers.path("byte_bpe_50k.json")
         ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
         pattern = pattern or public_tokenizers.PATTERN
     rows = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    pieces = written(token_pieces(rows, capacity.tokens, end_id, ranks_path, pattern, with_ids), "pieces")
+    pieces = written(token_pieces(rows, capacity.tokens, end_id, ranks_path, pattern, vocabulary_path, with_ids), "pieces")
     per_task = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(

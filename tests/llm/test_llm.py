@@ -263,6 +263,18 @@ def test_packing_round_trip(spark, odd):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_packing_reads_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "a  <|endoftext|>  b\n", "<|endoftext|><|endoftext|>", "<|endoftext", "x <|ENDOFTEXT|>"]
+    pieces = packing.pack_documents(documents(spark, list(enumerate(texts))), with_ids=True).collect()
+    got = {p.doc_id: np.frombuffer(p.ids, "<u4").tolist() for p in pieces}
+    assert got == {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for k, t in enumerate(texts)}
+    assert got[0] == [64, 50256, 65, 2]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var x="<p>no</p>";</script></head><body class="has-sidebar">
 <header><a>Home</a></header><nav><li>menu</li></nav><div class="cookie-notice"><p>We use cookies</p></div>
 <article class="post"><header><h1>A &amp; B</h1></header><p>First <b>bold<br>text<p>Second&nbsp;  para 1 < 2<aside>side</aside>
