@@ -4,14 +4,15 @@ A seed is a window of words of which a fixed mask ignores some positions, so a c
 does not hide the window. Seeds of the benchmark and of the documents are joined by hash;
 each match proposes a document, an item and a diagonal. The words of both are then compared
 along the diagonal: the longest stretch in which at least ``percent`` of the words agree
-must reach ``min_words`` words, or the whole item if it is shorter.
+must reach ``min_words`` words, or ``percent`` of the item if that is shorter. Items that ask
+for less than ``LONG_STRETCH`` words have seeds of four words, joined with these items only.
 
 The documents' seeds pass a bitmap of the benchmark's seeds before they leave their task,
 so the join gets little more than true matches. The bitmap has a fixed size; a benchmark
 with too many seeds for it is joined without it.
 
-Defined cases: null and empty texts match nothing; items of fewer words than a seed needs
-(five) are too short to tell and match nothing; repeated documents each get their rows.
+Defined cases: null and empty texts match nothing; items of fewer than
+five words are too short to tell and match nothing; repeated documents each get their rows.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ from hushlake.llm.words import Block, blocks
 
 #: 1: the word counts, 0: it is ignored
 MASKS = ("11111", "1101101", "1110011", "1011011", "1100111")
+#: All ways for four of five words to agree.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
+#: Stretches of so many words and more, of which 80 % agree, always hold a seed of ``MASKS``.
+LONG_STRETCH = 13
+LEAST_WORDS = 5
 BITMAP_BITS = 1 << 24
 BITMAP_SEEDS = 1 << 20
 
@@ -37,10 +43,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def seeds(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each mask: window starts (word indexes) of the block and their seed hashes."""
+def seeds(block: Block) -> Iterator[tuple[str, bool, np.ndarray, np.ndarray]]:
+    """For each mask, and whether it is a short one: window starts (word indexes) of the block and their seed hashes."""
     words = block.hashes()
-    for number, mask in enumerate(MASKS):
+    for number, mask in enumerate(MASKS + SHORT_MASKS):
         n = len(words) - len(mask) + 1
         if n <= 0:
             continue
@@ -49,7 +55,7 @@ def seeds(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             if used == "1":
                 h *= np.uint64(0x9E3779B97F4A7C15)
                 h += words[offset : offset + n]
-        yield np.arange(n), _mixed(h)
+        yield mask, number >= len(MASKS), np.arange(n), _mixed(h)
 
 
 def _within(block: Block, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,8 +69,16 @@ def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
 
-def seed_rows(texts: DataFrame, key: str, bitmap: np.ndarray | None) -> DataFrame:
-    """``key, position, seed`` of every seed window that the bitmap lets through."""
+def least_stretch(n_words: np.ndarray | int, percent: int, min_words: int) -> np.ndarray | int:
+    """The words of a stretch that tells an item of ``n_words``."""
+    return np.minimum(min_words, -(-n_words * percent // 100))
+
+
+def seed_rows(texts: DataFrame, key: str, bitmap: np.ndarray | None, item_rule: tuple[int, int] | None = None) -> DataFrame:
+    """``key, position, seed`` of every seed window that the bitmap lets through.
+
+    Benchmark items come with their ``percent`` and ``min_words``: each has the seeds of its length.
+    """
     sent = None if bitmap is None else texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +86,8 @@ def seed_rows(texts: DataFrame, key: str, bitmap: np.ndarray | None) -> DataFram
         for batch in batches:
             keys = batch.column(key).to_numpy(zero_copy_only=False)
             for block in blocks(batch.column("text")):
-                for mask, (at, h) in zip(MASKS, seeds(block), strict=False):
+                n_words = block.hi - block.lo
+                for mask, short, at, h in seeds(block):
                     if bits is not None:
                         one, two = _probes(h)
                         ok = np.flatnonzero((bits[one >> 3] >> (one & 7).astype(np.uint8)) & 1)
@@ -82,6 +97,9 @@ def seed_rows(texts: DataFrame, key: str, bitmap: np.ndarray | None) -> DataFram
                     if not len(at):
                         continue
                     doc, inside = _within(block, at, len(mask))
+                    if item_rule is not None:
+                        inside &= (least_stretch(n_words, *item_rule) < LONG_STRETCH)[doc] == short
+                        inside &= n_words[doc] >= LEAST_WORDS
                     doc, at, h = doc[inside], at[inside], h[inside]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys[block.first + doc]), pa.array(at - block.lo[doc]), pa.array(h.view(np.int64))],
@@ -119,7 +137,7 @@ def verify(words: np.ndarray, item: np.ndarray, diagonals: list[int], percent: i
             continue
         same = item[a:b] == words[a + diagonal : b + diagonal]
         begin, end = best_stretch(same, percent)
-        if end - begin >= min(min_words, -(-len(item) * percent // 100)):
+        if end - begin >= least_stretch(len(item), percent, min_words):
             found = (end - begin, int(same[begin:end].sum()), -(a + begin + diagonal))
             best = max(best, found) if best else found
     return best and (-best[2], best[0] - best[2], best[1])
@@ -149,7 +167,8 @@ def benchmark_overlaps(
     items = pick(benchmark, item=item_col, item_text=item_text_col).filter("item_text is not null").distinct()
     items = items.withColumn("item_key", F.xxhash64("item", "item_text"))
     bench = written(
-        seed_rows(items.select("item_key", F.col("item_text").alias("text")), "item_key", None), "benchmark-seeds"
+        seed_rows(items.select("item_key", F.col("item_text").alias("text")), "item_key", None, (percent, min_words)),
+        "benchmark-seeds",
     )
     hits = seed_rows(rows, "text_key", _bitmap(bench))
     matched = hits.join(bench.withColumnRenamed("position", "item_position"), "seed")

@@ -412,6 +412,36 @@ def test_decontamination(spark, odd):
     assert decontamination.benchmark_overlaps(docs.limit(0), bench).count() == 0
 
 
+def test_seeds_meet_every_agreement():
+    for n in range(5, 20):
+        least = decontamination.least_stretch(n, 80, 13)
+        masks = decontamination.MASKS if least >= decontamination.LONG_STRETCH else decontamination.SHORT_MASKS
+        codes = np.arange(1 << n)
+        hit = np.zeros(len(codes), dtype=bool)
+        for mask in masks:
+            for at in range(n - len(mask) + 1):
+                bits = int(mask, 2) << at
+                hit |= codes & bits == bits
+        for code in codes[~hit].tolist():
+            begin, end = decontamination.best_stretch(np.array([code >> k & 1 for k in range(n)], dtype=bool), 80)
+            assert end - begin < least, f"{code:0{n}b}"
+
+
+def test_short_items_with_a_changed_word(spark):
+    rng = random.Random(17)
+    items = [(k, prose(rng, 5 + k % 11)) for k in range(33)] + [(99, "four words are few")]
+    rows, expected = [], set()
+    for k, text in items:
+        words = text.split()
+        for j in range(len(words)):
+            changed = [*words[:j], "changed", *words[j + 1 :]]
+            rows.append((100 * k + j, " ".join([*prose(rng, 20).split(), *changed, *prose(rng, 20).split()])))
+            if len(words) >= 5:
+                expected.add((100 * k + j, k))
+    got = decontamination.benchmark_overlaps(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expected
+
+
 def test_best_stretch_matches_brute_force():
     rng = np.random.default_rng(14)
     for _ in range(200):
