@@ -288,6 +288,19 @@ def test_html_blocks():
     assert html_text.parse_blocks("") == [] and html_text.parse_blocks("<script>x") == []
 
 
+@pytest.mark.parametrize("names", [
+    "class='no-sidebar'", "class='has-sidebar'", "class='comments-open'", "class='entry social'", "class='with-ads'", "id='search-results-page'",
+    "class='sidebar'", "class='site-footer'",
+])
+def test_html_wrappers_keep_the_article(names):
+    inner = "<p>one two three four</p><p>five six seven eight</p>"
+    for whole in (inner, f"<article>{inner}</article>", f"<main>{inner}</main>"):
+        page = f"<body><nav>menu</nav><div {names}>{whole}<div class='site-footer'>terms</div></div></body>"
+        assert [t for _, _, t, _ in html_text.parse_blocks(page)] == ["one two three four", "five six seven eight"]
+    page = f"<body><article>{inner}</article><div class='widget-area'>x</div><div id='comments'><article class='comment-body'>{inner * 3}</article></div>"
+    assert len(html_text.parse_blocks(page)) == 2
+
+
 def test_site_tree_cuts_what_every_page_says(spark):
     rng = random.Random(9)
     rows = [(k, f"http://A.example.org/{k}", f"<body><p>{prose(rng, 30)}</p><p>{prose(rng, 9)}</p><p>Read our terms</p></body>") for k in range(30)]
