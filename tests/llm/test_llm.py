@@ -317,6 +317,17 @@ def test_site_tree_cuts_what_every_page_says(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_site_tree_leaves_marked_articles(spark):
+    rng = random.Random(18)
+    shared = [prose(rng, 12) for _ in range(40)]
+    rows = []
+    for k in range(10):
+        own = [*shared[:20], f"changed {k}", *shared[20:]]
+        rows.append((k, f"http://a.example.org/{k}", "<article>" + "".join(f"<p>{p}</p>" for p in own) + "</article>"))
+    for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text.split("\n\n") == [*shared[:20], f"changed {r.page_id}", *shared[20:]] and r.n_cut == 0
+
+
 def test_secrets_match_plain_patterns(spark, odd):
     rng = random.Random(10)
     parts = ["token = \"", "PASSWORD:", "secret:token=", "api_key='", "AKIA", "deadbeef" * 3, "0123456789abcdef", "x9Y8z7" * 4, "ſecret=", " ", "é", "\n", "ab=cd", "Z" * 13]
