@@ -1 +1,8 @@
 """Operators for preparing training data; nothing else in the library imports them."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# executors need not have this package installed: its functions travel with the tasks
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hushlake.llm.chunks import repeated_passages
 from hushlake.llm.decontamination import benchmark_overlaps
+from hushlake.llm.filter_audit import audit_filters
 from hushlake.llm.html_text import extract_text
 from hushlake.llm.licenses import scan_licenses
 from hushlake.llm.near_dup import near_duplicates
-from hushlake.llm.oracles import NEAR_DUPLICATES, secret_scan_sql
+from hushlake.llm.oracles import FILTER_AUDIT, NEAR_DUPLICATES, PREFIX_TRIE, secret_scan_sql
 from hushlake.llm.packing import pack_documents
+from hushlake.llm.prefix_trie import prefix_trie
 from hushlake.llm.quality import quality
 from hushlake.llm.secrets import scan_secrets
 from hushlake.llm.tables import table
@@ -22,7 +24,12 @@ from hushlake.llm.url_filter import judge_urls
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: The others learn models, vote, tokenise or parse; tests hold them against plain versions.
-ORACLES: dict[str, str] = {"op5_secret_scan": secret_scan_sql(), "op6_minhash_near_dedup": NEAR_DUPLICATES}
+ORACLES: dict[str, str] = {
+    "op5_secret_scan": secret_scan_sql(),
+    "op6_minhash_near_dedup": NEAR_DUPLICATES,
+    "op11_conversation_prefix_trie": PREFIX_TRIE,
+    "op12_filter_interaction_audit": FILTER_AUDIT,
+}
 
 
 def query(fn: Query) -> Query:
@@ -79,3 +86,13 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
