@@ -17,6 +17,7 @@ from hushlake.llm.packing import pack_documents
 from hushlake.llm.prefix_trie import prefix_trie
 from hushlake.llm.quality import quality
 from hushlake.llm.secrets import scan_secrets
+from hushlake.llm.simhash import simhash_components
 from hushlake.llm.tables import table
 from hushlake.llm.toxicity import toxicity_scores
 from hushlake.llm.url_filter import judge_urls
@@ -96,3 +97,8 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
