@@ -7,7 +7,17 @@ expected result can be composed without any pattern.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import sys
+import zipfile
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -102,3 +112,38 @@ def all_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in rest:
         first = first.unionByName(part)
     return first
+
+
+def _office(ext: str, first: str, second: str, number: str) -> bytes | None:
+    """A letter with a picture, its first address cut over two runs; a workbook of three cells."""
+    if ext not in (".docx", ".xlsx"):
+        return None
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as archive:
+        if ext == ".docx":
+            w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+            run = "<w:r><w:t>{}</w:t></w:r>"
+            runs = run.format(f"write to {first[:3]}") + run.format(first[3:])
+            archive.writestr(
+                "word/document.xml",
+                f"<w:document {w}><w:body><w:p>{runs}</w:p><w:p/><w:p>{run.format(second)}</w:p></w:body></w:document>",
+            )
+            archive.writestr("word/media/image1.png", "x")
+        else:
+            s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+            archive.writestr("xl/sharedStrings.xml", f"<sst {s}><si><t>{first}</t></si></sst>")
+            archive.writestr(
+                "xl/worksheets/sheet1.xml",
+                f'<worksheet {s}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1"><f>SUM(A2)</f><v>1</v></c></row>'
+                f'<row><c r="A2"><v>{number}</v></c></row></sheetData></worksheet>',
+            )
+    return made.getvalue()
+
+
+def office_files(ext: Column, texts: Column) -> Column:
+    """The bytes of a DOCX or XLSX file that holds two addresses and a number; null for other types."""
+
+    def build(ext: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([_office(e, *t) for e, t in zip(ext.to_pylist(), texts.to_pylist(), strict=True)], pa.binary())
+
+    return F.arrow_udf(build, "binary")(ext, texts)

@@ -23,9 +23,10 @@ from hushlake.operators.redact import as_results, sanitize_table
 from hushlake.operators.sessions import found_hits, hit_rows, sanitize_sessions
 from hushlake.operators.structured import leaf_table, sanitize_declared, sanitize_structured
 from hushlake.plans import oracles as o
-from hushlake.plans.corpora import all_corpora, corpus, pii_sql, planted, secrets_sql, table
+from hushlake.plans.corpora import all_corpora, corpus, office_files, pii_sql, planted, secrets_sql, table
 from hushlake.rules import BUILTIN_RULES, selected_rules
-from hushlake.sources.files import decode_text, sanitize_file_rows
+from hushlake.sources.files import decode_text, sanitize_file_rows, sanitize_files
+from hushlake.sources.listing import delete_on_exit, write_files
 from hushlake.sources.office import docx_text, docx_warnings, xlsx_text
 from hushlake.sources.scratch import scratch_path
 from hushlake.streaming.redaction import read_document_stream, sanitize_stream
@@ -973,9 +974,7 @@ def _mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MIXED_RESULTS = f"""(SELECT {_KIND_PATH} AS path, c_custkey % 6 AS kind,
-    concat('c', cast(c_custkey as string), '.', {_KIND_EXT}) AS file,
-    CASE c_custkey % 6
+_MIXED_CONTENT = """CASE {kind}
         WHEN 0 THEN concat('to [EMAIL_001]', chr(10), 'and [EMAIL_002]')
         WHEN 1 THEN concat('{{', chr(10), '  "b": {{', chr(10), '    "mail": "[EMAIL_001]",',
             chr(10), '    "id": ', cast(c_custkey as string), chr(10), '  }},', chr(10), '  "a": [',
@@ -986,7 +985,10 @@ _MIXED_RESULTS = f"""(SELECT {_KIND_PATH} AS path, c_custkey % 6 AS kind,
         WHEN 3 THEN '<user mail="[EMAIL_001]"><email>[EMAIL_002]</email>tail [EMAIL_001]<note /></user>'
         WHEN 4 THEN concat('email,id', chr(13), chr(10), '[EMAIL_001],',
             cast(c_custkey as string), chr(13), chr(10), '"x, [EMAIL_002]",2', chr(13), chr(10))
-        ELSE '' END AS content,
+        ELSE '' END"""
+_MIXED_RESULTS = f"""(SELECT {_KIND_PATH} AS path, c_custkey % 6 AS kind,
+    concat('c', cast(c_custkey as string), '.', {_KIND_EXT}) AS file,
+    {_MIXED_CONTENT.format(kind="c_custkey % 6")} AS content,
     cast(CASE c_custkey % 6 WHEN 1 THEN 3 WHEN 3 THEN 3 WHEN 5 THEN 0 ELSE 2 END as bigint)
         AS detections FROM customer)"""
 
@@ -1006,6 +1008,62 @@ def dispatch_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OFFICE_TEXT = """CASE kind WHEN 6 THEN concat('write to [EMAIL_001]', chr(10), chr(10), '[EMAIL_002]',
+        chr(10), chr(10), '[UNSANITIZED_IMAGE_CONTENT] embedded images were not OCR''d')
+    WHEN 7 THEN concat('## Sheet 1', chr(10), 'A1:[EMAIL_001] | B1:=SUM(A2)', chr(10), 'A2:',
+        cast(c_custkey as string)) ELSE '' END"""
+_SCAN_EXT = "['.txt', '.json', '.yml', '.xml', '.CSV', '.zip', '.docx', '.xlsx', '.md', '.log', '.txt', '.png']"
+#: folders, and names of which two kinds are hidden
+_SCAN_PATH = """concat('d', cast(c_custkey % 5 as string), CASE WHEN c_custkey % 12 = 10 THEN '/_part' ELSE '/e' END,
+    cast(c_custkey % 3 as string), CASE WHEN c_custkey % 12 = 9 THEN '/.c' ELSE '/c' END,
+    cast(c_custkey as string), {ext})"""
+
+
+def _files_to_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content`` of files of twelve kinds: each type, an archive, office files, an empty
+    file, a hidden one, one in a hidden folder, and an image."""
+    ext = f"element_at(array({_SCAN_EXT[1:-1]}), cast(c_custkey % 12 as int) + 1)"
+    text = f"""CASE c_custkey % 12 WHEN 0 THEN concat('to ', {_MAIL1}, '\\r\\nand ', {_MAIL2})
+        WHEN 1 THEN {_JSON} WHEN 2 THEN {_YAML} WHEN 3 THEN {_XML} WHEN 4 THEN {_CSV}
+        WHEN 8 THEN '' ELSE {_MAIL1} END"""
+    rows = table(spark, sf_dir, "customer", CUSTOMER).select(
+        F.expr(_SCAN_PATH.format(ext=ext)).alias("path"),
+        F.expr(text).cast("binary").alias("plain"),
+        office_files(
+            F.expr(ext),
+            F.expr(f"array({_MAIL1}, {_MAIL2}, cast(c_custkey as string))"),
+        ).alias("office"),
+    )
+    return rows.select("path", F.coalesce("office", "plain").alias("content"))
+
+
+@query(
+    "scan_all_files",
+    f"""SELECT {_SCAN_PATH.format(ext=f"{_SCAN_EXT}[c_custkey % 12 + 1]")} AS path,
+        CASE kind WHEN 0 THEN 'text' WHEN 1 THEN 'json' WHEN 2 THEN 'yaml' WHEN 3 THEN 'xml'
+            WHEN 4 THEN 'csv' WHEN 6 THEN 'text' WHEN 7 THEN 'text' WHEN 8 THEN 'text' END AS content_type,
+        CASE WHEN kind < 5 THEN content ELSE {_OFFICE_TEXT} END AS content,
+        CASE kind WHEN 5 THEN 'ArchiveNotSupportedError' WHEN 9 THEN 'HiddenFileError'
+            WHEN 10 THEN 'HiddenFileError' WHEN 11 THEN 'UnsupportedFormatError' END AS error,
+        cast(CASE kind WHEN 1 THEN 3 WHEN 3 THEN 3 WHEN 0 THEN 2 WHEN 2 THEN 2 WHEN 4 THEN 2 WHEN 6 THEN 2
+            WHEN 7 THEN 1 ELSE 0 END as bigint) AS detection_count
+    FROM (SELECT c_custkey, c_custkey % 12 AS kind, {_MIXED_CONTENT.format(kind="c_custkey % 12")} AS content FROM customer) f""",
+)
+def scan_all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as a file in the shared scratch folder, listed, opened and redacted from there."""
+    root = scratch_path(spark, "files")
+    write_files(_files_to_scan(spark, sf_dir), root).write.format("noop").mode("overwrite").save()
+    delete_on_exit(spark, root)
+    found = sanitize_files(spark, root, mode="pii")
+    return found.select(
+        F.regexp_extract("path", "/(d[0-4]/.*)$", 1).alias("path"),
+        F.col("metadata.content_type").alias("content_type"),
+        "content",
+        F.col("metadata.error").alias("error"),
+        F.col("detection_count").cast("long").alias("detection_count"),
+    )
+
+
 @query(
     "result_payload",
     f"""SELECT file, 'pii' AS mode, kind <> 5 AS sanitized, detections,

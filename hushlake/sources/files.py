@@ -16,43 +16,21 @@ from hushlake.operators.admission import (
     SUPPORTED_EXTENSIONS,
     admit,
     content_type,
+    doc_extension,
     extension_glob,
     file_name,
     unsupported_without_text,
 )
 from hushlake.operators.redact import Settings, no_detections, result_columns
 from hushlake.operators.structured import redact_documents
+from hushlake.sources.listing import list_tree
 from hushlake.sources.office import docx_parts, docx_text, docx_warnings, xlsx_parts, xlsx_text
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Path, time and size of every file below ``path``; contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "modificationTime", "length")
-    )
-
-
-def unlisted_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``path, length`` of files that Spark's readers pass over: empty ones, and those whose
-    name, or a folder's below ``path``, begins with ``_`` or ``.``. A walk over names only."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for root in [path] if isinstance(path, str) else path:
-        where = jvm.org.apache.hadoop.fs.Path(root)
-        files = where.getFileSystem(conf)
-        for top in files.globStatus(where) or []:
-            base = top.getPath().toString()
-            names = files.listFiles(top.getPath(), True)
-            while names.hasNext():
-                status = names.next()
-                full = status.getPath().toString()
-                hidden = any(part[:1] in ("_", ".") for part in full[len(base) :].split("/"))
-                if hidden or not status.getLen():
-                    found.append((full, status.getLen()))
-    return spark.createDataFrame(found, "path string, length long")
+    """Path, time and size of every file below ``path`` that Spark's readers hand out."""
+    listing = list_tree(spark, path).where("not hidden and length > 0")
+    return listing.select("path", "modificationTime", "length")
 
 
 def read_admissible(
@@ -152,11 +130,9 @@ def sanitize_file_rows(
     return redact_documents(docs, cfg, structured)
 
 
-def _passed_over_rows(spark: SparkSession, path: str | list[str], cfg: SanitizeConfig) -> DataFrame:
-    """Results of the files that Spark's readers do not hand out."""
-    passed_over = unlisted_files(spark, path)
-    empty = passed_over.where("length = 0").withColumn("content", F.lit(b""))
-    hidden = passed_over.where("length > 0").withColumn("file", file_name(F.col("path")))
+def _hidden_rows(hidden: DataFrame, cfg: SanitizeConfig) -> DataFrame:
+    """Results of files that Spark's readers do not open: they fail closed."""
+    named = hidden.withColumn("file", file_name(F.col("path")))
     lost = result_columns(
         F.lit(""),
         no_detections(),
@@ -165,9 +141,7 @@ def _passed_over_rows(spark: SparkSession, path: str | list[str], cfg: SanitizeC
         cfg.mode,
         F.col("file"),
     )
-    return sanitize_file_rows(empty, config=cfg).unionByName(
-        hidden.select("path", *[c.alias(n) for n, c in lost.items()])
-    )
+    return named.select("path", *[c.alias(n) for n, c in lost.items()])
 
 
 def sanitize_files(
@@ -178,35 +152,37 @@ def sanitize_files(
 ) -> DataFrame:
     """Redact all files below ``path``.
 
-    Files that cannot be processed come from a listing without contents, so they
-    are reported without being read. Empty files give empty results; hidden files, which
-    Spark does not open, give a row that fails closed. The others are read once, by family: plain
-    texts never meet Python.
+    The tree is listed by tasks into a table. Files that cannot be processed come from that
+    table and are reported without being read; empty files give empty results; hidden files,
+    which Spark does not open, give a row that fails closed. The others are read once, in two
+    scans: plain texts never meet Python.
     """
     cfg = SanitizeConfig.resolve(config, mode)
+    listing = list_tree(spark, path)
+    hidden = _hidden_rows(listing.where("hidden and length > 0"), cfg)
+    empty = listing.where("length = 0").select("path", "length", F.lit(b"").alias("content"))
     if cfg.mode == "off":
-        everything = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        )
-        return sanitize_file_rows(everything, config=cfg).unionByName(_passed_over_rows(spark, path, cfg))
-    listed = admit(list_files(spark, path), cfg)
+        everything = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        rows = everything.select("path", "length", "content").unionByName(empty)
+        return sanitize_file_rows(rows, config=cfg).unionByName(hidden)
+    admitted = admit(listing.where("not hidden and length > 0"), cfg)
     textless = F.col("ext").isin(*PDF_EXTENSIONS, *IMAGE_EXTENSIONS)
-    unread = listed.where(F.col("error").isNotNull() | textless).select(
+    unread = admitted.where(F.col("error").isNotNull() | textless).select(
         "path", "length", F.lit(None).cast("binary").alias("content")
     )
-    out = sanitize_file_rows(unread, config=cfg, structured=False, office=False)
-    out = out.unionByName(_passed_over_rows(spark, path, cfg))
-    families = (
-        (PLAIN_EXTENSIONS, False, False),
-        (tuple(STRUCTURED_EXTENSIONS), True, False),
-        (OFFICE_EXTENSIONS, False, True),
+    parsed = (*STRUCTURED_EXTENSIONS, *OFFICE_EXTENSIONS)
+    parsed_empty = doc_extension(file_name(F.col("path"))).isin(*parsed)
+
+    def read(extensions: tuple[str, ...]) -> DataFrame:
+        return read_admissible(spark, path, cfg, extensions).select("path", "length", "content")
+
+    plain = unread.unionByName(empty.where(~parsed_empty)).unionByName(read(PLAIN_EXTENSIONS))
+    others = empty.where(parsed_empty).unionByName(read(parsed))
+    return (
+        sanitize_file_rows(plain, config=cfg, structured=False, office=False)
+        .unionByName(sanitize_file_rows(others, config=cfg))
+        .unionByName(hidden)
     )
-    for extensions, structured, office in families:
-        read = read_admissible(spark, path, cfg, extensions).select("path", "length", "content")
-        out = out.unionByName(
-            sanitize_file_rows(read, config=cfg, structured=structured, office=office)
-        )
-    return out
 
 
 def requested_files(paths: DataFrame, listing: DataFrame) -> DataFrame:

@@ -469,3 +469,40 @@ def test_every_call_gives_result_rows(spark):
     nested = sanitize_nested(df.select(F.struct("text").alias("doc")), "doc", mode="pii")
     rows = as_results(nested, "pii", "doc").collect()
     assert [(r.content, r.sanitized, r.categories) for r in rows] == [('{"text":"[EMAIL_001]"}', True, ["EMAIL"]), ('{"text":"x"}', True, [])]
+
+
+def test_tree_is_listed_by_tasks(spark, tmp_path):
+    from hushlake.sources import listing
+
+    names = ["a.txt", "d/b c.txt", "d/_x=1/c.md", "d/_y/e/f.json", ".g/h", "d/e/.i", "_metadata/j", "k._COPYING_", "d/e/é%20.log", "empty"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if name == "empty" else name)
+    (tmp_path / "no_files").mkdir()
+    read = {r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).collect()}
+    found = listing.list_tree(spark, str(tmp_path)).collect()
+    assert {r.path for r in found if not r.hidden and r.length} == read
+    assert {r.path for r in found} == {f"file:{tmp_path}/{n}" for n in names}
+    assert {r.path: r.length for r in found} == {f"file:{tmp_path}/{n}": (tmp_path / n).stat().st_size for n in names}
+    hidden = {r.path.removeprefix(f"file:{tmp_path}/") for r in found if r.hidden}
+    assert hidden == {"d/_y/e/f.json", ".g/h", "d/e/.i", "k._COPYING_"}
+    walked = listing._walked(spark, [(f"file:{tmp_path}", False)])
+    key = ("path", "length", "modificationTime", "hidden")
+    assert sorted(walked.select(*key).collect()) == sorted(listing.list_tree(spark, str(tmp_path)).select(*key).collect())
+    one = listing.list_tree(spark, [str(tmp_path / "a.txt"), str(tmp_path / "d" / "e*")])
+    assert {r.path.rsplit("/", 1)[1] for r in one.collect()} == {"a.txt", ".i", "é%20.log"}
+    assert listing.list_tree(spark, str(tmp_path / "no_files")).count() == 0
+
+
+def test_files_written_by_tasks(spark, tmp_path):
+    from hushlake.sources.listing import write_files
+
+    rows = [("x/a.bin", b"\x00\xff"), ("x/y/b.txt", None), ("c", b"c")]
+    files = spark.createDataFrame(rows, "path string, content binary").repartition(3)
+    for _ in range(2):
+        assert sorted((r.path, r.length) for r in write_files(files, str(tmp_path)).collect()) == sorted(
+            (f"{tmp_path}/{p}", len(c or b"")) for p, c in rows
+        )
+    assert {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()} == {p: c or b"" for p, c in rows}
+    with pytest.raises(Exception, match="below the root"):
+        write_files(spark.createDataFrame([("../out", b"x")], "path string, content binary"), str(tmp_path)).collect()
