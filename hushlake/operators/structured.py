@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from hushlake.config import SanitizeConfig
+from hushlake.functions import json_text
 from hushlake.functions.arrays import empty_array
 from hushlake.functions.pin import other_columns, pin
 from hushlake.operators.nested import sanitize_nested
@@ -42,11 +43,11 @@ def fallback_warning(kind: Column) -> Column:
 
 
 def redact_documents(
-    docs: DataFrame, cfg: SanitizeConfig, structured: bool = True
+    docs: DataFrame, cfg: SanitizeConfig, structured: bool | str = True
 ) -> DataFrame:
     """``docs`` has path, file_name, content_type, text, extract_warnings, and
     error/message of rows rejected before. With ``structured`` off every text is
-    taken as plain, and the plan has no Python step."""
+    taken as plain, with ``"json"`` every text as JSON; then the plan has no Python step."""
     kind = F.col("content_type")
     too_long = F.col("error").isNull() & (F.length("text") > F.lit(cfg.max_text_length))
     gated = (
@@ -64,7 +65,8 @@ def redact_documents(
         .withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
         .withColumn("__kind", F.when(kind != "text", kind))
     )
-    worked = (_by_leaves if structured else _as_plain)(gated, selected_rules(cfg))
+    work = {True: _by_leaves, False: _as_plain, "json": _by_json_tokens}[structured]
+    worked = work(gated, selected_rules(cfg))
     warnings = F.when(
         F.col("error").isNotNull(), F.array_compact(F.array(F.col("message")))
     ).otherwise(
@@ -121,6 +123,23 @@ def _by_leaves(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
+def _by_json_tokens(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The same for JSON texts, scanned and written in the JVM."""
+    scanned = pin(pin(docs, "text", "error", "message").withColumn("__scan", F.expr(json_text.scan("text"))), "__scan")
+    parsed = F.coalesce(F.col("__scan.ok"), F.lit(False))
+    worked = with_leaf_detections(
+        scanned,
+        F.when(parsed, F.expr(json_text.values("__scan"))).otherwise(F.array(F.col("text"))),
+        rules,
+        "__leaves_out",
+        "__detections",
+    )
+    content = F.when(parsed, F.expr(json_text.render("__scan", "__leaves_out"))).otherwise(
+        F.get(F.col("__leaves_out"), F.lit(0))
+    )
+    return worked.withColumn("__content", content).withColumn("__fell_back", F.col("__kind").isNotNull() & ~parsed)
+
+
 def sanitize_structured(
     df: DataFrame,
     text_col: str,
@@ -129,7 +148,11 @@ def sanitize_structured(
     config: Settings = None,
     key: str = "path",
 ) -> DataFrame:
-    """Redact JSON, YAML, XML or CSV documents held in a text column."""
+    """Redact JSON, YAML, XML or CSV documents held in a text column.
+
+    Given the type ``"json"``, and no column of types, all work is done in the JVM: numbers stay as
+    they are written and repeated keys stay both.
+    """
     cfg = SanitizeConfig.resolve(config, mode)
     kind = F.lit(content_type) if isinstance(content_type, str) else content_type
     null = F.lit(None).cast("string")
@@ -142,7 +165,8 @@ def sanitize_structured(
         null.alias("error"),
         null.alias("message"),
     )
-    return redact_documents(docs, cfg).withColumnRenamed("path", key)
+    structured = content_type if isinstance(content_type, str) and content_type == "json" else True
+    return redact_documents(docs, cfg, structured).withColumnRenamed("path", key)
 
 
 _READERS = {"json": F.from_json, "xml": F.from_xml, "csv": F.from_csv}
