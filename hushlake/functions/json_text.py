@@ -24,38 +24,49 @@ DEEP = 900
 _SELF = r"(?:true|false|null|NaN|-?Infinity|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
 _LITERAL = rf"(?<![\w.+-]){_SELF}(?![\w.+-])"
 _PAIR = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
-TOKEN = "struct<c:string,d:int,s:int,v:int>"
-
 SCANNED = (
-    "struct<ok:boolean,tokens:array<" + TOKEN + ">,literals:array<string>,strings:array<string>,is_key:array<boolean>>"
+    "struct<ok:boolean,chars:array<string>,depth:array<bigint>,rank:array<bigint>,literals:array<string>,"
+    "strings:array<string>,is_key:array<boolean>>"
 )
+#: a rank counts the strings before a token in its upper half, literals in the lower
+_STRING_BEFORE = 1 << 32
 
 
 def _swap(text: str, pattern: str, by: str = "") -> str:
     return f"regexp_replace({text}, {literal(pattern)}, {literal(by)})"
 
 
-def _tokens(chars: str) -> str:
-    """Each character with the depth, strings and literals before it."""
-    depth = "CASE WHEN {0} IN ('{{', '[') THEN 1 WHEN {0} IN ('}}', ']') THEN -1 ELSE 0 END"
-    return fold_emit(
-        chars,
-        "named_struct('d', 0, 's', 0, 'v', 0)",
-        lambda st, c: struct(
-            d=f"{st}.d + {depth.format(c)}", s=f"{st}.s + if({c} = '\"', 1, 0)", v=f"{st}.v + if({c} = 'v', 1, 0)"
-        ),
-        lambda st, c: f"array({struct(c=c, d=f'{st}.d', s=f'{st}.s', v=f'{st}.v')})",
-        TOKEN,
-    ) + ".out"
+def _running(numbers: str) -> str:
+    """Exclusive running sums of an array of bigints.
+
+    Sums of short runs are folded; within a run each element adds those before it, which
+    costs less than appending one by one.
+    """
+    run = 16
+    sums = f"transform(sequence(0, (size(un) - 1) div {run}), uk -> aggregate(slice(un, cast(uk * {run} + 1 as int), {run}), 0L, (ua, ux) -> ua + ux))"
+    before = fold_emit("us", "0L", lambda st, n: f"{st} + {n}", lambda st, n: f"array({st})", "bigint") + ".out"
+    inside = f"aggregate(slice(un, cast((ui div {run}) * {run} + 1 as int), cast(ui % {run} as int)), get(ub, cast(ui div {run} as int)), (ua, ux) -> ua + ux)"
+    sized = let("us", sums, let("ub", before, f"transform(un, (ut, ui) -> {inside})"))
+    return let("un", numbers, f"CASE WHEN size(un) > 0 THEN {sized} ELSE {empty_array('bigint')} END")
+
+
+def _depths(chars: str) -> str:
+    """How many containers are open before each token."""
+    return _running(f"transform({chars}, dc -> CASE WHEN dc IN ('{{', '[') THEN 1L WHEN dc IN ('}}', ']') THEN -1L ELSE 0L END)")
 
 
-def _well_formed(tokens: str) -> str:
+def _ranks(chars: str) -> str:
+    return _running(f"transform({chars}, kc -> CASE kc WHEN '\"' THEN {_STRING_BEFORE}L WHEN 'v' THEN 1L ELSE 0L END)")
+
+
+def _well_formed(chars: str, depth: str) -> str:
     """Whether the containers of a token list are all whole and rightly filled."""
     event = lambda d, at, c: struct(d=d, at=at, c=c)
-    events = f"""flatten(transform({tokens}, (wt, wi) -> CASE
-        WHEN wt.c IN ('{{', '[') THEN array({event("wt.d", "2 * wi", "'v'")}, {event("wt.d + 1", "2 * wi + 1", "wt.c")})
-        WHEN wt.c = '"' THEN array({event("wt.d", "2 * wi", "'s'")})
-        ELSE array({event("wt.d", "2 * wi", "wt.c")}) END))"""
+    here = f"get({depth}, wi)"
+    events = f"""flatten(transform({chars}, (wt, wi) -> CASE
+        WHEN wt IN ('{{', '[') THEN array({event(here, "2 * wi", "'v'")}, {event(here + " + 1", "2 * wi + 1", "wt")})
+        WHEN wt = '"' THEN array({event(here, "2 * wi", "'s'")})
+        ELSE array({event(here, "2 * wi", "wt")}) END))"""
     line = f"array_join(transform(sort_array({events}), we -> we.c), '')"
     members = _swap(_swap("wl", "s:[vs]", "m"), "(?<=m),m")
     items = _swap(members, "(?<=[vs]),[vs]")
@@ -90,12 +101,14 @@ def scan(text: str) -> str:
         AND {_strings_ok('js')}"""
     # a text that fails these tests is no JSON, whatever its tokens
     found = struct(
-        ok=f"coalesce({_well_formed('jt')} AND size(jd) = size(js), false)", tokens="jt",
+        ok=f"coalesce({_well_formed('jt', 'jo')} AND size(jd) = size(js), false)", chars="jt", depth="jo", rank=_ranks("jt"),
         literals=f"regexp_extract_all(jk, {literal(_LITERAL)}, 0)", strings="jd",
         is_key="transform(regexp_extract_all(jl, '\":?', 0), jq -> jq = '\":')",
     )
-    none = f"cast(named_struct('ok', false, 'tokens', NULL, 'literals', NULL, 'strings', NULL, 'is_key', NULL) AS {SCANNED})"
-    body = let("jt", _tokens("regexp_extract_all(jl, '(?s).', 0)"), let("jd", decoded, f"cast({found} AS {SCANNED})"))
+    nothing = ", ".join(f"'{c.split(':')[0]}', NULL" for c in SCANNED[len("struct<ok:boolean,") : -1].split(","))
+    none = f"cast(named_struct('ok', false, {nothing}) AS {SCANNED})"
+    body = let("jo", _depths("jt"), let("jd", decoded, f"cast({found} AS {SCANNED})"))
+    body = let("jt", "regexp_extract_all(jl, '(?s).', 0)", body)
     body = f"CASE WHEN {good} THEN {body} ELSE {none} END"
     for name, value in (("jl", skeleton), ("js", inside), ("jk", outside), ("jp", f"split({masked}, '\"', -1)"), ("jm", marker_for(text))):
         body = let(name, value, body)
@@ -119,20 +132,24 @@ def _escaped(text: str) -> str:
 
 def render(scanned: str, replaced: str) -> str:
     """The document with its values, in the order of ``values``, replaced."""
-    ranks = fold_emit(f"{scanned}.is_key", "0", lambda st, k: f"{st} + if({k}, 0, 1)", lambda st, k: f"array({st})", "int") + ".out"
-    written = f"transform({scanned}.strings, (ws, wi) -> {_escaped(f'if(get({scanned}.is_key, wi), ws, get({replaced}, get(rr, wi)))')})"
-    line = "if(rdeep, '', concat(char(10), repeat(' ', 2 * ({}))))"
-    comma = f"if(rdeep, ', ', concat(',', {line.format('rt.d')}))"
-    before, after = f"get({scanned}.tokens, ri - 1).c", f"get({scanned}.tokens, ri + 1).c"
-    token = f"""CASE rt.c
-        WHEN '"' THEN concat('"', get(rw, rt.s), '"')
-        WHEN 'v' THEN get({scanned}.literals, rt.v)
+    place = _running(f"transform({scanned}.is_key, rk -> if(rk, 0L, 1L))")
+    text = f"if(get({scanned}.is_key, wi), ws, get({replaced}, cast(get(rr, wi) as int)))"
+    written = f"transform({scanned}.strings, (ws, wi) -> {_escaped('wx').join(('get(transform(array(' + text + '), wx -> ', '), 0)'))})"
+    line = "if(rdeep, '', concat(char(10), repeat(' ', cast(2 * ({}) as int))))"
+    here = "get(rd, ri)"
+    comma = f"if(rdeep, ', ', concat(',', {line.format(here)}))"
+    token = f"""CASE rt
+        WHEN '"' THEN concat('"', get(rw, cast(get({scanned}.rank, ri) div {_STRING_BEFORE} as int)), '"')
+        WHEN 'v' THEN get({scanned}.literals, cast(get({scanned}.rank, ri) % {_STRING_BEFORE} as int))
         WHEN ':' THEN ': '
         WHEN ',' THEN {comma}
-        WHEN '{{' THEN if({after} = '}}', '{{', concat('{{', {line.format('rt.d + 1')}))
-        WHEN '[' THEN if({after} = ']', '[', concat('[', {line.format('rt.d + 1')}))
-        WHEN '}}' THEN if({before} = '{{', '}}', concat({line.format('rt.d - 1')}, '}}'))
-        ELSE if({before} = '[', ']', concat({line.format('rt.d - 1')}, ']')) END"""
-    deep = f"array_max(transform({scanned}.tokens, rx -> rx.d)) > {DEEP}"
-    body = f"array_join(transform({scanned}.tokens, (rt, ri) -> {token}), '')"
-    return let("rdeep", deep, let("rr", ranks, let("rw", written, body)))
+        WHEN '{{' THEN if(get(rc, ri + 1) = '}}', '{{', concat('{{', {line.format(here + ' + 1')}))
+        WHEN '[' THEN if(get(rc, ri + 1) = ']', '[', concat('[', {line.format(here + ' + 1')}))
+        WHEN '}}' THEN if(get(rc, ri - 1) = '{{', '}}', concat({line.format(here + ' - 1')}, '}}'))
+        ELSE if(get(rc, ri - 1) = '[', ']', concat({line.format(here + ' - 1')}, ']')) END"""
+    body = f"array_join(transform(rc, (rt, ri) -> {token}), '')"
+    for name, value in (
+        ("rw", written), ("rr", place), ("rdeep", f"array_max(rd) > {DEEP}"), ("rd", f"{scanned}.depth"), ("rc", f"{scanned}.chars"),
+    ):
+        body = let(name, value, body)
+    return body
