@@ -11,8 +11,12 @@ The documents' seeds pass a bitmap of the benchmark's seeds before they leave th
 so the join gets little more than true matches. The bitmap has a fixed size; a benchmark
 with too many seeds for it is joined without it.
 
-Defined cases: null and empty texts match nothing; items of fewer than
-five words are too short to tell and match nothing; repeated documents each get their rows.
+Equal texts are one: their seeds are joined once, one of them is compared, and the result goes to
+every copy.
+
+Defined cases: null and empty texts match nothing; items of fewer than five words are too short
+to tell and match nothing; repeated documents each get their rows; of equally long stretches the
+one with more agreeing words counts, then the earlier one.
 """
 
 from __future__ import annotations
@@ -170,39 +174,44 @@ def benchmark_overlaps(
         seed_rows(items.select("item_key", F.col("item_text").alias("text")), "item_key", None, (percent, min_words)),
         "benchmark-seeds",
     )
-    hits = seed_rows(rows, "text_key", _bitmap(bench))
+    hits = seed_rows(rows, "text_key", _bitmap(bench)).distinct()
     matched = hits.join(bench.withColumnRenamed("position", "item_position"), "seed")
-    diagonals = matched.select("text_key", "item_key", (F.col("position") - F.col("item_position")).alias("diagonal"))
-    proposed = diagonals.groupBy("text_key", "item_key").agg(F.collect_set("diagonal").alias("diagonals"))
-    listed = (
+    diagonals = matched.select("text_key", "item_key", (F.col("position") - F.col("item_position")).alias("diagonal")).distinct()
+    proposed = diagonals.groupBy("text_key", "item_key").agg(F.collect_list("diagonal").alias("diagonals"))
+    listed = written(
         proposed.join(items, "item_key")
         .groupBy("text_key")
-        .agg(F.collect_list(F.struct("item", "item_text", "diagonals")).alias("proposals"))
+        .agg(F.collect_list(F.struct("item", "item_text", "diagonals")).alias("proposals")),
+        "overlap-candidates",
     )
-    candidates = rows.join(written(listed, "overlap-candidates"), "text_key")
+    copies = written(rows.select("id", "text_key").join(listed.select("text_key"), "text_key"), "overlap-copies")
+    one_each = copies.groupBy("text_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
+    wanted = one_each.select("text_key", F.col("first.id").alias("first_id")).join(listed, "text_key")
+    candidates = rows.join(wanted.withColumnRenamed("text_key", "wanted_key"), F.expr("text_key = wanted_key and id <=> first_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            ids, keys, lists = (batch.column(c) for c in ("id", "text_key", "proposals"))
+            out: list[list] = [[] for _ in range(6)]
+            keys, lists = batch.column("text_key"), batch.column("proposals")
             for n, words in enumerate(_word_lists(batch.column("text"))):
                 proposals = lists[n].as_py()
                 targets = list(_word_lists(pa.array([p["item_text"] for p in proposals], pa.string())))
                 for p, item in zip(proposals, targets, strict=True):
                     found = verify(words, item, p["diagonals"], percent, min_words)
                     if found:
-                        row = (ids[n].as_py(), p["item"], *found, len(item), keys[n].as_py())
+                        row = (keys[n].as_py(), p["item"], *found, len(item))
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, pa.int64()) for v in out],
-                names=["id", "item", "start_word", "end_word", "n_agreeing", "item_words", "text_key"],
+                names=["text_key", "item", "start_word", "end_word", "n_agreeing", "item_words"],
             )
 
-    found = candidates.select("id", "text", "text_key", "proposals").mapInArrow(
-        run, "id long, item long, start_word long, end_word long, n_agreeing long, item_words long, text_key long"
+    found = candidates.select("text", "text_key", "proposals").mapInArrow(
+        run, "text_key long, item long, start_word long, end_word long, n_agreeing long, item_words long"
     )
-    return found.select(
+    # rows that stand twice with the same id and text were compared twice
+    return copies.join(found.distinct(), "text_key").select(
         F.col("id").alias(id_col), F.col("item").alias(item_col),
         "start_word", "end_word", "n_agreeing", "item_words", F.lit(True).alias("contaminated"), "text_key",
     )

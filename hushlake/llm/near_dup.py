@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.llm.components import components
-from hushlake.llm.tables import pick, written
+from hushlake.llm.tables import fresh, pick, written
 from hushlake.llm.words import blocks, mix, random_words, window_hash
 
 #: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**5)**36 < 1e-6.
@@ -216,17 +216,9 @@ def _tiles(members: DataFrame, percent: int, shingle: int) -> DataFrame:
     return tiled.groupBy("cluster", "t1", "t2").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 4
-) -> DataFrame:
-    """``id_col, n_shingles, component_id, kept`` for every row of ``docs``.
-
-    Documents are linked when ``100 * |A & B| >= percent * |A | B|`` on their shingle sets;
-    ``component_id`` is the smallest id that a document reaches over links.
-    """
-    rows = pick(docs, id=id_col, text=text_col).select(
-        F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("text_key")
-    )
+def _grouped(rows: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """``id, text_key, n_shingles, first`` of ``rows(id, text_key, text)``: ``first`` is the smallest
+    ``(id, text_key)`` that a text reaches over links, null where there is nothing to link."""
     signed = written(
         signatures(rows, shingle).withColumn("node", F.xxhash64("n_shingles", "d1", "d2")), "near-signatures"
     )
@@ -247,26 +239,52 @@ def near_duplicates(
     )
     members = candidates.join(rows, ["id", "text_key"]).drop("id", "text_key")
     linked = components(_tiles(members, percent, shingle), "near-links")
-    grouped = classes.select("node", "least.id").join(linked, "node")
-    least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
-    resolved = grouped.select("node", "component").join(least, "component").select("node", "component_id").unionByName(
-        classes.join(linked, "node", "left_anti").select("node", F.col("least.id").alias("component_id"))
+    grouped = classes.select("node", "least").join(linked, "node")
+    least = grouped.groupBy("component").agg(F.min("least").alias("first"))
+    resolved = grouped.select("node", "component").join(least, "component").select("node", "first").unionByName(
+        classes.join(linked, "node", "left_anti").select("node", F.col("least").alias("first"))
+    )
+    return signed.select("id", "text_key", "n_shingles", "node").join(resolved, "node", "left").select(
+        "id", "text_key", "n_shingles", F.expr("case when n_shingles > 0 and id is not null then first end").alias("first")
     )
-    return signed.select("id", "n_shingles", "node").join(resolved, "node", "left").select(
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return pick(docs, id=id_col, text=text_col).select(
+        F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("text_key")
+    )
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 4
+) -> DataFrame:
+    """``id_col, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Documents are linked when ``100 * |A & B| >= percent * |A | B|`` on their shingle sets;
+    ``component_id`` is the smallest id that a document reaches over links.
+    """
+    return _grouped(_keyed(docs, id_col, text_col), percent, shingle).select(
         F.col("id").alias(id_col),
         "n_shingles",
-        F.expr("case when n_shingles > 0 and id is not null then component_id else id end").alias("component_id"),
-        F.expr("id is null or n_shingles = 0 or id = component_id").alias("kept"),
+        F.expr("coalesce(first.id, id)").alias("component_id"),
+        F.expr("first is null or id = first.id").alias("kept"),
     )
 
 
 def keep_representatives(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5
 ) -> DataFrame:
-    """One document of each component, with all its columns. Repeated rows of an id stay once;
-    rows without an id all stay."""
-    found = near_duplicates(docs, id_col, text_col, percent, shingle)
+    """One document of each component, with all its columns: of the smallest id, and of its texts
+    that are linked the one of the smallest hash.
+
+    Rows that repeat an id and its text stay once; texts of one id that are not linked all stay,
+    and so do rows without an id.
+    """
+    found = _grouped(_keyed(docs, id_col, text_col), percent, shingle)
+    kept = found.filter("id is not null and (first is null or struct(id, text_key) = first)")
+    key, wanted = fresh(docs, "text_key"), fresh(docs, "kept_id")
+    kept = kept.select(F.col("id").alias(wanted), F.col("text_key").alias(key)).distinct()
     quoted = F.col("`" + id_col.replace("`", "``") + "`")
-    kept = found.filter("kept").select(quoted).filter(quoted.isNotNull()).distinct()
-    one_each = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return one_each.unionByName(docs.filter(quoted.isNull()))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("`" + text_col.replace("`", "``") + "`"))).withColumn(wanted, quoted.cast("long"))
+    one_each = keyed.join(kept, [wanted, key], "left_semi").dropDuplicates([wanted, key])
+    return one_each.unionByName(keyed.filter(F.col(wanted).isNull())).select(*docs.columns)

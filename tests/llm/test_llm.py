@@ -532,3 +532,29 @@ def test_window_hash_depends_on_order():
     words = np.array([1, 2, 1, 2, 3], dtype=np.uint64)
     h = window_hash(words, np.array([0, 1, 2]), range(2))
     assert h[0] == h[2] != h[1]
+
+
+def test_one_id_with_two_texts_loses_neither(spark):
+    rng = random.Random(18)
+    first, other = prose(rng, 60), prose(rng, 60)
+    near = first.replace(first.split()[30], "changed", 1)
+    rows = [(1, first), (1, other), (1, other), (2, near), (3, other), (4, ""), (4, None), (None, first)]
+    kept = [(r.doc_id, r.text) for r in near_dup.keep_representatives(documents(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, first), (1, other), (4, ""), (4, None), (None, first)], key=repr)
+    # of linked texts of one id one stays
+    both = [(r.doc_id, r.text) for r in near_dup.keep_representatives(documents(spark, [(5, first), (5, near), (6, near)])).collect()]
+    assert len(both) == 1 and both[0][0] == 5
+
+
+def test_copies_and_a_common_passage(spark):
+    """3,000 copies and near copies of one text, and one passage in a third of all rows."""
+    rng = random.Random(19)
+    items = [(k, prose(rng, 30)) for k in range(20)]
+    passage, base = items[0][1], prose(rng, 40)
+    rows = [(k, base + " " + items[1][1]) for k in range(1500)]
+    rows += [(k, f"{base} e{k} {items[1][1]}") for k in range(1500, 3000)]
+    rows += [(k, f"{prose(rng, 12)} {passage} {prose(rng, 12)}" if k % 2 else prose(rng, 40)) for k in range(3000, 6000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.benchmark_overlaps(documents(spark, rows), bench).select("doc_id", "item_id").collect()
+    expected = {(k, 1) for k in range(3000)} | {(k, 0) for k in range(3000, 6000) if k % 2}
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
