@@ -23,12 +23,13 @@ from hushlake.operators.redact import as_results, sanitize_table
 from hushlake.operators.sessions import found_hits, hit_rows, sanitize_sessions
 from hushlake.operators.structured import leaf_table, sanitize_declared, sanitize_structured
 from hushlake.plans import oracles as o
-from hushlake.plans.corpora import all_corpora, corpus, office_files, pii_sql, planted, secrets_sql, table
+from hushlake.plans.corpora import all_corpora, corpus, office_files, pii_sql, planted, secrets_sql, table, workbooks
 from hushlake.rules import BUILTIN_RULES, selected_rules
 from hushlake.sources.files import decode_text, sanitize_file_rows, sanitize_files
 from hushlake.sources.listing import delete_on_exit, write_files
 from hushlake.sources.office import docx_text, docx_warnings, xlsx_text
 from hushlake.sources.scratch import scratch_path
+from hushlake.sources.workbooks import sanitize_lines, workbook_lines
 from hushlake.streaming.redaction import read_document_stream, sanitize_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1145,6 +1146,35 @@ def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("c_custkey", xlsx_text("shared", "sheets").alias("text"))
 
 
+@query(
+    "xlsx_lines",
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 7 AS book,
+            row_number() OVER (PARTITION BY c_custkey % 7 ORDER BY c_custkey) AS n,
+            count(*) OVER (PARTITION BY c_custkey % 7) AS size FROM customer),
+        lines AS (
+            SELECT book, 2 * n - 1 AS line, concat('A', cast(k as string), ':', printf('[EMAIL_%03d]', n), ' | B',
+                cast(k as string), ':=SUM(C1) | 99999999') AS content, 1 AS hits FROM c
+            UNION ALL SELECT DISTINCT book, 0, '## Sheet 1', 0 FROM c
+            UNION ALL SELECT DISTINCT book, 4294967296, '## Sheet 2', 0 FROM c
+            UNION ALL SELECT DISTINCT book, 4294967297, concat('A1:', printf('[EMAIL_%03d]', size)), 1 FROM c)
+    SELECT concat('book', cast(book as string), '.xlsx') AS path, cast(line as bigint) AS line, content,
+        cast(hits as bigint) AS detection_count, NULL::VARCHAR AS error FROM lines""",
+)
+def xlsx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven workbooks of all customers: cells and shared strings as tables, joined by index,
+    redacted line by line with numbers that run through a workbook."""
+    customers = table(spark, sf_dir, "customer", CUSTOMER).select("c_custkey", F.expr(_MAIL2).alias("mail"))
+    books = customers.groupBy(F.expr("c_custkey % 7").alias("book")).agg(
+        F.sort_array(F.collect_list(F.struct("c_custkey", "mail"))).alias("rows")
+    )
+    files = books.select(
+        F.expr("concat('book', cast(book as string), '.xlsx')").alias("path"),
+        workbooks(F.expr("rows.c_custkey"), F.expr("rows.mail")).alias("content"),
+    )
+    out = sanitize_lines(workbook_lines(files), mode="pii")
+    return out.select("path", "line", "content", F.col("detection_count").cast("long").alias("detection_count"), "error")
+
+
 # --- reports ------------------------------------------------------------------
 @query(
     "audit_table",

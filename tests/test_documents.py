@@ -506,3 +506,33 @@ def test_files_written_by_tasks(spark, tmp_path):
     assert {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()} == {p: c or b"" for p, c in rows}
     with pytest.raises(Exception, match="below the root"):
         write_files(spark.createDataFrame([("../out", b"x")], "path string, content binary"), str(tmp_path)).collect()
+
+
+def test_office_files_as_lines(spark):
+    from hushlake.sources.workbooks import letter_lines, sanitize_lines, workbook_lines
+
+    shared = [f"s{i}@b.com" for i in range(9000)]
+    cells = lambda n: "".join(f'<c r="A{n}" t="s"><v>{n}</v></c><c><v>{n}</v></c>' for _ in range(2))
+    big = io.BytesIO()
+    with zipfile.ZipFile(big, "w") as archive:
+        archive.writestr("xl/sharedStrings.xml", f"<sst {S}>" + "".join(f"<si><t>{s}</t></si>" for s in shared) + "</sst>")
+        rows = "".join(f"<row>{cells(n)}</row>" for n in range(9000))
+        archive.writestr("xl/worksheets/sheet1.xml", f"<worksheet {S}><sheetData>{rows}<row/></sheetData></worksheet>")
+        archive.writestr("xl/worksheets/sheet10.xml", f"<worksheet {S}><sheetData/></worksheet>")
+    small = xlsx(["a@b.com", "last@b.com"], {1: '<c t="s"><v>7</v></c><c t="s"><v>-1</v></c><c t="s"><v>x</v></c><c r="D1"><f>A1</f><v>3</v></c><c/>'})
+    letter = docx(["  mail ", "a@b.com "], [" ", "\t"], ["again a@b.com"], media=True)
+    rows = [("big", big.getvalue()), ("small", small), ("cut", small[: len(small) // 2]), ("none", None)]
+    books = spark.createDataFrame(rows, "path string, content binary").repartition(2)
+    lines = sorted((r.path, r.line, r.text, r.error) for r in workbook_lines(books).collect())
+    assert [x for x in lines if x[0] == "small"] == [("small", 0, "## Sheet 1", None), ("small", 1, "7 | last@b.com | x | D1:=A1 | ", None)]
+    assert [(x[0], x[2], bool(x[3])) for x in lines if x[0] in ("cut", "none")] == [("cut", "", True), ("none", "", True)]
+    held = [x for x in lines if x[0] == "big"]
+    assert len(held) == 9002 and held[8999 + 1][2] == "A8999:s8999@b.com | 8999 | A8999:s8999@b.com | 8999" and held[-1][2] == "## Sheet 2"
+    out = {(r.path, r.line): r for r in sanitize_lines(workbook_lines(books.where("path <> 'big'")), mode="pii").collect()}
+    assert out["small", 1].content == "7 | [EMAIL_001] | x | D1:=A1 | " and out["cut", 0].error == "CorruptDocumentError"
+    letters = spark.createDataFrame([("l", letter), ("bad", b"PK")], "path string, content binary")
+    found = sorted((r.path, r.line, r.content, r.error) for r in sanitize_lines(letter_lines(letters), mode="pii").collect())
+    assert found == [
+        ("bad", 0, "", "CorruptDocumentError"), ("l", 0, "mail [EMAIL_001]", None), ("l", 2, "again [EMAIL_001]", None),
+        ("l", 3, "[UNSANITIZED_IMAGE_CONTENT] embedded images were not OCR'd", None),
+    ]
