@@ -25,6 +25,7 @@ from hushlake.operators.structured import leaf_table, sanitize_declared, sanitiz
 from hushlake.plans import oracles as o
 from hushlake.plans.corpora import all_corpora, corpus, office_files, pii_sql, planted, secrets_sql, table, workbooks
 from hushlake.rules import BUILTIN_RULES, selected_rules
+from hushlake.sources.csv_records import csv_lines, sanitize_csv_records
 from hushlake.sources.files import decode_text, sanitize_file_rows, sanitize_files
 from hushlake.sources.listing import delete_on_exit, write_files
 from hushlake.sources.office import docx_text, docx_warnings, xlsx_text
@@ -1175,6 +1176,31 @@ def xlsx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", "line", "content", F.col("detection_count").cast("long").alias("detection_count"), "error")
 
 
+@query(
+    "csv_large_files",
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 3 AS part,
+            row_number() OVER (PARTITION BY c_custkey % 3 ORDER BY c_custkey) AS n FROM customer)
+    SELECT concat('part', cast(part as string), '.csv') AS path, concat(cast(k as string), ',', printf('[EMAIL_%03d]', n),
+            ',"say ""hi"",', chr(10), 'see ', printf('[EMAIL_%03d]', n), '"') AS content,
+        cast(2 as bigint) AS detection_count FROM c
+    UNION ALL SELECT DISTINCT concat('part', cast(part as string), '.csv'), 'id,mail,note', cast(0 as bigint) FROM c""",
+)
+def csv_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers in three CSV files with line ends inside of quotes, read by byte ranges and
+    redacted record by record, with numbers that run through a file."""
+    record = f"concat(cast(c_custkey as string), ',', {_MAIL2}, ',\"say \"\"hi\"\",\\n', 'see ', {_MAIL2}, '\"\\n')"
+    records = table(spark, sf_dir, "customer", CUSTOMER).select("c_custkey", F.expr(record).alias("record"))
+    files = records.groupBy(F.expr("concat('part', cast(c_custkey % 3 as string), '.csv')").alias("path")).agg(
+        F.sort_array(F.collect_list(F.struct("c_custkey", "record"))).alias("rows")
+    )
+    root = scratch_path(spark, "csv-files")
+    whole = files.select("path", F.expr("concat('id,mail,note\\n', array_join(rows.record, ''))").alias("content"))
+    write_files(whole, root).write.format("noop").mode("overwrite").save()
+    delete_on_exit(spark, root)
+    out = sanitize_csv_records(csv_lines(spark, root), mode="pii")
+    return out.select(F.element_at(F.split("path", "/"), -1).alias("path"), "content", "detection_count")
+
+
 # --- reports ------------------------------------------------------------------
 @query(
     "audit_table",
