@@ -120,7 +120,7 @@ def values(scanned: str) -> str:
     return f"filter({scanned}.strings, (xs, xi) -> NOT get({scanned}.is_key, xi))"
 
 
-def _escaped(text: str) -> str:
+def escaped(text: str) -> str:
     """A string as it stands between quotes: only what must be escaped is."""
     out = f"replace(replace({text}, {literal(chr(92))}, {literal(chr(92) * 2)}), '\"', {literal(chr(92) + chr(34))})"
     for code, letter in ((10, "n"), (13, "r"), (9, "t"), (8, "b"), (12, "f")):
@@ -134,7 +134,7 @@ def render(scanned: str, replaced: str) -> str:
     """The document with its values, in the order of ``values``, replaced."""
     place = _running(f"transform({scanned}.is_key, rk -> if(rk, 0L, 1L))")
     text = f"if(get({scanned}.is_key, wi), ws, get({replaced}, cast(get(rr, wi) as int)))"
-    written = f"transform({scanned}.strings, (ws, wi) -> {_escaped('wx').join(('get(transform(array(' + text + '), wx -> ', '), 0)'))})"
+    written = f"transform({scanned}.strings, (ws, wi) -> {escaped('wx').join(('get(transform(array(' + text + '), wx -> ', '), 0)'))})"
     line = "if(rdeep, '', concat(char(10), repeat(' ', cast(2 * ({}) as int))))"
     here = "get(rd, ri)"
     comma = f"if(rdeep, ', ', concat(',', {line.format(here)}))"

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from hushlake.config import SanitizeConfig
 from hushlake.functions import json_text
-from hushlake.functions.arrays import empty_array
+from hushlake.functions.arrays import empty_array, literal
 from hushlake.functions.pin import other_columns, pin
 from hushlake.operators.nested import sanitize_nested
 from hushlake.operators.redact import (
@@ -22,10 +22,12 @@ from hushlake.operators.redact import (
     with_detections,
     with_leaf_detections,
 )
+from hushlake.operators.sessions import sanitize_sessions
 from hushlake.rules import Rule, selected_rules
 from hushlake.sources.structured import (
     FALLBACK_WARNINGS,
     YAML_MISSING_WARNING,
+    leaf_pieces,
     leaf_rows,
     parse_leaves,
     render_leaves,
@@ -258,3 +260,78 @@ def leaf_table(docs: DataFrame, text_col: str, content_type: Column) -> DataFram
         .select(*others, F.posexplode("__leaf").alias("leaf_ord", "leaf"))
         .select(*others, "leaf_ord", "leaf.path", "leaf.kind", "leaf.value")
     )
+
+
+# Pieces joined in one step; a document is put together from runs of this many.
+RUN_PIECES = 256
+
+
+def _slot_text(slot: str, text: str) -> str:
+    """A redacted leaf as it is written in its place of a document."""
+
+    def swapped(pairs: tuple[tuple[str, str], ...]) -> str:
+        out = text
+        for old, new in pairs:
+            out = f"replace({out}, {literal(old)}, {literal(new)})"
+        return out
+
+    cdata = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
+    attribute = (*cdata, ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#09;"))
+    quoted = f"""concat('"', replace({text}, '"', '""'), '"')"""
+    needs = f"({text} RLIKE {literal('[\",\r\n]')} OR ({slot} = 'only' AND {text} = ''))"
+    return f"""CASE {slot} WHEN 'json' THEN {json_text.escaped(text)} WHEN 'xml' THEN {swapped(cdata)}
+        WHEN 'attribute' THEN {swapped(attribute)} WHEN 'csv' THEN if({needs}, {quoted}, {text})
+        WHEN 'only' THEN if({needs}, {quoted}, {text}) WHEN 'plain' THEN {text} ELSE '' END"""
+
+
+def document_pieces(docs: DataFrame, text_col: str, content_type: Column) -> DataFrame:
+    """One row per leaf, in order, and one for the end: other columns, ``piece_ord, leaf_ord,
+    before, slot, leaf_path, leaf_kind, leaf_value``. ``before`` is what the printed document has in
+    front of the leaf, so the rows are leaf table and template in one. A document that does not parse, and a
+    YAML document, is a single ``plain`` leaf; a null one too."""
+    others = other_columns(docs, text_col)
+    cut = pin(docs.withColumn("__pieces", leaf_pieces(content_type, F.col(text_col))), "__pieces")
+    plain = "array(named_struct('place', 0, 'before', '', 'slot', 'plain', 'path', string(null), 'kind', string(null), 'value', `{}`))"
+    pieces = F.coalesce("__pieces", F.expr(plain.format(text_col.replace("`", "``"))))
+    return cut.select(*others, F.posexplode(pieces).alias("piece_ord", "piece")).select(
+        *others, "piece_ord", F.col("piece.place").alias("leaf_ord"), "piece.before", "piece.slot",
+        *[F.col(f"piece.{name}").alias(f"leaf_{name}") for name in ("path", "kind", "value")],
+    )
+
+
+def rebuild_documents(pieces: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """``keys, content, detection_count, fell_back, error``: documents out of their redacted pieces.
+
+    Pieces are joined in runs, and runs to the document; null keys are keys like others. A
+    document of which a piece has an error is empty.
+    """
+    shown = F.concat("before", F.expr(_slot_text("slot", f"coalesce(`{content}`, '')")))
+    rows = pieces.select(
+        *keys, "piece_ord", shown.alias("shown"), "detection_count", "error", (F.col("slot") == "plain").alias("plain")
+    )
+    counted = (F.sum("detection_count").alias("detection_count"), F.max("error").alias("error"), F.max("plain").alias("plain"))
+    runs = rows.groupBy(*keys, F.expr(f"piece_ord div {RUN_PIECES}").alias("run")).agg(
+        F.expr("array_join(transform(sort_array(collect_list(struct(piece_ord, shown))), x -> x.shown), '')").alias("shown"), *counted
+    )
+    done = runs.groupBy(*keys).agg(
+        F.expr("array_join(transform(sort_array(collect_list(struct(run, shown))), x -> x.shown), '')").alias("shown"), *counted
+    )
+    return done.select(
+        *keys, F.when(F.col("error").isNull(), F.col("shown")).otherwise(F.lit("")).alias("content"),
+        F.col("detection_count").cast("long").alias("detection_count"), F.coalesce("plain", F.lit(False)).alias("fell_back"), "error",
+    )
+
+
+def sanitize_leaves(
+    docs: DataFrame, text_col: str, content_type: str | Column, keys: list[str], mode: str | None = None, config: Settings = None
+) -> DataFrame:
+    """Redact structured documents leaf by leaf, over several tasks, and put them together again.
+
+    ``keys`` tell documents apart. For documents of very many leaves: a parse is all that one
+    task does for a document, and the result is that of ``sanitize_structured``. An XML element
+    whose text is replaced by nothing keeps its end tag.
+    """
+    kind = F.lit(content_type) if isinstance(content_type, str) else content_type
+    named = docs.select(*keys, F.col(text_col).alias("__text"), kind.alias("__type"))
+    pieces = document_pieces(named, "__text", F.col("__type"))
+    return rebuild_documents(sanitize_sessions(pieces, "leaf_value", keys, "leaf_ord", mode, config), keys)

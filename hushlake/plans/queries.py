@@ -21,7 +21,7 @@ from hushlake.operators.overlap import resolve_overlaps as resolve
 from hushlake.operators.pages import assemble_pages
 from hushlake.operators.redact import as_results, sanitize_table
 from hushlake.operators.sessions import found_hits, hit_rows, sanitize_sessions
-from hushlake.operators.structured import leaf_table, sanitize_declared, sanitize_structured
+from hushlake.operators.structured import leaf_table, sanitize_declared, sanitize_leaves, sanitize_structured
 from hushlake.plans import oracles as o
 from hushlake.plans.corpora import all_corpora, corpus, office_files, pii_sql, planted, secrets_sql, table, workbooks
 from hushlake.rules import BUILTIN_RULES, selected_rules
@@ -960,6 +960,32 @@ def leaf_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", F.col("leaf_ord").cast("long").alias("leaf_ord"), "path", "content")
 
 
+@query(
+    "leaf_rebuild",
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS doc,
+            row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey) AS n FROM customer)
+    SELECT doc, CASE WHEN doc < 2 THEN concat('[', chr(10), string_agg(concat('  {', chr(10), '    "id": ', cast(k as string),
+            ',', chr(10), '    "mail": "to ', printf('[EMAIL_%03d]', n), ' \\"ok\\""', chr(10), '  }'), concat(',', chr(10)) ORDER BY n),
+            chr(10), ']')
+        ELSE concat('<all>', string_agg(concat('<c id="', cast(k as string), '">&lt;', printf('[EMAIL_%03d]', n), '&gt;</c>tail &amp;'), ''
+            ORDER BY n), '</all>') END AS content, cast(count(*) as bigint) AS detection_count, false AS fell_back
+    FROM c GROUP BY doc""",
+)
+def leaf_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers in two JSON and two XML documents of very many leaves, redacted leaf by leaf."""
+    entry = f"""CASE WHEN c_custkey % 4 < 2 THEN concat('{{"id": ', cast(c_custkey as string), ', "mail": "to ', {_MAIL2}, ' \\\\"ok\\\\""}}')
+        ELSE concat('<c id="', cast(c_custkey as string), '">&lt;', {_MAIL2}, '&gt;</c>tail &amp;') END"""
+    rows = table(spark, sf_dir, "customer", CUSTOMER).select("c_custkey", F.expr(entry).alias("entry"))
+    docs = rows.groupBy((F.col("c_custkey") % 4).alias("doc")).agg(
+        F.expr("transform(sort_array(collect_list(struct(c_custkey, entry))), x -> x.entry)").alias("entries")
+    ).select(
+        "doc",
+        F.expr("if(doc < 2, concat('[', array_join(entries, ','), ']'), concat('<all>', array_join(entries, ''), '</all>'))").alias("text"),
+        F.expr("if(doc < 2, 'json', 'xml')").alias("kind"),
+    )
+    return sanitize_leaves(docs, "text", F.col("kind"), ["doc"], mode="pii").drop("error")
+
+
 _KIND_EXT = "CASE c_custkey % 6 WHEN 0 THEN 'txt' WHEN 1 THEN 'json' WHEN 2 THEN 'yml' WHEN 3 THEN 'xml' WHEN 4 THEN 'CSV' ELSE 'zip' END"
 _KIND_PATH = f"concat('/corpus/c', cast(c_custkey as string), '.', {_KIND_EXT})"
 

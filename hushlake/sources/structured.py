@@ -12,6 +12,7 @@ import io
 import json
 import re
 import sys
+from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -48,24 +49,43 @@ def yaml_available() -> bool:
 
 def rewrite(content_type: str, text: str, visit: Visit) -> str:
     """Parse, pass every leaf through ``visit`` in visit order, serialise."""
+    return _printed(content_type, _walked(content_type, text, visit))
+
+
+def _walked(content_type: str, text: str, visit: Visit) -> Any:
+    """The parsed document with every leaf passed through ``visit`` in visit order."""
     if content_type == "json":
-        return _dump_json(_rewrite_tree(_load_json(text), visit))
+        return _rewrite_tree(_load_json(text), visit)
     if content_type == "yaml":
         import yaml
 
         with _deep():
-            tree = _rewrite_tree(yaml.safe_load(text), visit)
-            return yaml.safe_dump(tree, sort_keys=False, allow_unicode=True)
+            return _rewrite_tree(yaml.safe_load(text), visit)
     if content_type == "xml":
         root = ElementTree.fromstring(text)
         _rewrite_elements(root, visit)
-        with _deep():
-            return ElementTree.tostring(root, encoding="unicode")
+        return root
     if content_type == "csv":
         return _rewrite_csv(text, visit)
     raise ValueError(content_type)
 
 
+def _printed(content_type: str, tree: Any) -> str:
+    if content_type == "json":
+        return _dump_json(tree)
+    if content_type == "yaml":
+        import yaml
+
+        with _deep():
+            return yaml.safe_dump(tree, sort_keys=False, allow_unicode=True)
+    if content_type == "xml":
+        with _deep():
+            return ElementTree.tostring(tree, encoding="unicode")
+    out = io.StringIO()
+    csv.writer(out).writerows(tree)
+    return out.getvalue()
+
+
 @contextmanager
 def _deep() -> Iterator[None]:
     """Room for libraries that recurse in Python."""
@@ -217,14 +237,12 @@ def _rewrite_elements(root: Any, visit: Visit) -> None:
         todo += [(child, f"{path}/{child.tag}[{i}]") for i, child in reversed(children)]
 
 
-def _rewrite_csv(text: str, visit: Visit) -> str:
+def _rewrite_csv(text: str, visit: Visit) -> list[list[str]]:
     csv.field_size_limit(sys.maxsize)
-    out = io.StringIO()
-    csv.writer(out).writerows(
+    return [
         [visit(f"r{r}c{c}", "cell", cell) for c, cell in enumerate(row)]
         for r, row in enumerate(csv.reader(io.StringIO(text)))
-    )
-    return out.getvalue()
+    ]
 
 
 def leaves_of(content_type: str | None, text: str | None) -> list[tuple[str, str, str]] | None:
@@ -238,9 +256,11 @@ def leaves_of(content_type: str | None, text: str | None) -> list[tuple[str, str
         return value
 
     try:
-        rewrite(content_type, text, collect)
+        tree = _walked(content_type, text, collect)
         for _, _, value in found:
             value.encode("utf-8")
+        if content_type == "json" and "\\u" in text:
+            _dump_json(tree).encode("utf-8")  # keys too may hold halves of characters
     except (Exception, RecursionError):
         return None
     return found
@@ -250,6 +270,35 @@ def with_leaves(content_type: str, text: str, leaves: Iterator[str]) -> str:
     return rewrite(content_type, text, lambda path, kind, value: next(leaves))
 
 
+#: how a slot's text is escaped where it stands
+_SLOTS = {"string": "json", "text": "xml", "tail": "xml", "attribute": "attribute", "cell": "csv"}
+
+
+def pieces_of(content_type: str | None, text: str | None) -> list[dict] | None:
+    """The printed document cut at its leaves, in the order of the print: what stands before each
+    leaf, its place in visit order, path, kind and value; last what stands after them. None if parsing fails, and for YAML, where
+    the form of a value depends on its text."""
+    if content_type not in ("json", "xml", "csv") or (found := leaves_of(content_type, text)) is None:
+        return None
+    for n in range(len(text) + 2):
+        places = iter(range(len(found)))
+        printed = rewrite(content_type, text, lambda path, kind, value: f"\ue000{n}:{next(places)}\ue001")  # noqa: B023
+        cut = re.split(f"\ue000{n}:([0-9]+)\ue001", printed)
+        # a text that holds such marks itself is cut with others
+        if len(cut) == 2 * len(found) + 1:
+            break
+    alone = set()
+    if content_type == "csv":
+        rows = Counter(path.split("c")[0] for path, _, _ in found)
+        alone = {path for path, _, _ in found if rows[path.split("c")[0]] == 1}
+    pieces = []
+    for before, place in zip(cut[:-1:2], map(int, cut[1::2]), strict=True):
+        path, kind, value = found[place]
+        slot = "only" if path in alone else _SLOTS[kind]
+        pieces.append({"before": before, "slot": slot, "place": place, "path": path, "kind": kind, "value": value})
+    return [*pieces, {"before": cut[-1], "slot": None, "place": len(found), "path": None, "kind": None, "value": None}]
+
+
 _LEAVES = pa.list_(pa.string())
 
 
@@ -291,6 +340,19 @@ def _rows(content_type: pa.Array, text: pa.Array) -> pa.Array:
     return pa.array([rows(k, t) for k, t in pairs], type=_LEAF_ROWS)
 
 
+_PIECES = pa.list_(pa.struct([("place", pa.int32()), *[(n, pa.string()) for n in ("before", "slot", "path", "kind", "value")]]))
+
+
+def _pieces(content_type: pa.Array, text: pa.Array) -> pa.Array:
+    pairs = zip(content_type.to_pylist(), text.to_pylist(), strict=True)
+    return pa.array([pieces_of(k, t) for k, t in pairs], type=_PIECES)
+
+
+def leaf_pieces(content_type: Column, text: Column) -> Column:
+    """``pieces_of`` each document; null for null, malformed and YAML documents."""
+    return F.arrow_udf(_pieces, "array<struct<place:int,before:string,slot:string,path:string,kind:string,value:string>>")(content_type, text)
+
+
 def parse_leaves(content_type: Column, text: Column) -> Column:
     """String leaves in visit order; null for null or malformed documents."""
     return F.arrow_udf(_parse, "array<string>")(content_type, text)

@@ -536,3 +536,24 @@ def test_office_files_as_lines(spark):
         ("bad", 0, "", "CorruptDocumentError"), ("l", 0, "mail [EMAIL_001]", None), ("l", 2, "again [EMAIL_001]", None),
         ("l", 3, "[UNSANITIZED_IMAGE_CONTENT] embedded images were not OCR'd", None),
     ]
+
+
+def test_documents_are_rebuilt_from_their_leaves(spark):
+    from hushlake.operators.structured import sanitize_leaves
+
+    texts = {
+        "json": json.dumps({"k\n": [f"u{i % 400}@b.com \"q\" \\ \n\u0001é" for i in range(1500)], "n": [1, 2.5, None], "0": "", "e": {}}),
+        "xml": "<a b='x@y.org &quot;&#10;'>t &amp; x@y.org<c/> tail &lt;z@y.org&gt;<d>p</d></a>",
+        "csv": 'h,i\n"a@b.com, ""q""",2\n\nsolo\n""\n"two\nlines",\n',
+        "yaml": "a: x@y.org\nb: 1\n",
+        "bad": '{"a": "x@y.org"',
+    }
+    rows = [(k, "json" if k == "bad" else k, t) for k, t in texts.items()] + [("null", "json", None)]
+    docs = spark.createDataFrame(rows, "path string, kind string, t string")
+    whole = {r.path: r for r in sanitize_structured(docs.where("kind <> 'yaml'"), "t", F.col("kind"), mode="pii").collect()}
+    got = {r.path: r for r in sanitize_leaves(docs, "t", F.col("kind"), ["path"], mode="pii").collect()}
+    for key in ("json", "xml", "csv", "bad"):
+        assert got[key].content == whole[key].content and got[key].detection_count == whole[key].detection_count, key
+    assert {k for k, r in got.items() if r.fell_back} == {"bad", "yaml", "null"}
+    assert got["yaml"].content == "a: [EMAIL_001]\nb: 1\n" and got["null"].content == ""
+    assert "[EMAIL_400]" in got["json"].content
