@@ -31,7 +31,7 @@ from hushlake.sources.listing import delete_on_exit, write_files
 from hushlake.sources.office import docx_text, docx_warnings, xlsx_text
 from hushlake.sources.scratch import scratch_path
 from hushlake.sources.workbooks import sanitize_lines, workbook_lines
-from hushlake.streaming.redaction import read_document_stream, sanitize_stream
+from hushlake.streaming.redaction import read_document_stream, read_tables, sanitize_file_stream, sanitize_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 CUSTOMER = ["c_custkey", "c_name", "c_mktsegment"]
@@ -1276,6 +1276,34 @@ def stream_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _content(spark.read.parquet(sink), "doc_id")
 
 
+@query(
+    "stream_files",
+    f"""SELECT path, CASE kind WHEN 0 THEN 'text' WHEN 1 THEN 'json' WHEN 2 THEN 'yaml'
+        WHEN 3 THEN 'xml' WHEN 4 THEN 'csv' END AS content_type, content, detections AS detection_count,
+        detections AS detection_rows, CASE WHEN kind = 5 THEN 'ArchiveNotSupportedError' END AS error
+    FROM {_MIXED_RESULTS} r""",
+)
+def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of five types and an archive as a stream: half of them, then the others, which are
+    added between two runs; the results beside the rows of the detections table."""
+    root = scratch_path(spark, "stream-files")
+    delete_on_exit(spark, root)
+    files = _mixed_files(spark, sf_dir).withColumn("half", F.pmod(F.xxhash64("path"), F.lit(2)))
+    for half in (0, 1):
+        write_files(files.where(f"half = {half}"), f"{root}/in").write.format("noop").mode("overwrite").save()
+        sanitize_file_stream(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", mode="pii").awaitTermination()
+    results, detections = read_tables(spark, f"{root}/out")
+    rows = detections.groupBy("path").agg(F.count(F.lit(1)).alias("detection_rows"))
+    return results.join(rows, "path", "left").select(
+        F.regexp_extract("path", "(/corpus/.*)$", 1).alias("path"),
+        F.col("metadata.content_type").alias("content_type"),
+        "content",
+        F.col("detection_count").cast("long").alias("detection_count"),
+        F.coalesce("detection_rows", F.lit(0)).alias("detection_rows"),
+        F.col("metadata.error").alias("error"),
+    )
+
+
 @query(
     "private_use_text",
     """SELECT doc_id, concat(m, '[EMAIL_001]', m, n) AS content, cast(1 as bigint) AS detection_count

@@ -557,3 +557,36 @@ def test_documents_are_rebuilt_from_their_leaves(spark):
     assert {k for k, r in got.items() if r.fell_back} == {"bad", "yaml", "null"}
     assert got["yaml"].content == "a: [EMAIL_001]\nb: 1\n" and got["null"].content == ""
     assert "[EMAIL_400]" in got["json"].content
+
+
+def test_a_batch_that_is_played_again_adds_nothing(spark, tmp_path):
+    from hushlake.streaming.redaction import read_tables, sanitize_file_stream, stream_tables, write_batch
+
+    root, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    (tmp_path / "in").mkdir()
+    for name, data in (("a.txt", b"a@b.com and c@d.com"), ("b.json", b'{"k": "a@b.com"}'), ("c.zip", b"PK")):
+        (tmp_path / "in" / name).write_bytes(data)
+
+    def run():
+        sanitize_file_stream(spark, str(tmp_path / "in"), root, checkpoint, mode="pii", files_per_trigger=1).awaitTermination()
+        return [sorted(t.drop("batch_id").collect()) for t in read_tables(spark, root)]
+
+    first = run()
+    assert [len(t) for t in first] == [3, 3]
+    assert run() == first  # nothing is new
+    for batch in (0, 2):  # as after a failure between the tables and the checkpoint
+        again = spark.read.parquet(f"{root}/results/batch_id={batch}")
+        write_batch(spark.createDataFrame(again.collect(), again.schema), batch, root, ["path"])
+    assert [sorted(t.drop("batch_id").collect()) for t in read_tables(spark, root)] == first
+    (tmp_path / "in" / "d.md").write_text("later e@f.org")
+    results, detections = run()
+    assert len(results) == 4 and len(detections) == 4
+    docs = spark.readStream.schema("text string").format("text").load(str(tmp_path / "in"))
+    from hushlake import sanitize_table
+
+    query = stream_tables(
+        docs.withColumnRenamed("value", "text"), lambda b: sanitize_table(b.withColumn("n", F.lit(1)), mode="pii"),
+        str(tmp_path / "other"), str(tmp_path / "c2"), ["n"], sink="json",
+    )
+    query.awaitTermination()
+    assert read_tables(spark, str(tmp_path / "other"), "json")[1].count() == 4
