@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Models, signatures and tokens have no SQL form; tests compare the stages with plain versions.
+#: Models, signatures and tokens have no SQL form; tests/llm/test_pipeline.py plants cases for all stages but the first.
 ORACLE_SQL = None
 
 
