@@ -20,6 +20,7 @@ from hushlake.operators.numbering import number_sessions
 from hushlake.operators.overlap import resolve_overlaps as resolve
 from hushlake.operators.pages import assemble_pages
 from hushlake.operators.redact import as_results, sanitize_table
+from hushlake.operators.session_leaks import session_leak_check as check_sessions
 from hushlake.operators.sessions import found_hits, hit_rows, sanitize_sessions
 from hushlake.operators.structured import leaf_table, sanitize_declared, sanitize_leaves, sanitize_structured
 from hushlake.plans import oracles as o
@@ -1264,6 +1265,26 @@ def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.leak_check(results, ["doc_id"], "original", mode="pii")
 
 
+# A password that every third turn names as one, and that the others repeat as prose. Conversations
+# share it by sevens, so one that never masks it must not be reported.
+_TOLD = "concat('pw', substr(md5(cast(conv_id % 7 as string)), 1, 6 + cast(conv_id % 12 as int)))"
+_TOLD_TEXT = f"""CASE WHEN turn % 3 = 0 THEN concat(text, ' password: "', {_TOLD}, '"')
+    ELSE concat(text, ' again ', {_TOLD}, ' and') END"""
+
+
+@query(
+    "session_leak_check",
+    """SELECT DISTINCT conv_id, turn, 'PASSWORD' AS category, cast(1 as bigint) AS leaked_values FROM conversations c
+    WHERE turn % 3 <> 0 AND EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn % 3 = 0)""",
+)
+def session_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one turn masks stands as prose in others, where no rule sees it."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_TOLD_TEXT).alias("text"))
+    cfg = SanitizeConfig(mode="pii", enable_categories=("PASSWORD",))
+    results = sanitize_sessions(turns.withColumn("original", F.col("text")), "text", ["conv_id"], "turn", config=cfg)
+    return check_sessions(results, ["conv_id"], ["turn"], "original", config=cfg)
+
+
 @query("stream_sanitize", ORACLES["sanitize_documents"])
 def stream_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream into a parquet sink, read back."""
