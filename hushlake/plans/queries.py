@@ -33,6 +33,7 @@ from hushlake.sources.office import docx_text, docx_warnings, xlsx_text
 from hushlake.sources.scratch import scratch_path
 from hushlake.sources.workbooks import sanitize_lines, workbook_lines
 from hushlake.streaming.redaction import read_document_stream, read_tables, sanitize_file_stream, sanitize_stream
+from hushlake.streaming.sessions import sanitize_session_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 CUSTOMER = ["c_custkey", "c_name", "c_mktsegment"]
@@ -1297,6 +1298,24 @@ def stream_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _content(spark.read.parquet(sink), "doc_id")
 
 
+@query("stream_sessions", ORACLES["sanitize_conversations"])
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations in three pieces, one after the other: numbers go on where they were."""
+    root = scratch_path(spark, "stream-sessions")
+    delete_on_exit(spark, root)
+    turns = _planted_turns(spark, sf_dir)
+    for piece in range(3):
+        turns.where(F.least(F.floor(F.col("turn") / 3), F.lit(2)) == piece).write.mode("append").parquet(f"{root}/in")
+        stream = read_document_stream(spark, f"{root}/in", turns.schema)
+        sanitize_session_stream(
+            stream, f"{root}/out", f"{root}/checkpoint", "text", ["conv_id"], "turn", mode="pii"
+        ).awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.select(
+        "conv_id", "turn", "content", F.col("detection_count").cast("long").alias("detection_count")
+    )
+
+
 @query(
     "stream_files",
     f"""SELECT path, CASE kind WHEN 0 THEN 'text' WHEN 1 THEN 'json' WHEN 2 THEN 'yaml'
