@@ -18,6 +18,7 @@ from hushlake.operators.media import media_policy as apply_media_policy
 from hushlake.operators.nested import sanitize_nested
 from hushlake.operators.numbering import number_sessions
 from hushlake.operators.overlap import resolve_overlaps as resolve
+from hushlake.operators.overlap_rows import resolve_overlap_rows
 from hushlake.operators.pages import assemble_pages
 from hushlake.operators.redact import as_results, sanitize_table
 from hushlake.operators.session_leaks import session_leak_check as check_sessions
@@ -442,6 +443,23 @@ def resolve_overlaps_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("overlap_rows", ORACLES["resolve_overlaps"])
+def overlap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spans as rows of three long documents, in which orders stand one after another."""
+    spans = f"""transform(sequence(0, 7), i -> named_struct('start', o_orderkey * 60 + {_SPAN_START},
+        'end', o_orderkey * 60 + {_SPAN_START} + {_SPAN_LENGTH}, 'rank', i))"""
+    hits = (
+        table(spark, sf_dir, "orders", ["o_orderkey"])
+        .select(F.expr("nullif(o_orderkey % 3, 0)").alias("doc"), F.explode(F.expr(spans)).alias("h"))
+        .select("doc", "h.*")
+    )
+    return resolve_overlap_rows(hits, ["doc"]).select(
+        F.expr("start div 60").alias("o_orderkey"),
+        F.expr("cast(start % 60 as bigint)").alias("start_pos"),
+        F.expr("cast(end - (start div 60) * 60 as bigint)").alias("end_pos"),
+    )
+
+
 _DOC_PARTS = f"WITH {o.free_text_parts('documents', 'doc_id', 'text')}"
 
 
