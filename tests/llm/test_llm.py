@@ -496,6 +496,27 @@ def test_repeated_passages(spark, odd):
     assert chunks.repeated_passages(odd.limit(0)).count() == 0
 
 
+def test_passages_stand_in_their_partners(spark):
+    """Word for word; chunks that different documents share are no passage; shifted copies of periodic text are."""
+    rng = random.Random(23)
+    sources = [prose(rng, 200) for _ in range(25)]
+    stitched = " ".join(t[60 * k % 500 :][:60] for k, t in enumerate(sources))
+    a, b = prose(rng, 90), prose(rng, 90)
+    rows = list(enumerate(sources)) + [(30, stitched), (31, f"{a} {b}"), (32, f"{prose(rng, 40)} {a}"), (33, f"é {b} {a} x")]
+    rows += [(40, "ab cdé " * 300), (41, "so " + "cdé ab " * 200), (42, "w" * 5000), (43, "x" + "w" * 900), (44, "short"), (45, "short")]
+    texts, got = dict(rows), chunks.repeated_passages(documents(spark, rows)).collect()
+    assert {r.doc_id for r in got} == {31, 32, 33, 40, 41, 42, 43}
+    for r in got:
+        piece = texts[r.doc_id][r.start : r.end]
+        assert len(piece) >= 150 and r.partner_doc_id != r.doc_id and r.kept == (r.first_doc_id == r.doc_id)
+        assert texts[r.partner_doc_id][r.partner_start : r.partner_start + len(piece)] == piece
+    for k, text in ((32, a), (33, a), (33, b)):
+        at = texts[k].index(text)
+        held = set().union(*(range(r.start, r.end) for r in got if r.doc_id == k))
+        assert len(held & set(range(at, at + len(text)))) > len(text) - 200
+    assert len(chunks.cut_repeats(documents(spark, rows)).where("doc_id = 33").first().text) < len(texts[33]) - 500
+
+
 def test_cuts_follow_content():
     rng = random.Random(16)
     text = prose(rng, 400)
