@@ -4,8 +4,10 @@ A rule is a host and a path; it fits the host and all subdomains where the path
 the rule's, and the longest fitting rule wins. URLs that a rule decides are the labelled
 ones: a bounded sample of them, by hash order, trains boosted trees on lexical features and
 on suffix statistics (how many labelled URLs of a registrable name were blocked, smoothed
-towards the overall share). All labelled URLs enter the statistics. The trees judge the URLs
-that no rule decides, inside Spark's own plan.
+towards the overall share). All labelled URLs enter the statistics, but a training row takes
+those of the other folds, so that its own label, and those of equal URLs, say nothing about it.
+The trees judge the URLs that no rule decides, inside Spark's own plan. Of equally long rules
+that fit, the last given wins.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and
 is judged by the trees on zero lengths; with labels of one class only, that class is the verdict
@@ -28,6 +30,8 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 TRAINING_ROWS = 20_000
 TREES, DEPTH = 15, 4
 SMOOTHING = 20.0
+#: A URL's fold is a hash of it.
+FOLDS = 5
 
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "n_params", "query_length",
@@ -84,14 +88,28 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def _suffix_statistics(labelled: DataFrame, share: float) -> DataFrame:
-    """Smoothed share of blocked URLs and log count of every suffix. Aggregated before the shuffle."""
-    sums = labelled.groupBy("suffix").agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("n"))
-    return sums.select(
-        "suffix",
-        ((F.col("blocked") + share * SMOOTHING) / (F.col("n") + SMOOTHING)).alias("suffix_rate"),
-        F.log1p("n").alias("suffix_count"),
-    )
+def _fold_sums(labelled: DataFrame) -> DataFrame:
+    """``suffix, fold, blocked, n`` of the labelled URLs. Aggregated before the shuffle."""
+    return labelled.groupBy("suffix", "fold").agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("n"))
+
+
+def _statistics(sums: DataFrame, share: float) -> DataFrame:
+    """Smoothed share of blocked URLs and log count of every suffix."""
+    totals = sums.groupBy("suffix").agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n"))
+    return totals.select("suffix", *_rates(F.col("blocked"), F.col("n"), share))
+
+
+def _rates(blocked: Column, n: Column, share: float) -> list[Column]:
+    rate = (blocked + share * SMOOTHING) / (n + SMOOTHING)
+    return [rate.alias("suffix_rate"), F.log1p(n).alias("suffix_count")]
+
+
+def out_of_fold(rows: DataFrame, sums: DataFrame, share: float) -> DataFrame:
+    """``rows(suffix, fold, ...)`` with the statistics of their suffix over all other folds."""
+    totals = sums.groupBy("suffix").agg(F.sum("blocked").alias("all_blocked"), F.sum("n").alias("all_n"))
+    joined = rows.join(totals, "suffix", "left").join(sums, ["suffix", "fold"], "left")
+    other = [F.coalesce(f"all_{c}", F.lit(0)) - F.coalesce(c, F.lit(0)) for c in ("blocked", "n")]
+    return joined.select(*rows.columns, *_rates(*other, share))
 
 
 def judge_urls(
@@ -101,6 +119,7 @@ def judge_urls(
     rows = pick(pages, id=id_col, url=url_col).select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     decided = lexical(rows.withColumn("decided", _decide(rules, "host", "path")))
     labelled = decided.filter("decided is not null").withColumn("label", (F.col("decided.verdict") == "block").cast("double"))
+    labelled = labelled.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
     n, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     out = [F.col("id").alias(id_col), "host", "path", F.col("decided.rule").alias("rule")]
     if not n or blocked in (0, n):
@@ -109,8 +128,9 @@ def judge_urls(
             *out, F.coalesce("decided.verdict", other).alias("verdict"), F.lit(None).cast("double").alias("block_probability")
         )
     share = blocked / n
-    statistics = written(_suffix_statistics(labelled, share), "url-suffixes")
-    chosen = labelled.select(*FEATURES[:-2], "suffix", "label", "url").orderBy(F.xxhash64("url"), "url").limit(TRAINING_ROWS)
+    sums = written(_fold_sums(labelled), "url-suffixes")
+    statistics = _statistics(sums, share)
+    chosen = labelled.select(*FEATURES[:-2], "suffix", "fold", "label", "url").orderBy(F.xxhash64("url"), "url").limit(TRAINING_ROWS)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
 
     def with_statistics(df: DataFrame) -> DataFrame:
@@ -119,7 +139,7 @@ def judge_urls(
             {"suffix_rate": F.coalesce("suffix_rate", F.lit(share)), "suffix_count": F.coalesce("suffix_count", F.lit(0.0))}
         )
 
-    training = written(with_statistics(chosen).select(*FEATURES, "label"), "url-training")
+    training = written(out_of_fold(chosen, sums, share).select(*FEATURES, "label"), "url-training")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7).fit(assembler.transform(training))
     judged = trees.transform(assembler.transform(with_statistics(decided)))
     p = vector_to_array("probability")[1]

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -31,6 +32,22 @@ def documents(spark, rows):
     return spark.createDataFrame(rows, schema).repartition(3)
 
 
+def test_url_statistics_leave_out_the_fold(spark):
+    rng = random.Random(29)
+    rows = [(rng.choice(["a.com", "b.net", "c.org"]) if k % 9 else f"once{k}.de", rng.randrange(5), float(rng.random() < 0.4)) for k in range(400)]
+    rows.append((None, 1, 1.0))
+    share = sum(r[2] for r in rows) / len(rows)
+    df = spark.createDataFrame(rows, "suffix string, fold long, label double")
+    got = url_filter.out_of_fold(df, url_filter._fold_sums(df), share).collect()
+    want = Counter()
+    for suffix, fold, label in rows:
+        others = [r[2] for r in rows if r[0] == suffix and r[1] != fold and suffix is not None]
+        rate = (sum(others) + share * url_filter.SMOOTHING) / (len(others) + url_filter.SMOOTHING)
+        want[suffix, fold, label, round(rate, 9), round(math.log1p(len(others)), 9)] += 1
+    assert Counter((r.suffix, r.fold, r.label, round(r.suffix_rate, 9), round(r.suffix_count, 9)) for r in got) == want
+    assert all(abs(r.suffix_rate - share) < 1e-9 for r in got if (r.suffix or "").startswith("once"))
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empties, blanks, repeated rows, a long text, and copies."""
