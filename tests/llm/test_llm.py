@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from hushlake.llm import chunks, decontamination, html_text, licenses, near_dup, packing, quality, secrets, toxicity, url_filter
 from hushlake.llm.components import components
@@ -534,6 +535,42 @@ def test_passages_stand_in_their_partners(spark):
     assert len(chunks.cut_repeats(documents(spark, rows)).where("doc_id = 33").first().text) < len(texts[33]) - 500
 
 
+def test_importance_equals_a_plain_tree(spark):
+    """Entropies of a plain tree; evidence grows with the pages of a host, and no size switches it."""
+    rng = random.Random(31)
+    rows, weights = [], {}
+    for n in (1, 3, 7, 8, 9, 40):
+        for k in range(n):
+            blocks = ["Read our terms"] + [prose(rng, 9) for _ in range(3)] + (["Half"] if k % 2 else [])
+            rows.append((len(rows), f"http://h{n}.org/{k}", "".join(f"<p>{b}</p>" for b in blocks)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", html_text.host_of(F.col("url")))
+    parsed = html_text.parsed_pages(pages, "bigint").collect()
+    got = {(r.host, r.node): (r.content, r.markup) for r in html_text.node_importance(html_text.parsed_pages(pages, "bigint")).collect()}
+    want = {}
+    for host in {p.host for p in parsed}:
+        mine = [p for p in parsed if p.host == host]
+        n = len(mine)
+        for node in {x for p in mine for b in p.nodes for x in (b.forward, b.backward)}:
+            values = []
+            for what in ("content", "markup"):
+                held = Counter()
+                for p in mine:
+                    found = {b[what] for b in p.nodes if node in (b.forward, b.backward)}
+                    held.update(found or {f"none{p.page_id}"})
+                entropy = -sum(c / n * math.log(c / n) for c in held.values()) / math.log(max(n, 2))
+                weight = (n - 1) / (n - 1 + html_text.PRIOR_PAGES)
+                values.append(1 - weight * (1 - entropy) if n > 1 else 1.0)
+            want[host, node] = values
+    assert got.keys() == want.keys()
+    assert all(abs(g - w) < 1e-9 for key in want for g, w in zip(got[key], want[key], strict=True))
+    out = {r.page_id: r.text for r in html_text.extract_text(pages.drop("host")).collect()}
+    for page, url, _ in rows:
+        n = int(re.search(r"h(\d+)", url)[1])
+        weights.setdefault(n, set()).add("terms" in out[page])
+        assert out[page].count("\n\n") >= 2
+    assert weights == {1: {True}, 3: {True}, 7: {True}, 8: {False}, 9: {False}, 40: {False}}
+
+
 def test_cuts_follow_content():
     rng = random.Random(16)
     text = prose(rng, 400)
