@@ -1385,12 +1385,12 @@ _NULL_TURN = "CASE WHEN turn % 2 = 0 THEN NULL ELSE turn END"
     "sessions_null_keys",
     f"""SELECT coalesce(cast(conv_id as string), '') AS conv_id, coalesce(cast(turn as string), '') AS turn,
         concat(text, ' [EMAIL_001]') AS content, cast(1 as bigint) AS detection_count
-    FROM (SELECT DISTINCT {_NULL_KEY} AS conv_id, {_NULL_TURN} AS turn, text, conv_id AS c, turn AS t
-        FROM conversations WHERE text NOT LIKE '%@%') q""",
+    FROM (SELECT {_NULL_KEY} AS conv_id, {_NULL_TURN} AS turn, text, conv_id AS c, turn AS t
+        FROM conversations) q""",
 )
 def sessions_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions and places that are null; nothing stays as it was."""
-    turns = table(spark, sf_dir, "conversations").where("text not like '%@%'").distinct()
+    turns = table(spark, sf_dir, "conversations")
     keyed = turns.select(
         F.expr(_NULL_KEY).alias("conv_id"), F.expr(_NULL_TURN).alias("turn"), F.concat("text", F.lit(" a@b.com")).alias("text")
     )
