@@ -50,6 +50,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the 1024 tokens bind here: the capacities for documents and attention cost are slack by default."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
