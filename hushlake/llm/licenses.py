@@ -1,17 +1,24 @@
 """License texts by diagonal voting.
 
 Every rolling window of ``K`` words of a document is hashed; Spark joins the hashes to the
-positions of the same windows in license templates. A match votes for the diagonal of its
-two positions. Votes are counted per document, template and diagonal; neighbouring
-diagonals (a word more or less) merge into one span, and a span is verified by the longest
-common subsequence of its words and the template's. Windows whose low bits no template has
-stay in their task, so the join gets few rows; the templates are a fixed short list.
+positions of the same windows in license templates: whole licenses, and the statements by
+which texts name one. A match votes for the diagonal of its two positions. Votes are counted
+per text, template and diagonal; neighbouring diagonals (a word more or less) merge into one
+span. A span with votes of one in ``VOTES_ONE_IN`` of its template's windows is verified on
+the text: the longest common subsequence of the words around it with the template's may miss
+one word in ``ONE_IN``. The join's other side comes from a fixed list of templates, so it is
+small; before the join a lossy filter (a bitmap of ``FILTER_BITS`` address bits) leaves out
+windows that surely have no partner, and lets some pass that have none.
+
+Equal texts vote once: hits are taken from one row of each text, found again by its hash.
 
 Phrases are counted on their own as the base result; the method adds the labels of verified
 templates.
 
 Defined cases: a null text is empty; without words or phrases the positions are null, the
-labels empty strings and the score 0; repeated rows each get their result.
+labels empty strings and the score 0; repeated rows each get their result. A very long text
+is one row of hits: memory follows the longest text. Ties between templates do not matter,
+all verified ones give their labels.
 """
 
 from __future__ import annotations
@@ -23,36 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushlake.llm.license_texts import STATEMENTS, WHOLE
 from hushlake.llm.tables import pick, written
-from hushlake.llm.words import ALNUM, blocks
+from hushlake.llm.words import ALNUM, blocks, mix
 
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Statements by which texts name their license.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "licensed under the apache license version"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl", "this work is licensed under the gnu general public license version"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by", "licensed under a creative commons attribution international license"),
-    ("cc-by-nc", "licensed under cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa"),
-    ("cc-by-nd", "licensed under cc by nd"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-)
+TEMPLATES = WHOLE + STATEMENTS
 K = 3
 #: Diagonals at most so far apart belong to one span.
 NEIGHBOURS = 3
 #: A span holds its template's words in order; one word in so many may be missing.
 ONE_IN = 10
+#: One in so many of a template's windows must vote for a span before its words are compared.
+VOTES_ONE_IN = 4
+#: Address bits of the lossy filter before the join: 16 MB in a worker, whatever the templates hold.
+FILTER_BITS = 24
 
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
@@ -80,34 +72,22 @@ def template_positions() -> tuple[list[np.ndarray], list[tuple[int, int, int]]]:
 
 
 SCANNED = (
-    "id {id}, n_words long, n_base long, first_word long, last_word long, base_labels string, "
-    "hits array<struct<position: bigint, gram: bigint>>, windows array<struct<start: bigint, words: array<bigint>>>"
+    "id {id}, text_key long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
+    "hits array<struct<position: bigint, gram: bigint>>"
 )
 
 
-def _windows(words: np.ndarray, at: np.ndarray, reach: int) -> list[dict]:
-    """The words around hits, as disjoint stretches."""
-    out: list[list[int]] = []
-    for p in at.tolist():
-        a, b = max(0, p - reach), min(len(words), p + K + reach)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [{"start": a, "words": words[a:b].view(np.int64).tolist()} for a, b in out]
-
-
 def scan_words(docs: DataFrame, id_type: str) -> DataFrame:
-    """Per document of ``docs(id, text)``: the base result, and template hits with the words around them."""
-    templates, positions = template_positions()
-    reach = 2 * max(len(w) for w in templates)
-    grams = np.unique(np.array([g for g, _, _ in positions], dtype=np.int64).view(np.uint64))
-    maybe = np.zeros(1 << 16, dtype=bool)
-    maybe[grams & np.uint64(0xFFFF)] = True
+    """Per document of ``docs(id, text_key, text)``: the base result, and windows that pass the lossy filter."""
+    _, positions = template_positions()
+    grams = np.array([g for g, _, _ in positions], dtype=np.int64).view(np.uint64)
+    shift = np.uint64(64 - FILTER_BITS)
     phrases = [(label, _grams(w, len(w))[0], len(w)) for (_, label), w in zip(PHRASES, _hashes([p for p, _ in PHRASES]), strict=True)]
     schema = SCANNED.format(id=id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = np.zeros(1 << FILTER_BITS, dtype=bool)
+        maybe[mix(grams) >> shift] = True
         for batch in batches:
             for block in blocks(batch.column("text"), ALNUM):
                 words, n = block.hashes(), len(block)
@@ -119,44 +99,42 @@ def scan_words(docs: DataFrame, id_type: str) -> DataFrame:
                         if p + size <= block.hi[d]:
                             found[d].append((p - int(block.lo[d]), label))
                 h = _grams(words, K)
-                at = np.flatnonzero(maybe[h & np.uint64(0xFFFF)])
-                at = at[np.isin(h[at], grams)]
+                at = np.flatnonzero(maybe[mix(h) >> shift])
                 doc = np.searchsorted(block.hi, at, side="right")
                 inside = at + K <= block.hi[doc]
                 at, doc = at[inside], doc[inside]
                 hits: list[list[dict]] = [[] for _ in range(n)]
-                windows: list[list[dict]] = [[] for _ in range(n)]
                 for d in np.unique(doc).tolist():
                     own = at[doc == d] - block.lo[d]
-                    text = words[block.lo[d] : block.hi[d]]
                     hits[d] = [{"position": p, "gram": g} for p, g in zip(own.tolist(), h[own + block.lo[d]].view(np.int64).tolist(), strict=True)]
-                    windows[d] = _windows(text, own, reach)
                 places = [sorted(p for p, _ in f) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(block.first, n),
+                        batch.column("text_key").slice(block.first, n),
                         pa.array(block.hi - block.lo),
                         pa.array([len(p) for p in places], pa.int64()),
                         pa.array([p[0] if p else None for p in places], pa.int64()),
                         pa.array([p[-1] if p else None for p in places], pa.int64()),
                         pa.array([",".join(sorted({label for _, label in f})) for f in found], pa.string()),
                         pa.array(hits, pa.list_(pa.struct([("position", pa.int64()), ("gram", pa.int64())]))),
-                        pa.array(windows, pa.list_(pa.struct([("start", pa.int64()), ("words", pa.list_(pa.int64()))]))),
                     ],
-                    names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "hits", "windows"],
+                    names=["id", "text_key", "n_words", "n_base", "first_word", "last_word", "base_labels", "hits"],
                 )
 
     return docs.mapInArrow(run, schema)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence: a row of the table is the bits of one integer."""
+    places: dict[int, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        both = row & places.get(y, 0)
+        row = (row + both | row - both) & full
+    return len(a) - row.bit_count()
 
 
 def _agreement(template: list[int], words: list[int]) -> int:
@@ -170,57 +148,69 @@ def _agreement(template: list[int], words: list[int]) -> int:
 
 
 def _spans(scanned: DataFrame) -> DataFrame:
-    """``row, template, start, end`` (document words) of merged diagonals, before verification."""
-    _, positions = template_positions()
-    spark = scanned.sparkSession
-    table = spark.createDataFrame(positions, "gram long, template int, place long")
-    hits = scanned.filter("size(hits) > 0").select("row", F.inline("hits"))
+    """``text_key, template, start, end`` (document words) of merged diagonals with enough votes."""
+    templates, positions = template_positions()
+    table = scanned.sparkSession.createDataFrame(positions, "gram long, template int, place long")
+    least = F.element_at(F.array(*[F.lit(-(-(len(w) - K + 1) // VOTES_ONE_IN)) for w in templates]), F.col("template") + 1)
+    one_each = scanned.filter("size(hits) > 0").select("text_key", "hits").dropDuplicates(["text_key"])
     votes = (
-        hits.join(F.broadcast(table), "gram")  # a row per word of the templates above
-        .groupBy("row", "template", (F.col("position") - F.col("place")).alias("diagonal"))
+        one_each.select("text_key", F.inline("hits"))
+        .join(F.broadcast(table), "gram")  # a row per word of the templates above
+        .groupBy("text_key", "template", (F.col("position") - F.col("place")).alias("diagonal"))
         .agg(F.count(F.lit(1)).alias("votes"), F.min("position").alias("low"), F.max("position").alias("high"))
     )
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
+    order = Window.partitionBy("text_key", "template").orderBy("diagonal")
     fresh_span = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOURS, F.lit(True))
     return (
         votes.withColumn("new", fresh_span.cast("int"))
         .withColumn("span", F.sum("new").over(order))
-        .groupBy("row", "template", "span")
+        .groupBy("text_key", "template", "span")
         .agg(F.min("low").alias("start"), (F.max("high") + K).alias("end"), F.sum("votes").alias("votes"))
+        .filter(F.col("votes") >= least)
     )
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document ``id_col, n_words, n_base, first_word, last_word, base_labels, labels, score``."""
-    rows = pick(docs, id=id_col, text=text_col)
-    id_type = rows.schema["id"].dataType.simpleString()
-    scanned = written(scan_words(rows, id_type).withColumn("row", F.monotonically_increasing_id()), "license-hits")
-    proposed = _spans(scanned).groupBy("row").agg(F.collect_list(F.struct("template", "start", "end")).alias("spans"))
-    with_words = proposed.join(scanned.filter("size(hits) > 0").select("row", "windows"), "row")
+def verified_spans(texts: DataFrame) -> DataFrame:
+    """``text_key, label, share`` of ``texts(text_key, text, spans)``: the templates that the words around spans hold."""
     templates = [w.view(np.int64).tolist() for w in template_positions()[0]]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
-            for row, spans, windows in zip(*(batch.column(c).to_pylist() for c in ("row", "spans", "windows")), strict=True):
-                for span in spans:
-                    words = templates[span["template"]]
-                    around = next(w for w in windows if w["start"] <= span["start"] < w["start"] + len(w["words"]))
-                    a = max(0, span["start"] - around["start"] - len(words))
-                    b = span["end"] - around["start"] + len(words)
-                    common = _agreement(words, around["words"][a:b])
-                    if len(words) - common <= len(words) // ONE_IN:
-                        for column, value in zip(out, (row, TEMPLATES[span["template"]][0], common / len(words)), strict=True):
-                            column.append(value)
+            keys, spans = batch.column("text_key").to_pylist(), batch.column("spans").to_pylist()
+            for block in blocks(batch.column("text"), ALNUM):
+                words = block.hashes().view(np.int64)
+                for d, (lo, hi) in enumerate(zip(block.lo.tolist(), block.hi.tolist(), strict=True), block.first):
+                    for span in spans[d]:
+                        template = templates[span["template"]]
+                        n = len(template)
+                        around = words[max(lo, lo + span["start"] - n) : min(hi, lo + span["end"] + n)].tolist()
+                        common = _agreement(template, around)
+                        if n - common <= n // ONE_IN:
+                            for column, value in zip(out, (keys[d], TEMPLATES[span["template"]][0], common / n), strict=True):
+                                column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())],
-                names=["row", "label", "share"],
+                names=["text_key", "label", "share"],
             )
 
-    verified = with_words.select("row", "spans", "windows").mapInArrow(verify, "row long, label string, share double")
-    found = verified.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    return texts.select("text_key", "text", "spans").mapInArrow(verify, "text_key long, label string, share double")
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document ``id_col, n_words, n_base, first_word, last_word, base_labels, labels, score``."""
+    rows = pick(docs, id=id_col, text=text_col).withColumn("text_key", F.xxhash64("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    scanned = written(scan_words(rows, id_type), "license-hits")
+    spans = _spans(scanned).groupBy("text_key").agg(F.collect_list(F.struct("template", "start", "end")).alias("spans"))
+    proposed = written(spans, "license-spans")
+    # every copy of a text is verified where it lies; their equal results merge below
+    verified = verified_spans(rows.join(proposed, "text_key"))
+    found = written(
+        verified.groupBy("text_key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share")), "license-labels"
+    )
     base = "filter(split(base_labels, ','), x -> x <> '')"
-    return scanned.join(found, "row", "left").select(
+    return scanned.join(found, "text_key", "left").select(
         F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels",
         F.expr(f"array_join(array_sort(array_union({base}, coalesce(more, array()))), ',')").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),

@@ -421,6 +421,62 @@ def test_licenses(spark, odd):
     assert licenses.common_subsequence([1, 2, 3, 4], [0, 1, 3, 9, 4]) == 3
 
 
+def plain_labels(text):
+    """Labels of templates that a text holds, by the classic table over every stretch of words."""
+    def tokens(s):
+        return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), s))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    words, out = tokens(text), set()
+    for label, template in licenses.TEMPLATES:
+        t = tokens(template)
+        starts = range(0, max(1, len(words) - len(t)), max(1, len(t) // 4))
+        if any(len(t) - common(t, words[s : s + len(t) + len(t) // 4 + 1]) <= len(t) // licenses.ONE_IN for s in starts):
+            out.add(label)
+    flat = " " + " ".join(words) + " "
+    return ",".join(sorted(out | {label for phrase, label in licenses.PHRASES if f" {phrase} " in flat}))
+
+
+def test_whole_licenses_against_plain_search(spark):
+    rng = random.Random(21)
+    texts = []
+    for _, whole in licenses.WHOLE:
+        words = whole.split()
+        texts.append(" ".join(words))
+        changed = list(words)
+        for k in rng.sample(range(len(words)), len(words) // 20):  # one word in twenty is another
+            changed[k] = f"other{k}"
+        texts.append(f"{prose(rng, 40)} {' '.join(changed)} {prose(rng, 40)}")
+        gap = len(words) // 2  # six words more in the middle
+        texts.append(" ".join(words[:gap]) + f" {prose(rng, 6)} " + " ".join(words[gap:]))
+        texts.append(" ".join(words[len(words) // 3 : len(words) // 2]))  # a fragment
+        texts.append(" ".join(rng.sample(words, len(words))))  # the words, not their order
+    texts += [texts[1]] * 3 + [None]
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, list(enumerate(texts)))).collect()}
+    assert {k: r.labels for k, r in got.items()} == {k: plain_labels(t or "") for k, t in enumerate(texts)}
+    for k, (label, _) in enumerate(licenses.WHOLE):
+        assert all(label in got[5 * k + j].labels.split(",") for j in range(3))
+        assert "mit" not in got[5 * k + 4].labels
+
+
+def test_license_filter_lets_the_join_decide(spark, monkeypatch):
+    """With a filter of one bit nearly every window reaches the join; results stay."""
+    rng = random.Random(22)
+    texts = [prose(rng, 60), f"{prose(rng, 30)} {licenses.WHOLE[0][1]}", "of the software in the software", ""]
+    frame = documents(spark, list(enumerate(texts)))
+    expected = sorted(licenses.scan_licenses(frame).collect())
+    monkeypatch.setattr(licenses, "FILTER_BITS", 1)
+    assert sorted(licenses.scan_licenses(frame).collect()) == expected
+    assert [r.labels for r in expected] == ["", "mit", "", ""]
+
+
 def test_alnum_words():
     text = "A-b_c 9É\x7f~z"
     block = next(blocks(pa.array([text]), ALNUM))
