@@ -3,14 +3,16 @@
 One Python pass makes a signature per document: the minima of ``BANDS * ROWS`` hash
 functions over its word shingles, kept as band hashes and as packed low bits of every
 minimum. Texts with the same shingle set form one class, so exact copies never meet each
-other. Classes that share a band are candidates: each bucket links its classes to the
-bucket's smallest one, and the components of these links are the candidate clusters.
+other. Classes that share a band are candidates: inside a bucket their packed signatures
+estimate the similarity by bit counts, corrected for chance collisions of low bits, and pairs
+whose estimate may reach the threshold are joined, each only where it joins something new.
+The components of these links are the candidate clusters, so chance meetings in a band do not
+make clusters grow with the corpus. No text is moved for this step.
 
 Clusters are compared in tiles: the classes of a cluster are dealt to groups of bounded
-size, and each pair of groups is one task group. There the packed signatures estimate the
-similarity of all pairs by bit counts, corrected for chance collisions of low bits; pairs
-whose estimate may reach the threshold are confirmed on their full shingle sets. A tile
-returns only links that join something new, never all pairs of a group.
+size, and each pair of groups is one task group. There pairs whose estimate may reach the
+threshold are confirmed on their full shingle sets. A tile returns only links that join
+something new, never all pairs of a group.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; a text with
 fewer words than a shingle is one shingle. A row with a null id is linked with nothing, has
@@ -38,6 +40,8 @@ SIGNATURE_WORDS = -(-HASHES * BITS // 64)
 #: Estimates this many standard deviations below the threshold are still confirmed.
 SLACK = 5.0
 TILE_CLASSES, TILE_SHINGLES = 256, 400_000
+#: Classes of one band bucket whose signatures are compared at once.
+BUCKET_TILE = 1024
 
 _FACTORS = (random_words(HASHES, 11) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _MASKS = (random_words(HASHES, 12) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -139,14 +143,74 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, SIGNATURES)
 
 
-def _candidate_clusters(classes: DataFrame) -> DataFrame:
-    """``node, component`` of classes that share a band with another, by links to bucket leaders."""
+def likely_links(group: np.ndarray, sizes: np.ndarray, packed: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``x, y`` of one group whose signatures allow a link; rows of a group stand together.
+
+    Only pairs that join something new are returned: every row stays linked to the row that its
+    label names, and pairs of equal labels are left out.
+    """
+    label = np.arange(len(group))
+    least = least_agreement(percent / 100)
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    x = np.arange(len(group))
+    for step in range(1, len(group)):
+        x = x[x + step < len(group)]
+        x = x[group[x] == group[x + step]]  # the longer groups
+        if not len(x):
+            break
+        a = x[label[x] != label[x + step]]
+        a = a[100 * np.minimum(sizes[a], sizes[a + step]) >= percent * np.maximum(sizes[a], sizes[a + step])]
+        a = a[agreeing(packed[a], packed[a + step]) >= least]
+        if len(a):
+            xs.append(a)
+            ys.append(a + step)
+            label[a + step] = label[a]
+            while (label[label] != label).any():
+                label = label[label]
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _bucket_links(grouped: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of ``grouped(place, node, n_shingles, packed)``: likely links within equal places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, SIGNATURE_WORDS), np.uint64)]
+
+        def links(part: list[np.ndarray]) -> pa.RecordBatch:
+            x, y = likely_links(part[0], part[2], part[3], percent)
+            return pa.RecordBatch.from_arrays([pa.array(part[1][x]), pa.array(part[1][y])], names=["a", "b"])
+
+        for batch in batches:
+            place, node, size = (batch.column(c).to_numpy() for c in ("place", "node", "n_shingles"))
+            packed = batch.column("packed").flatten().to_numpy().view(np.uint64).reshape(-1, SIGNATURE_WORDS)
+            held = [np.concatenate(c) for c in zip(held, (place, node, size, packed), strict=True)]
+            # the last place may go on in the next batch
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if whole:
+                yield links([c[:whole] for c in held])
+                held = [c[whole:] for c in held]
+        yield links(held)
+
+    return grouped.select("place", "node", "n_shingles", "packed").mapInArrow(run, "a long, b long")
+
+
+def _candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` of classes joined by pairs that share a band and whose signatures allow a link.
+
+    A bucket of more classes than ``BUCKET_TILE`` is dealt to tiles that meet pair by pair.
+    """
     banded = classes.select("node", F.posexplode("bands").alias("band", "hash")).select(
         "node", F.xxhash64("band", "hash").alias("bucket")
     )
-    leaders = banded.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most")
-    links = banded.withColumnRenamed("node", "a").join(leaders.drop("most"), "bucket").filter("a > b")
-    return components(links.select("a", "b"), "near-candidates")
+    shared = banded.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_TILE).cast("int").alias("n_tiles"), F.count(F.lit(1)).alias("n"))
+    tiled = (
+        banded.join(shared.filter("n > 1").drop("n"), "bucket")
+        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n_tiles")).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, n_tiles - 1)")))
+        .select("node", F.xxhash64("bucket", F.least("tile", "other"), F.greatest("tile", "other")).alias("place"))
+    )
+    grouped = tiled.join(classes.select("node", "n_shingles", "packed"), "node").repartition("place").sortWithinPartitions("place")
+    return components(_bucket_links(grouped, percent), "near-candidates")
 
 
 class _Sets:
@@ -233,7 +297,7 @@ def _grouped(rows: DataFrame, percent: int, shingle: int) -> DataFrame:
         ),
         "near-classes",
     )
-    clusters = _candidate_clusters(classes)
+    clusters = _candidate_clusters(classes, percent)
     candidates = classes.join(clusters.withColumnRenamed("component", "cluster"), "node").select(
         "node", "cluster", "n_shingles", "packed", "least.id", "least.text_key"
     )

@@ -164,6 +164,50 @@ def test_estimates_follow_similarity():
     assert agree >= near_dup.least_agreement(0.8)
 
 
+def test_likely_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(23)
+    pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    sets, group = [], []
+    for g in range(12):
+        base = pool[rng.integers(0, 3000) :][:300]
+        for k in range(int(rng.integers(1, 15))):
+            sets.append(np.unique(np.concatenate([base[: 300 - 25 * (k % 6)], rng.integers(0, 2**63, 10 * (k % 4)).astype(np.uint64)])))
+            group.append(g)
+    sizes, packed = np.array([len(s) for s in sets]), np.stack([near_dup.signature(s)[1] for s in sets])
+    x, y = near_dup.likely_links(np.array(group), sizes, packed, 80)
+    least, pairs = near_dup.least_agreement(0.8), []
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            fits = 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j]) and near_dup.agreeing(packed[i], packed[j]) >= least
+            if group[i] == group[j] and fits:
+                pairs.append((i, j))
+
+    def parts(links):
+        sets_of = near_dup._Sets(len(sets))
+        for a, b in links:
+            sets_of.join(a, b)
+        return [frozenset(k for k in range(len(sets)) if sets_of.root(k) == sets_of.root(i)) for i in range(len(sets))]
+
+    found = list(zip(x.tolist(), y.tolist(), strict=True))
+    assert set(found) <= set(pairs) and parts(found) == parts(pairs) and len(found) < len(pairs)
+
+
+def test_one_bucket_in_many_tiles(spark, monkeypatch):
+    """Near copies that share most bands, with buckets and clusters cut into tiny tiles."""
+    rng = random.Random(24)
+    base, rows = prose(rng, 120).split(), []
+    for i in range(60):
+        text = list(base)
+        for k in range(rng.randrange(6)):
+            text[rng.randrange(120)] = f"w{i}x{k}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, prose(rng, 40)) for i in range(20)]
+    monkeypatch.setattr(near_dup, "BUCKET_TILE", 4)
+    monkeypatch.setattr(near_dup, "TILE_CLASSES", 8)
+    got = near_dup.near_duplicates(documents(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows)[1]
+
+
 def test_near_duplicates_defined_cases(spark, odd):
     rows = near_dup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
