@@ -154,6 +154,30 @@ _mode_query(
 )
 
 
+# --- settings as read from a configuration file --------------------------------
+# names in any case, comma strings, blanks, aliases; the call's mode replaces the mapping's
+_MAPPING = {
+    "document_sanitization": {
+        "mode": "off",
+        "confidence_threshold": "0.9",
+        "enable": "email, iban ,name,phone,",
+        "disable": ["Phone "],
+        "rules": [{"name": "call sign", "pattern": "call(?=; )|IC "}],
+    }
+}
+
+
+@query(
+    "config_mapping",
+    f"""SELECT doc_id, concat('[CALL SIGN]', mykad, '; mail [EMAIL_001] and [EMAIL_001]; call ', phone, '; card ', card, '; pay ',
+        CASE WHEN iban_ok THEN '[IBAN_001]' ELSE iban END, '; from ', CASE WHEN {o.NAME_OK} THEN '[NAME_001]' ELSE person END) AS content,
+        cast(3 + CASE WHEN iban_ok THEN 1 ELSE 0 END + CASE WHEN {o.NAME_OK} THEN 1 ELSE 0 END as bigint) AS detection_count
+        FROM {o.PII} q""",
+)
+def config_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _content(sanitize_table(corpus(spark, sf_dir, "pii"), config=_MAPPING, mode="pii"), "doc_id")
+
+
 # --- one query per detector ---------------------------------------------------
 def _detector_query(name: str, source: str, category: str, oracle: str) -> None:
     @query(name, oracle)
