@@ -144,30 +144,38 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def likely_links(group: np.ndarray, sizes: np.ndarray, packed: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows ``x, y`` of one group whose signatures allow a link; rows of a group stand together.
+    """Rows ``x, y`` of one group whose signatures allow a link; groups are sorted.
 
     Only pairs that join something new are returned: every row stays linked to the row that its
     label names, and pairs of equal labels are left out.
     """
     label = np.arange(len(group))
     least = least_agreement(percent / 100)
-    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    xs, ys = [], []
+
+    def join(x: np.ndarray, y: np.ndarray) -> None:
+        new = label[x] != label[y]
+        x, y = x[new], y[new]
+        fits = 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
+        x, y = x[fits], y[fits]
+        near = agreeing(packed[x], packed[y]) >= least
+        xs.append(x[near])
+        ys.append(y[near])
+        label[y[near]] = label[x[near]]
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+    # first with the first row of the group, so that a group of near copies becomes a star
     x = np.arange(len(group))
+    first = np.searchsorted(group, group)
+    join(first[first < x], x[first < x])
     for step in range(1, len(group)):
         x = x[x + step < len(group)]
         x = x[group[x] == group[x + step]]  # the longer groups
         if not len(x):
             break
-        a = x[label[x] != label[x + step]]
-        a = a[100 * np.minimum(sizes[a], sizes[a + step]) >= percent * np.maximum(sizes[a], sizes[a + step])]
-        a = a[agreeing(packed[a], packed[a + step]) >= least]
-        if len(a):
-            xs.append(a)
-            ys.append(a + step)
-            label[a + step] = label[a]
-            while (label[label] != label).any():
-                label = label[label]
-    return np.concatenate(xs), np.concatenate(ys)
+        join(x, x + step)
+    return np.concatenate([np.zeros(0, np.int64), *xs]), np.concatenate([np.zeros(0, np.int64), *ys])
 
 
 def _bucket_links(grouped: DataFrame, percent: int) -> DataFrame:
@@ -209,7 +217,7 @@ def _candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
         .withColumn("other", F.explode(F.expr("sequence(0, n_tiles - 1)")))
         .select("node", F.xxhash64("bucket", F.least("tile", "other"), F.greatest("tile", "other")).alias("place"))
     )
-    grouped = tiled.join(classes.select("node", "n_shingles", "packed"), "node").repartition("place").sortWithinPartitions("place")
+    grouped = tiled.join(classes.select("node", "n_shingles", "packed"), "node").repartition("place").sortWithinPartitions("place", "node")
     return components(_bucket_links(grouped, percent), "near-candidates")
 
 
