@@ -1330,14 +1330,15 @@ def session_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_sanitize", ORACLES["sanitize_documents"])
 def stream_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as a stream into a parquet sink, read back."""
+    """The documents, a file or a folder of files, as a stream into a parquet sink, read back."""
     schema = table(spark, sf_dir, "documents").schema
-    stream = read_document_stream(spark, sf_dir, schema, "documents.parquet")
+    stream = read_document_stream(spark, f"{sf_dir}/documents.parquet", schema, "*")
     sink = scratch_path(spark, "stream-sink")
     sanitize_stream(
         stream.select("doc_id", "text"), sink, scratch_path(spark, "stream-checkpoint"), mode="pii"
     ).awaitTermination()
-    return _content(spark.read.parquet(sink), "doc_id")
+    done = T.StructType([schema["doc_id"], T.StructField("content", T.StringType()), T.StructField("detection_count", T.IntegerType())])
+    return _content(spark.read.schema(done).parquet(sink), "doc_id")
 
 
 @query("stream_sessions", ORACLES["sanitize_conversations"])

@@ -11,6 +11,7 @@ written results, so the detectors run once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ from hushlake.operators import report
 from hushlake.operators.redact import Settings, sanitize_table
 from hushlake.sources.files import sanitize_file_rows
 
+#: characters with a meaning in a pattern of file names
+_GLOB = re.compile(r"[\\*?\[\]{},^]")
 FILE_ROWS = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -31,7 +34,11 @@ def read_document_stream(
     file_glob: str = "*.parquet",
     files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Parquet files below ``path`` whose name matches ``file_glob``, as a stream."""
+    """Parquet files below ``path`` whose name matches ``file_glob``, as a stream. A path that names
+    one file is that file."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isFile(where):
+        path, file_glob = where.getParent().toString(), _GLOB.sub(r"\\\g<0>", where.getName())
     reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)

@@ -432,6 +432,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want and any("[EMAIL_001]" in v for v in got.values())
 
 
+@pytest.mark.parametrize("folder", [True, False])
+def test_stream_reads_a_table_of_one_or_many_files(spark, tmp_path, folder):
+    from hushlake.plans.queries import QUERIES
+
+    rows = [(n, f"to a{n}@b.com") for n in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3 if folder else 1)
+    docs.write.parquet(str(tmp_path / "other.parquet"))
+    if folder:
+        docs.write.parquet(str(tmp_path / "documents.parquet"))
+    else:
+        next((tmp_path / "other.parquet").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    got = QUERIES["stream_sanitize"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.content) for r in got) == [(n, "to [EMAIL_001]") for n in range(6)]
+
+
 def test_sql_functions(spark):
     from hushlake.functions.validators import register_sql_functions
 
