@@ -201,6 +201,44 @@ def test_yaml_anchors_are_shared(spark):
     assert row.warnings == [] and tree["r29"] == tree["base"] and tree["base"]["k39"] == "v39 [EMAIL_040]"
 
 
+def test_plain_yaml_is_read_and_written_as_by_python():
+    from hushlake.sources import structured
+
+    parts = ["a", "x@y.com", "1", "1.50", "true", "~", "2020-01-01", ": ", ":", ":\n", "- ", "-", "\n", "\n  ", "\n    ", " ", "'", "''", '"',
+             "\\x41", "#", " # c", "---\n", "...\n", ",", "key", "<<: ", "1_000", "12:30", "\n- ", "\n  - ", "k: v\n", "k: 'v'\n", "long " * 30]
+    rnd = random.Random(3)
+    values = ["[EMAIL_001]", "x [CARD_002], y", "", "plain", "1", "yes", "a: b", "{x}", "%", "two\nlines", "\u00e9", "w " * 60]
+
+    def with_python(text, visit):
+        tree = structured._rewrite_tree(yaml.load(text, Loader=yaml.SafeLoader), visit)
+        return yaml.dump(tree, Dumper=yaml.SafeDumper, sort_keys=False, allow_unicode=True)
+
+    def outcome(run, text):
+        try:
+            return run(text, lambda path, kind, value: values[len(value) % len(values)])
+        except Exception:
+            return "error"
+
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14))) for _ in range(3000)]
+    assert sum(map(structured._plain_yaml, texts)) > 2000
+    for text in [*texts, "a: &x [1]\nb: *x\n", "- " * 300 + "a\n", "just text\n", "'': a\nb: c\n"]:
+        assert outcome(lambda t, v: structured.rewrite("yaml", t, v), text) == outcome(with_python, text), text
+
+
+def test_plain_yaml_is_fast():
+    from hushlake.sources import structured
+
+    text = "mail: user1@building.example.com\nid: 5\nmore:\n- other5@example.org\n- plain\n"
+    start = time.process_time()
+    for _ in range(300):
+        structured.rewrite("yaml", text, lambda path, kind, value: "[EMAIL_001]")
+    ours = time.process_time() - start
+    start = time.process_time()
+    for _ in range(300):
+        yaml.dump(yaml.load(text, Loader=yaml.SafeLoader), Dumper=yaml.SafeDumper)
+    assert ours < 0.6 * (time.process_time() - start)
+
+
 def test_sessions_fail_closed_on_null_keys(spark):
     rows = [(None, 1, "x a@b.com"), ("s", None, "y a@b.com"), (None, None, "z"), ("s", 2, "c@d.com a@b.com")]
     df = spark.createDataFrame(rows, "s string, t int, text string")
