@@ -149,18 +149,30 @@ def office_files(ext: Column, texts: Column) -> Column:
     return F.arrow_udf(build, "binary")(ext, texts)
 
 
-def _workbook(numbers: list[int], mails: list[str]) -> bytes:
+#: rows of a workbook that are written at a time
+ROWS = 10_000
+
+
+def _workbook(numbers: pa.Array, mails: pa.Array) -> bytes:
     """A sheet with a row per number: an address from the shared strings, a formula, an index that
     names nothing; a second sheet whose cell names the last string from the end."""
     s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     made = io.BytesIO()
     with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as archive:
-        archive.writestr("xl/sharedStrings.xml", f"<sst {s}>" + "".join(f"<si><t>{m}</t></si>" for m in mails) + "</sst>")
-        rows = "".join(
-            f'<row><c r="A{n}" t="s"><v>{i}</v></c><c r="B{n}"><f>SUM(C1)</f></c><c t="s"><v>99999999</v></c></row><row/>'
-            for i, n in enumerate(numbers)
-        )
-        archive.writestr("xl/worksheets/sheet1.xml", f"<worksheet {s}><sheetData>{rows}</sheetData></worksheet>")
+        with archive.open("xl/sharedStrings.xml", "w", force_zip64=True) as part:
+            part.write(f"<sst {s}>".encode())
+            for at in range(0, len(mails), ROWS):
+                part.write("".join(f"<si><t>{m}</t></si>" for m in mails.slice(at, ROWS).to_pylist()).encode())
+            part.write(b"</sst>")
+        with archive.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as part:
+            part.write(f"<worksheet {s}><sheetData>".encode())
+            for at in range(0, len(numbers), ROWS):
+                rows = "".join(
+                    f'<row><c r="A{n}" t="s"><v>{i}</v></c><c r="B{n}"><f>SUM(C1)</f></c><c t="s"><v>99999999</v></c></row><row/>'
+                    for i, n in enumerate(numbers.slice(at, ROWS).to_pylist(), at)
+                )
+                part.write(rows.encode())
+            part.write(b"</sheetData></worksheet>")
         last = '<row><c r="A1" t="s"><v>-1</v></c></row>'
         archive.writestr("xl/worksheets/sheet2.xml", f"<worksheet {s}><sheetData>{last}</sheetData></worksheet>")
     return made.getvalue()
@@ -170,7 +182,6 @@ def workbooks(numbers: Column, mails: Column) -> Column:
     """The bytes of a workbook for arrays of numbers and addresses."""
 
     def build(numbers: pa.Array, mails: pa.Array) -> pa.Array:
-        rows = zip(numbers.to_pylist(), mails.to_pylist(), strict=True)
-        return pa.array([_workbook(n, m) for n, m in rows], pa.binary())
+        return pa.array([_workbook(numbers[k].values, mails[k].values) for k in range(len(numbers))], pa.binary())
 
     return F.arrow_udf(build, "binary")(numbers, mails)

@@ -23,7 +23,7 @@ from hushlake.operators.admission import (
 )
 from hushlake.operators.redact import Settings, no_detections, result_columns
 from hushlake.operators.structured import redact_documents
-from hushlake.sources.listing import list_tree
+from hushlake.sources.listing import list_tree, read_listed, tasks_read
 from hushlake.sources.office import docx_parts, docx_text, docx_warnings, xlsx_parts, xlsx_text
 
 
@@ -154,18 +154,23 @@ def sanitize_files(
 
     The tree is listed by tasks into a table. Files that cannot be processed come from that
     table and are reported without being read; empty files give empty results; hidden files,
-    which Spark does not open, give a row that fails closed. The others are read once, in two
-    scans: plain texts never meet Python.
+    which Spark does not open, give a row that fails closed. The others are opened once, by the
+    tasks that redact them, from the table; plain texts meet no other Python step. Stores that only
+    Hadoop's client opens are read by Spark's source instead.
     """
     cfg = SanitizeConfig.resolve(config, mode)
     listing = list_tree(spark, path)
+    near = tasks_read(spark, path)
     hidden = _hidden_rows(listing.where("hidden and length > 0"), cfg)
     empty = listing.where("length = 0").select("path", "length", F.lit(b"").alias("content"))
+    shown = listing.where("not hidden and length > 0")
+    # overlapping paths name a file more than once
+    once = shown if isinstance(path, str) else shown.dropDuplicates(["path"])
     if cfg.mode == "off":
-        everything = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        everything = read_listed(once) if near else spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         rows = everything.select("path", "length", "content").unionByName(empty)
         return sanitize_file_rows(rows, config=cfg).unionByName(hidden)
-    admitted = admit(listing.where("not hidden and length > 0"), cfg)
+    admitted = admit(shown, cfg)
     textless = F.col("ext").isin(*PDF_EXTENSIONS, *IMAGE_EXTENSIONS)
     unread = admitted.where(F.col("error").isNotNull() | textless).select(
         "path", "length", F.lit(None).cast("binary").alias("content")
@@ -174,6 +179,8 @@ def sanitize_files(
     parsed_empty = doc_extension(file_name(F.col("path"))).isin(*parsed)
 
     def read(extensions: tuple[str, ...]) -> DataFrame:
+        if near:
+            return read_listed(admit(once, cfg).where(F.col("error").isNull() & F.col("ext").isin(*extensions)))
         return read_admissible(spark, path, cfg, extensions).select("path", "length", "content")
 
     plain = unread.unionByName(empty.where(~parsed_empty)).unionByName(read(PLAIN_EXTENSIONS))

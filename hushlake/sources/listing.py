@@ -8,7 +8,9 @@ folder at a time, in batches of bounded size that are written as they fill.
 
 from __future__ import annotations
 
+import os
 import re
+import stat
 import sys
 import uuid
 from collections.abc import Iterator
@@ -29,6 +31,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: rows that a folder's listing, or the driver's walk, holds at a time
 BATCH = 10_000
+#: files and bytes of them that a task opens in all, and that it holds at a time
+TASK_FILES, TASK_BYTES = 20_000, 1 << 28
+HELD_FILES, HELD_BYTES = 1_000, 1 << 23
 ENTRY = "path string, is_folder boolean, length long, modificationTime timestamp, hidden boolean"
 _PARTS = re.compile(r"(?:([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?)?(.*)", re.DOTALL)
 
@@ -58,13 +63,28 @@ def _reachable(path: str) -> bool:
         return False
 
 
+def _local_entries(folder: str) -> Iterator[tuple[str, bool, int | None, int | None]]:
+    """Name, whether it is a folder, size and time of what a local folder holds, one at a time."""
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            try:
+                found = entry.stat()
+                yield entry.name, stat.S_ISDIR(found.st_mode), found.st_size, found.st_mtime_ns
+            except FileNotFoundError:  # a link to nothing
+                yield entry.name, False, None, None
+
+
 def _entries(folder: str, hidden: bool) -> Iterator[tuple]:
     store, inner = opened(folder)
-    for found in store.get_file_info(fs.FileSelector(inner)):
-        is_folder = found.type == fs.FileType.Directory
+    if isinstance(store, fs.LocalFileSystem):
+        found = _local_entries(inner)
+    else:
+        infos = store.get_file_info(fs.FileSelector(inner))
+        found = ((f.base_name, f.type == fs.FileType.Directory, f.size, f.mtime_ns) for f in infos)
+    for name, is_folder, size, when in found:
         yield (
-            f"{folder.rstrip('/')}/{found.base_name}", is_folder, 0 if is_folder else found.size,
-            (found.mtime_ns or 0) // 1_000_000 * 1000, hidden or hidden_name(found.base_name),
+            f"{folder.rstrip('/')}/{name}", is_folder, 0 if is_folder else size,
+            (when or 0) // 1_000_000 * 1000, hidden or hidden_name(name),
         )
 
 
@@ -104,6 +124,11 @@ def _roots(spark: SparkSession, path: str | list[str]) -> list[tuple]:
     return found
 
 
+def tasks_read(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether tasks can list and open all that a path names."""
+    return all(_reachable(root[0]) for root in _roots(spark, path))
+
+
 def _walked(spark: SparkSession, folders: list[tuple[str, bool]]) -> DataFrame:
     """The files below some folders, by the driver: it holds open folders and one batch."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -153,6 +178,38 @@ def list_tree(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.select("path", "length", "modificationTime", "hidden")
 
 
+def read_listed(files: DataFrame) -> DataFrame:
+    """``path, length, content`` of listed files ``(path, length)``, opened by tasks.
+
+    No names pass through the driver, and a task holds one file, or a few small ones, at a time.
+    """
+    spark = files.sparkSession
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism), n // TASK_FILES, size // TASK_BYTES)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        types = (pa.string(), pa.int64(), pa.large_binary())
+        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays[:2], arrays[2].cast(pa.binary())], names=["path", "length", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                store, inner = opened(path)
+                with store.open_input_stream(inner, compression=None) as file:
+                    rows.append((path, length, file.read()))
+                held += length
+                if held >= HELD_BYTES or len(rows) == HELD_FILES:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        yield batch_of(rows)
+
+    return files.select("path", "length").repartition(tasks).mapInArrow(run, "path string, length long, content binary")
+
+
 def write_files(files: DataFrame, root: str, path: str = "path", content: str = "content") -> DataFrame:
     """Write every row as a file of its own: ``path`` below ``root``, and the bytes of ``content``.
 
@@ -163,6 +220,7 @@ def write_files(files: DataFrame, root: str, path: str = "path", content: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = opened(root)
+        made: set[str] = set()
         for batch in batches:
             full, sizes = [], []
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
@@ -170,7 +228,9 @@ def write_files(files: DataFrame, root: str, path: str = "path", content: str =
                     raise ValueError(f"not a path below the root: {name}")
                 target = f"{base.rstrip('/')}/{name.lstrip('/')}"
                 folder = target.rsplit("/", 1)[0]
-                store.create_dir(folder, recursive=True)
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 part = f"{folder}/._COPYING_{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as out:
                     out.write(data or b"")

@@ -21,9 +21,14 @@ from pyspark.sql.types import StructType
 from hushlake.operators import report
 from hushlake.operators.redact import Settings, sanitize_table
 from hushlake.sources.files import sanitize_file_rows
+from hushlake.sources.listing import list_tree, read_listed, tasks_read
+from hushlake.sources.scratch import written
 
 #: characters with a meaning in a pattern of file names
 _GLOB = re.compile(r"[\\*?\[\]{},^]")
+#: names in one part of the listing of a stream
+PART_FILES = 50_000
+LISTED = "path string, modificationTime timestamp, length bigint"
 FILE_ROWS = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -77,6 +82,23 @@ def read_file_stream(spark: SparkSession, path: str, files_per_trigger: int | No
     return reader.load(path)
 
 
+def listed_stream(spark: SparkSession, path: str, listed: str, files_per_trigger: int | None = None) -> DataFrame:
+    """``path, modificationTime, length`` of the files below ``path`` as a stream.
+
+    The tree is listed by tasks, and names that the folder ``listed`` does not hold yet are added to
+    it, in parts of at most ``files_per_trigger``: the driver sees parts, not files.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(listed)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+    names = list_tree(spark, path).where("not hidden and length > 0").select("path", "modificationTime", "length")
+    known = spark.read.schema(LISTED).parquet(listed).select("path")
+    added = written(names.join(known, "path", "left_anti"), "added")
+    if n := added.count():
+        most = files_per_trigger or PART_FILES
+        added.repartition(-(-n // PART_FILES)).write.option("maxRecordsPerFile", most).mode("append").parquet(listed)
+    return read_document_stream(spark, listed, spark.read.schema(LISTED).parquet(listed).schema, files_per_trigger=1 if files_per_trigger else None)
+
+
 def write_batch(results: DataFrame, batch_id: int, root: str, keys: list[str], sink: str = "parquet") -> None:
     """Results and detections of one micro-batch, in a folder each that its id names."""
     spark = results.sparkSession
@@ -121,9 +143,17 @@ def sanitize_file_stream(
     every: str | None = None,
 ) -> StreamingQuery:
     """Redact the files below ``path``, and those that are added, by type: what
-    ``sanitize_file_rows`` gives for them in one batch."""
-    stream = read_file_stream(spark, path, files_per_trigger)
-    return stream_tables(stream, lambda b: sanitize_file_rows(b, mode, config), root, checkpoint, ["path"], every=every)
+    ``sanitize_file_rows`` gives for them in one batch.
+
+    Without ``every`` the files are listed and opened by tasks; their names are kept beside the
+    checkpoint. A run on an interval, and a store that only Hadoop's client opens, use Spark's
+    file source, whose driver holds all names.
+    """
+    if every or not tasks_read(spark, path):
+        stream = read_file_stream(spark, path, files_per_trigger)
+        return stream_tables(stream, lambda b: sanitize_file_rows(b, mode, config), root, checkpoint, ["path"], every=every)
+    names = listed_stream(spark, path, f"{checkpoint.rstrip('/')}/listed", files_per_trigger)
+    return stream_tables(names, lambda b: sanitize_file_rows(read_listed(b), mode, config), root, checkpoint, ["path"])
 
 
 def read_tables(spark: SparkSession, root: str, sink: str = "parquet") -> tuple[DataFrame, DataFrame]:

@@ -547,6 +547,79 @@ def test_tree_is_listed_by_tasks(spark, tmp_path):
     assert listing.list_tree(spark, str(tmp_path / "no_files")).count() == 0
 
 
+def test_workbook_parts_are_not_kept_whole():
+    """What a reader holds does not grow with the rows of a sheet."""
+    import tracemalloc
+
+    from hushlake.sources.workbooks import _read_cells
+
+    def peak(rows):
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as archive:
+            body = "".join(f'<row><c r="A{n}"><v>{n}</v></c></row><row/>' for n in range(rows))
+            archive.writestr("xl/worksheets/sheet1.xml", f"<worksheet {S}><sheetData>{body}</sheetData></worksheet>")
+        del body
+        tracemalloc.start()
+        assert sum(1 for _ in _read_cells(made.getvalue())) == rows + 1
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return held
+
+    peak(10)
+    assert peak(20_000) < 2 * peak(5_000)
+
+
+def test_pieces_hold_little_beside_the_document():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from hushlake.sources.structured import _pieces
+
+    n = 20_000
+    text = "<all>" + "".join(f'<c id="{k}">&lt;a{k}@b.com&gt;</c>tail &amp;' for k in range(n)) + "</all>"
+    for kind, doc in (("xml", text), ("json", json.dumps([{"id": k, "mail": f"to a{k}@b.com"} for k in range(n)]))):
+        columns = pa.array([kind, "json", None]), pa.array([doc, "{", None])
+        tracemalloc.start()
+        out = _pieces(*columns)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert out.is_valid().to_pylist() == [True, False, False]
+        pieces = out[0].as_py()
+        assert len(pieces) == (3 * n if kind == "xml" else n) + 1
+        assert peak < 1000 * n, (kind, peak)
+
+
+def test_files_are_opened_by_tasks(spark, tmp_path):
+    """No scan plans the files of a tree, in a batch or in a stream; contents come as they are."""
+    import gzip
+
+    from hushlake.sources.listing import list_tree, read_listed
+    from hushlake.streaming.redaction import read_tables, sanitize_file_stream
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n in range(30):
+        (folder / f"{n}.txt").write_text(f"to a{n}@b.com")
+    (folder / "x.json.gz").write_bytes(gzip.compress(b"{}"))
+    (folder / "gone.txt").symlink_to(tmp_path / "nothing")
+    listed = list_tree(spark, str(folder)).where("length > 0")
+    got = {os.path.basename(r.path): bytes(r.content) for r in read_listed(listed).collect()}
+    assert len(got) == 31 and got["x.json.gz"] == (folder / "x.json.gz").read_bytes() and got["7.txt"] == b"to a7@b.com"
+    out = sanitize_files(spark, str(folder), mode="pii")
+    assert "binaryFile" not in out._jdf.queryExecution().toString()
+    assert sum(r.content == "to [EMAIL_001]" for r in out.collect()) == 30
+    assert sanitize_files(spark, [str(folder), f"{folder}/3.txt"], mode="pii").where("path like '%/3.txt'").count() == 1
+    (folder / "gone.txt").unlink()
+    for more in (0, 3):
+        for n in range(more):
+            (folder / f"late{n}.txt").write_text("to a@b.com")
+        query = sanitize_file_stream(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "cp"), mode="pii", files_per_trigger=20)
+        query.awaitTermination()
+        assert all("listed" in str(p["sources"]) for p in query.recentProgress)
+        assert read_tables(spark, str(tmp_path / "out"))[0].count() == 31 + more
+
+
 def test_files_written_by_tasks(spark, tmp_path):
     from hushlake.sources.listing import write_files
 
