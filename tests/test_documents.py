@@ -586,6 +586,7 @@ def test_pieces_hold_little_beside_the_document():
         tracemalloc.stop()
         assert out.is_valid().to_pylist() == [True, False, False]
         pieces = out[0].as_py()
+        assert pieces[-1] == dict(pieces[-1], slot=None, path=None, place=len(pieces) - 1)
         assert len(pieces) == (3 * n if kind == "xml" else n) + 1
         assert peak < 1000 * n, (kind, peak)
 
