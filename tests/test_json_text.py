@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hushlake import sanitize_structured
 from hushlake.functions import json_text
+from hushlake.functions.pin import pin
 
 GOOD = [
     "{}", "[]", " [ ] ", '""', "0", "-0", "true", " null\n", "[NaN, -Infinity, 1e5, -2.50E-3]", '{"a": {"b": [{}, [], [[]]]}, "c": "d"}',
@@ -23,6 +24,13 @@ BAD = [
 ]
 
 
+def written(spark, texts):
+    """As ``scanned``, the values found once for each text."""
+    df = pin(spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("s", F.expr(json_text.scan("t"))), "s")
+    df = pin(df.withColumn("v", F.expr(json_text.values("s"))), "v").withColumn("same", F.expr(json_text.render("s", "v")))
+    return sorted(df.collect(), key=lambda r: r.id)
+
+
 def scanned(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     out = df.withColumn("s", F.expr(json_text.scan("t"))).withColumn("same", F.expr(json_text.render("s", json_text.values("s"))))
@@ -83,6 +91,73 @@ def test_random_documents_and_damaged_ones(spark):
             assert json.loads(row.same) == tree
 
 
+def plain_test(text):
+    """Whether a text of brackets, strings without escapes and whole numbers is JSON; by a stack, as Python's reader has none."""
+    tokens = re.findall(r'"[^"]*"|\d+|.', text)
+    after, stack = "value", []
+    for t in tokens:
+        if t in "{[" and after in ("value", "first"):
+            stack.append(t)
+            after = "first" if t == "[" else "first key"
+            continue
+        if t == "," and after == "end" and stack:
+            after = "value" if stack[-1] == "[" else "key"
+        elif t == ":" and after == "colon":
+            after = "value"
+        elif t[0] == '"' and after in ("key", "first key"):
+            after = "colon"
+        elif t in "}]" and after in ("end", "first" if t == "]" else "first key") and stack and stack[-1] + t in ("{}", "[]"):
+            stack.pop()
+            after = "end"
+        elif t not in "{}[],:" and after in ("value", "first"):
+            after = "end"
+        else:
+            return False
+    return after == "end" and not stack
+
+
+def deep_text(rng, levels, branches):
+    """Containers in containers with other members before and after, and chains beside chains."""
+    before, after = [], []
+    for _ in range(levels):
+        side = lambda key: [f'{key}{rng.choice(["1", "[]", "{}", chr(34) + "s" + chr(34)])}' for _ in range(rng.choice([0, 0, 0, 1, 2]))]
+        key = rng.choice(["", '"k":'])
+        left, right = side(key), side(key)
+        if branches and rng.random() < 3 / levels:
+            (left if rng.random() < 0.5 else right).append(key + deep_text(rng, levels, branches - 1))
+        before.append("[{"[bool(key)] + "".join(f"{x}," for x in left) + key)
+        after.append("".join(f",{x}" for x in right) + "]}"[bool(key)])
+    return "".join(before) + rng.choice(["1", "[]", '{"k":[2]}']) + "".join(reversed(after))
+
+
+def test_deep_documents_and_damaged_ones(spark):
+    rng = random.Random(41)
+    texts = [deep_text(rng, rng.choice([3, 40, 899, 900, 901, 902, 3000]), rng.randrange(3)) for _ in range(60)]
+    texts += ["[" * n + "]" * n for n in (899, 900, 901, 902)] + ["[" * 30_000 + x + "]" * 30_000 for x in ("1", "1,2", "{1}", "}", '"k":1', "[],")]
+    for text in texts[:60]:
+        at = rng.randrange(len(text))
+        texts.append(text[:at] + rng.choice(["", '"', ",", "]", "}", "{", "[", ":", "1", "[]", '"k":']) + text[at + rng.randrange(2) :])
+    wrong = 0
+    for row, text in zip(written(spark, texts), texts, strict=True):
+        assert row.s.ok == plain_test(text), text[:300]
+        wrong += not row.s.ok
+        if row.s.ok:
+            depth = most = 0
+            for c in text:
+                depth += (c in "[{") - (c in "]}")
+                most = max(most, depth)
+            assert re.sub(r"\s", "", row.same) == text and ("\n" in row.same) == (0 < most <= json_text.DEEP and text != "[]")
+    assert 30 < wrong < 70
+
+
+def test_tokens_are_no_array_elements(spark):
+    """A document of 1,200,000 tokens is held as a string; what is one array element each is only its strings."""
+    text = '["a",' + "[" * 600_000 + "]" * 600_000 + "]"
+    (row,) = written(spark, [text])
+    assert row.s.ok and row.same == text.replace(",", ", ")
+    assert max(len(v) for v in row.s if isinstance(v, list)) == 1
+
+
 def test_values_are_redacted_and_keys_kept(spark):
     text = '{"a@b.com": "c@d.com", "n": 4111111111111111, "f": 1.50, "l": ["x\\ny@z.org", "c@d.com", {"e": "é \\"q@r.com\\""}]}'
     df = spark.createDataFrame([(1, text), (2, '{"bad": "a@b.com"'), (3, None), (4, "[]")], "path int, t string")
