@@ -390,6 +390,49 @@ def test_site_tree_leaves_marked_articles(spark):
         assert r.text.split("\n\n") == [*shared[:20], f"changed {r.page_id}", *shared[20:]] and r.n_cut == 0
 
 
+def test_site_tree_judges_marked_articles(spark):
+    """A notice within every article is cut, also where others hold it outside; copies of one page are no evidence."""
+    rng = random.Random(53)
+    shared = [prose(rng, 12) for _ in range(20)]
+    notice, want, rows = "<p>Read our terms</p>", {}, []
+
+    def add(host, page, *texts):
+        want[len(rows)] = "\n\n".join(texts)
+        rows.append((len(rows), f"http://{host}.example.org/{len(rows)}", page))
+
+    for k in range(30):
+        a, b = prose(rng, 30), prose(rng, 9)
+        add("marked", f"<article id='post-{k}' class='post'><h1>{b}</h1><p>{a}</p>{notice}</article>", b, a)
+        both = f"<p>{a}</p><p>{b}</p>"
+        add("mixed", f"<body><article>{both}</article>{notice}</body>" if k % 2 else f"<body>{both}{notice}</body>", a, b)
+        add("copies", f"<body>{both}{notice}</body>", a, b)
+    for mark in ("div", "article"):
+        for host in ("copies", f"alone-{mark}"):
+            for k in range(40):
+                texts = [*shared[:10], f"changed {mark} {k}", *shared[10:]]
+                add(host, f"<{mark}>" + "".join(f"<p>{t}</p>" for t in texts) + f"</{mark}>", *texts)
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
+def test_near_copies_of_pages(spark):
+    """Against all pairs: no page of little equal text is taken for a copy, and of a group of copies few are left."""
+    rng = random.Random(54)
+    rows = []
+    for group in range(40):
+        base = [prose(rng, rng.randrange(8, 16)) for _ in range(40)]
+        for _ in range(6):
+            texts = [prose(rng, 12) if rng.random() < (0.05, 0.4)[group % 2] else t for t in base]
+            rows.append((len(rows), "http://h.org/", "".join(f"<p>{t}</p>" for t in texts)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", html_text.host_of(F.col("url")))
+    parsed = html_text.parsed_pages(pages, "bigint").cache()
+    texts = {r.page: set(r.blocks) for r in parsed.collect()}
+    size = lambda blocks: sum(map(len, blocks))
+    alike = {(a, b) for a in texts for b in texts if b < a and 100 * size(texts[a] & texts[b]) >= 80 * size(texts[a] | texts[b])}
+    must, got = {a for a, _ in alike}, {r.page for r in html_text.near_copies(parsed).collect()}
+    assert got <= must and len(must) > 60 and len(got) >= 0.95 * len(must)
+
+
 def test_secrets_match_plain_patterns(spark, odd):
     rng = random.Random(10)
     parts = ["token = \"", "PASSWORD:", "secret:token=", "api_key='", "AKIA", "deadbeef" * 3, "0123456789abcdef", "x9Y8z7" * 4, "ſecret=", " ", "é", "\n", "ab=cd", "Z" * 13]
