@@ -73,14 +73,14 @@ def _deep(line: str) -> str:
 
 def _raked(line: str) -> str:
     """A reduced skeleton with its innermost containers as values: ``k`` is a key, ``m`` a member, ``r`` stands in front of all."""
-    members = _swap(f"replace(replace({line}, 'kv', 'm'), 'rv', 'R')", "(?<=m),m")
-    return _swap(_swap(members, "(?<=v),v"), r"\[v?\]|\{m?\}", "v")
+    members = _swap(f"replace(replace({line}, 'kv', 'm'), 'rv', 'R')", ",(?<=m,)m")
+    return _swap(_swap(members, ",(?<=v,)v"), r"\[v?\]|\{m?\}", "v")
 
 
 def _contracted(line: str) -> str:
     """The same for whole chains of containers that hold each other."""
     # before and after a container, values of a list and members of an object make no difference
-    alone = _swap(_swap(line, r"(?<=\[)v,(?=[\[{])|(?<=\{)m,(?=k[\[{])"), r"(?<=[\]}]),v(?=\])|(?<=[\]}]),m(?=\})")
+    alone = _swap(_swap(line, r"v,(?<=\[v,)(?=[\[{])|m,(?<=\{m,)(?=k[\[{])"), r",(?<=[\]}],)(?:v(?=\])|m(?=\}))")
     chain = literal(r"(?<![\[O])[\[O]++v[\]}]++")
     n = "least(length(ca), length(cb))"
     fits = f"right(ca, {n}) = reverse(translate(left(cb, {n}), ']}}', '[O'))"
@@ -94,7 +94,7 @@ def _contracted(line: str) -> str:
 def _well_formed(line: str) -> str:
     """Whether the containers of a skeleton are all whole and rightly filled."""
     first = f"""replace(replace(concat('r', {line}), '":', 'k'), '"', 'v')"""
-    for _ in range(4):
+    for _ in range(2):
         first = _raked(first)
     step = f"CASE WHEN length(wl) < 2 OR contains(wl, '!') THEN wl ELSE {_raked(_contracted(_raked('wl')))} END"
     rounds = f"sequence(0, cast(log2(length({line}) + 1) as int) + 3)"
